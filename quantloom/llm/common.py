@@ -50,8 +50,9 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def groups_for(n_bytes: int, per_group: int = BUCKET_BYTES) -> int:
-    return max(1, -(-n_bytes // per_group))
+def groups_for(n_bytes: int) -> int:
+    """Buckets of ``BUCKET_BYTES`` at most; small inputs get up to 200 smaller ones, for parallelism."""
+    return max(1, -(-n_bytes // BUCKET_BYTES), min(200, n_bytes >> 20))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
