@@ -45,6 +45,15 @@ def split_by(which: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, tupl
         yield int(w[a]), tuple(x[order[a:b]] for x in arrays)
 
 
+def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each element is the first with its keys, of arrays sorted by them."""
+    n = len(sorted_keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return new
+
+
 class Router:
     """Gathers routed rows of one chunk."""
 

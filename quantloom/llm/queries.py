@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import recompression, simhash
+from quantloom.llm import lzprint, recompression, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,3 +32,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.dedup(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lzprint.with_neighbours(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return found.select("doc_id", n_bytes, "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))

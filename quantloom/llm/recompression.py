@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quantloom.llm.common import WordHashes, chunks, groups_for, keyed, mix, text_bytes
-from quantloom.llm.exchange import ROUTED_DDL, Router, meet_documents, meet_in_buckets
+from quantloom.llm.exchange import ROUTED_DDL, Router, group_starts, meet_documents, meet_in_buckets
 
 NAMED = 6  #: words under the name of a picked position
 BEFORE = 2  #: words before a position on which its being a phrase start depends
@@ -91,14 +91,6 @@ class Chunk:
         return np.frombuffer(b"".join([h(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + self.window - 1].tolist(), strict=True)]), dtype=np.uint64).reshape(-1, 2)
 
 
-def _group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
-    n = len(sorted_keys[0])
-    new = np.ones(n, bool)
-    if n:
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
-    return new
-
-
 def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
     """Answers (row_keys, first words) per group: windows whose words a smaller doc_id also has."""
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -112,9 +104,9 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
             name, key = c.name[at], keys[c.doc[at]]
             order = np.lexsort((key, name))
             name, key = name[order], key[order]
-            once = _group_starts(name, key)
+            once = group_starts(name, key)
             name, key = name[once], key[once]
-            first = _group_starts(name)
+            first = group_starts(name)
             size = np.diff(np.append(np.flatnonzero(first), len(first)))
             several = np.repeat(size > 1, size)
             out.records(name[first], key[first], several[first])
@@ -124,7 +116,7 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
     def shared_names(name: np.ndarray, key: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(name, kind="stable")
         name, key, told = name[order], key[order], told[order]
-        size = np.diff(np.append(np.flatnonzero(_group_starts(name)), len(name)))
+        size = np.diff(np.append(np.flatnonzero(group_starts(name)), len(name)))
         ask = np.repeat(size > 1, size) & ~told
         return key[ask], name[ask]
 
@@ -138,7 +130,7 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
             d = c.doc[at]
             order = np.lexsort((ids[d], h[:, 1], h[:, 0]))
             at, d, h = at[order], d[order], h[order]
-            new = _group_starts(h[:, 0], h[:, 1])
+            new = group_starts(h[:, 0], h[:, 1])
             least = ids[d][new][np.cumsum(new) - 1]
             later = ids[d] > least
             pos = (at - c.first[d]).astype(np.int32)
@@ -150,7 +142,7 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
     def later_windows(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((ids, lo, hi))
         hi, lo, ids, key, pos = hi[order], lo[order], ids[order], key[order], pos[order]
-        new = _group_starts(hi, lo)
+        new = group_starts(hi, lo)
         later = ids > ids[new][np.cumsum(new) - 1]
         return key[later], pos[later]
 
