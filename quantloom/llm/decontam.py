@@ -97,5 +97,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
     """``docs`` without the documents that ``matches`` finds."""
-    hit = matches(docs, benchmark, **how).select(F.col("row_key").alias("__hit")).distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["__hit"], "left_anti")
+    hit = checkpointed(matches(docs, benchmark, **how).select(F.col("row_key").alias("__hit")).distinct())
+    found = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == hit["__hit"], "left_anti")

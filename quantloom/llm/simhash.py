@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed, chunks, mix
+from quantloom.llm.common import checkpointed, chunks, keyed, mix
 from quantloom.llm.graph import connected_components
 
 N_PIVOTS = 32
@@ -58,8 +58,8 @@ def simhash(h: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, n_keys: int = 0) -> DataFrame:
-    """doc_id, fp (array<long> of ``lanes``), keys (array<long>, the ``n_keys`` smallest scrambled shingle hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    """doc_id, row_key (hash of doc_id and text), fp (array<long> of ``lanes``), keys (array<long>, the ``n_keys`` smallest scrambled shingle hashes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -68,9 +68,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, n_keys
                 h = shingle_hashes(t, shingle_words)
                 fps.append(simhash(h, lanes).view(np.int64))
                 keys.append(np.unique(mix(h))[:n_keys].view(np.int64) if n_keys else [])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, schema.field(1).type), pa.array(keys, schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fps, schema.field(2).type), pa.array(keys, schema.field(3).type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<bigint>, keys array<bigint>")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, row_key long, fp array<bigint>, keys array<bigint>")
 
 
 def pivots(lanes: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, lanes: int = 1, blocking: str = "segments", n_keys: int = 0) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
+    """One row per document: doc_id, row_key, fp, component (a fingerprint's hash), component_id (smallest doc_id reachable over links, itself included).
 
     Documents with equal fingerprints are one node of the graph, so copies cost a single row. Texts that
     are null or without words have fingerprint zero and link like any other (with blocking ``shingles``
@@ -164,16 +164,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     comps = connected_components(links(nodes, max_bits, lanes, blocking))
     named = nodes.join(comps, nodes.id == comps.node, "left").select("id", F.coalesce("component", "id").alias("component"), "first_doc")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_fp = named.join(smallest, "component").select("id", "component_id")
-    return fps.join(by_fp, "id").select("doc_id", "fp", "component_id")
+    by_fp = named.join(smallest, "component").select("id", "component", "component_id")
+    return fps.join(by_fp, "id").select("doc_id", "row_key", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, **how: object) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of every group of near duplicates; rows with a null doc_id stay.
+    """``docs`` without all but one row of every group of near duplicates: that of the smallest doc_id (null: largest), then of the least row_key.
 
-    Of rows that repeat a doc_id one stays (the least text).
+    Rows that repeat in doc_id and text are one document and stay once. Columns are those of ``docs``.
     """
-    first = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    rest = docs.where("doc_id is null")
-    return ids.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(rest)
+    rows = near_duplicates(docs, **how).groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "copies")).alias("w")
+    winners = checkpointed(rows.groupBy("component").agg(first).select(F.col("w.row_key").alias("__row_key"), "w.copies"))
+    keys = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    kept = keys.join(winners.where("copies = 1"), "__row_key", "left_semi")
+    repeated = winners.where("copies > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keys.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
+    return kept.select(*docs.columns)
