@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def groups_for(n_bytes: int) -> int:
-    """Buckets of ``BUCKET_BYTES`` at most; small inputs get up to 200 smaller ones, for parallelism."""
-    return max(1, -(-n_bytes // BUCKET_BYTES), min(200, n_bytes >> 20))
+    """Buckets of ``BUCKET_BYTES`` at most; small inputs get up to 100 smaller ones, for parallelism."""
+    return max(1, -(-n_bytes // BUCKET_BYTES), min(100, n_bytes >> 20))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -79,11 +80,11 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 def pack(*arrays: object) -> bytes:
-    return pickle.dumps(arrays, protocol=5)
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
 
 def unpack(blob: bytes) -> tuple:
-    return pickle.loads(blob)
+    return pickle.loads(zstandard.decompress(blob))
 
 
 def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import chunks, keyed, pack, unpack
+from quantloom.llm.common import CHUNK_BYTES, chunks, pack, unpack
 
 #: kind 0: records for the bucket; kind 1: answers for ``grp`` that only pass through.
 ROUTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
@@ -30,8 +30,25 @@ def group_of(row_key: np.ndarray, groups: int) -> np.ndarray:
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """(grp, kind 1, row_key, doc struct, blob null) of documents; grp as ``group_of`` computes it."""
-    return keyed(docs).select(F.pmod("row_key", F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "row_key", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(None).cast("binary").alias("blob"))
+    """(grp, kind 1, blob): the documents of each chunk and group as a compressed Arrow table, with row_key last."""
+    docs = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        for part, _ in chunks(batches):
+            grp = group_of(np.asarray(part.column("__row_key")), groups)
+            order = np.argsort(grp, kind="stable")
+            part, grp = part.take(pa.array(order)), grp[order]
+            starts = np.flatnonzero(group_starts(grp))
+            blobs = []
+            for a, b in zip(starts, [*starts[1:], len(grp)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=how) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in part.columns], schema=part.schema))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(grp[starts], pa.int32()), pa.array(np.ones(len(starts)), pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "kind", "blob"])
+
+    return docs.mapInArrow(run, "grp int, kind int, blob binary")
 
 
 def split_by(which: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
@@ -62,7 +79,8 @@ class Router:
         self.rows: list[tuple[int, int, int, bytes]] = []
 
     def records(self, name: np.ndarray, *arrays: np.ndarray) -> None:
-        for b, cut in split_by((name % np.uint64(self.buckets)).astype(np.int32), name, *arrays):
+        """Records for the bucket of ``name``, which is not sent by itself. In the order given, so that like neighbours compress."""
+        for b, cut in split_by((name % np.uint64(self.buckets)).astype(np.int32), *arrays):
             self.rows.append((b, 0, 0, pack(*cut)))
 
     def answers(self, row_key: np.ndarray, *arrays: np.ndarray) -> None:
@@ -105,31 +123,45 @@ def meet_in_buckets(routed: DataFrame, groups: int, solve: Callable[..., tuple[n
     return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
 
-def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, work: Callable[[list[tuple], np.ndarray, pa.RecordBatch, list[bytes]], Iterable[pa.RecordBatch]], ddl: str, answered_only: bool = False) -> DataFrame:
-    """Brings answers and documents of each group together: ``work(answers, row_keys, documents, texts)`` for chunk after chunk of documents."""
-    rows = grouped(docs, groups)
-    replies = answers.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_key"), F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), "blob")
+def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Callable[[list[tuple]], object], work: Callable[[object, np.ndarray, pa.RecordBatch, list[bytes]], Iterable[pa.RecordBatch]], ddl: str, answered_only: bool = False) -> DataFrame:
+    """Brings answers and documents of each group together.
+
+    ``prepare`` gets all answers of a group, once; ``work(prepared, row_keys, documents, texts)`` is then
+    called for one chunk of its documents after another.
+    """
+    replies = answers.select("grp", F.lit(0).alias("kind"), "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        at, had_docs = None, False
+        waiting: list[pa.RecordBatch] = []
+        at, size, ready = None, 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size, ready
+            if waiting:
+                if ready is None:
+                    ready = (prepare(held),)
+                for part, texts in chunks(pa.Table.from_batches(waiting).combine_chunks().to_batches()):
+                    yield from work(ready[0], np.asarray(part.column("__row_key")).view(np.uint64), part.drop_columns(["__row_key"]), texts)
+            waiting.clear()
+            size = 0
+
         for batch in batches:
-            grp, kind = np.asarray(batch.column("grp")), np.asarray(batch.column("kind"))
-            cuts = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(grp)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if grp[a] != at or (kind[a] == 0 and had_docs):
-                    held, at, had_docs = [], grp[a], False
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    held += [unpack(x) for x in part.column("blob").to_pylist()]
+            for grp, kind, blob in zip(*(batch.column(c) for c in ("grp", "kind", "blob")), strict=True):
+                grp, kind = grp.as_py(), kind.as_py()
+                if grp != at:
+                    yield from flush()
+                    held, at, ready = [], grp, None
+                if kind == 0:
+                    held.append(unpack(blob.as_buffer()))
                     continue
-                had_docs = True
                 if answered_only and not held:
                     continue
-                doc = pa.RecordBatch.from_struct_array(part.column("doc")).append_column("__row_key", part.column("row_key"))
-                for cut, texts in chunks([doc]):
-                    yield from work(held, np.asarray(cut.column("__row_key")).view(np.uint64), cut.drop_columns(["__row_key"]), texts)
+                with pa.ipc.open_stream(blob.as_buffer()) as table:
+                    waiting += list(table)
+                size += waiting[-1].nbytes
+                if size > CHUNK_BYTES:
+                    yield from flush()
+        yield from flush()
 
-    return rows.unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, ddl)
+    return grouped(docs, groups).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, ddl)

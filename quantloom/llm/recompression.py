@@ -9,7 +9,7 @@ same phrase starts inside. Names of two, four and six words from there on are bu
 1. Each window of ``window`` words picks one position in it, preferably a phrase start, with the least
    six-word name; equal windows pick alike. Names picked in one document only are done with.
 2. The windows that picked a name which several documents have are verified: their whole words are
-   hashed to 128 bits and the smallest doc_id of each is found.
+   hashed to 96 bits and more and the smallest doc_id of each is found.
 3. Words under a window that a smaller doc_id also has are removed.
 """
 
@@ -36,6 +36,10 @@ def join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _ODD + b)
 
 
+def high_half(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def phrase_starts(x: np.ndarray) -> np.ndarray:
     """Whether a phrase starts at each word, as far as two words to either side tell (else False)."""
     n = len(x)
@@ -109,34 +113,42 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
             first = group_starts(name)
             size = np.diff(np.append(np.flatnonzero(first), len(first)))
             several = np.repeat(size > 1, size)
-            out.records(name[first], key[first], several[first])
-            out.answers(key[several], name[several])
+            short = high_half(name)
+            own = np.flatnonzero(first)[np.argsort(key[first], kind="stable")]
+            out.records(name[own], short[own], key[own], several[own])
+            own = np.flatnonzero(several)[np.argsort(key[several], kind="stable")]
+            out.answers(key[own], short[own])
             yield out.batch()
 
     def shared_names(name: np.ndarray, key: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(name, kind="stable")
         name, key, told = name[order], key[order], told[order]
         size = np.diff(np.append(np.flatnonzero(group_starts(name)), len(name)))
-        ask = np.repeat(size > 1, size) & ~told
+        ask = np.flatnonzero(np.repeat(size > 1, size) & ~told)
+        ask = ask[np.argsort(key[ask], kind="stable")]
         return key[ask], name[ask]
 
-    def verify(held: list[tuple], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        shared = np.unique(np.concatenate([join_names(k, n) for k, n in held]))
-        c, out = Chunk(texts, window, WordHashes()), Router(groups, groups)
-        hit = np.isin(join_names(keys[c.doc[c.pick]], c.name[c.pick]), shared)
+    # answers give half a name: a false one costs a comparison, since windows are verified
+    def known_names(held: list[tuple]) -> tuple[np.ndarray, WordHashes]:
+        return np.unique(np.concatenate([join_names(k, n.astype(np.uint64)) for k, n in held])), WordHashes()
+
+    def verify(ready: tuple[np.ndarray, WordHashes], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        shared, hashes = ready
+        c, out = Chunk(texts, window, hashes), Router(groups, groups)
+        hit = np.isin(join_names(keys[c.doc[c.pick]], high_half(c.name[c.pick]).astype(np.uint64)), shared)
         at = c.at[hit]
         if len(at):
             ids, h = np.asarray(part.column("doc_id")), c.window_hashes(at)
             d = c.doc[at]
-            order = np.lexsort((ids[d], h[:, 1], h[:, 0]))
-            at, d, h = at[order], d[order], h[order]
-            new = group_starts(h[:, 0], h[:, 1])
-            least = ids[d][new][np.cumsum(new) - 1]
-            later = ids[d] > least
+            hi, lo, id_ = h[:, 0], high_half(h[:, 1]), ids[d]
+            order = np.lexsort((id_, lo, hi))
+            new = group_starts(hi[order], lo[order])
+            later = np.empty(len(at), bool)
+            later[order] = id_[order] > id_[order][new][np.cumsum(new) - 1]
             pos = (at - c.first[d]).astype(np.int32)
             out.answers(keys[d[later]], pos[later])
             own = ~later
-            out.records(h[own, 0], h[own, 1], ids[d[own]], keys[d[own]], pos[own])
+            out.records(hi[own], hi[own], lo[own], id_[own], keys[d[own]], pos[own])
         yield out.batch()
 
     def later_windows(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -144,11 +156,13 @@ def removed_windows(docs: DataFrame, window: int, groups: int) -> DataFrame:
         hi, lo, ids, key, pos = hi[order], lo[order], ids[order], key[order], pos[order]
         new = group_starts(hi, lo)
         later = ids > ids[new][np.cumsum(new) - 1]
-        return key[later], pos[later]
+        key, pos = key[later], pos[later]
+        order = np.lexsort((pos, key))
+        return key[order], pos[order]
 
     names = keyed(plain).mapInArrow(name_positions, ROUTED_DDL)
     asked = meet_in_buckets(names, groups, shared_names)
-    windows = meet_documents(plain, asked, groups, verify, ROUTED_DDL, answered_only=True)
+    windows = meet_documents(plain, asked, groups, known_names, verify, ROUTED_DDL, answered_only=True)
     return meet_in_buckets(windows, groups, later_windows)
 
 
@@ -170,11 +184,14 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())])
     has_id = docs.columns.index("doc_id")
 
-    def cut(held: list[tuple], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def by_key(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         key = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
         pos = np.concatenate([p for _, p in held]) if held else np.zeros(0, np.int32)
         order = np.argsort(key, kind="stable")
-        key, pos = key[order], pos[order]
+        return key[order], pos[order]
+
+    def cut(ready: tuple[np.ndarray, np.ndarray], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, pos = ready
         a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
         known = np.asarray(part.column(has_id).is_valid())
         kept, n_words, n_removed = [], [], []
@@ -197,4 +214,4 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         arrays = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
         yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *new])
 
-    return meet_documents(docs, marks, groups, cut, schema)
+    return meet_documents(docs, marks, groups, by_key, cut, schema)

@@ -152,10 +152,13 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
             several = np.repeat(n := np.diff(np.append(np.flatnonzero(new), len(new))), n) > 1
             key, pos = keys[doc], (at - first[doc]).astype(np.uint32)
             left, right = left.astype(np.uint16), right.astype(np.uint16)
-            out.records(anchor[new], hi[new], lo[new], key[new], pos[new], left[new], right[new], several[new])
+            own = np.flatnonzero(new)
+            own = own[np.lexsort((pos[own], key[own]))]
+            out.records(anchor[own], anchor[own], hi[own], lo[own], key[own], pos[own], left[own], right[own], several[own])
             if several.any():
-                m = int(several.sum())
-                out.answers(key[several], pos[several], left[several], right[several], np.ones(m, np.uint8), np.zeros(m, np.uint64))
+                own = np.flatnonzero(several)
+                own = own[np.lexsort((pos[own], key[own]))]
+                out.answers(key[own], pos[own], left[own], right[own], np.ones(len(own), np.uint8), np.zeros(len(own), np.uint64))
             yield out.batch()
 
     def compare(anchor: np.ndarray, hi: np.ndarray, lo: np.ndarray, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -169,18 +172,26 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
         mixed = np.repeat(contexts > 1, np.diff(np.append(np.flatnonzero(wide), len(wide))))
         # 1: a repeat from end to end; 2: its bytes are to be sorted; 4: it has a twin of its own
         act = (several & ~told) * 1 + (mixed & new) * 2 + several * 4
-        ask = (act & 3) > 0
+        ask = np.flatnonzero((act & 3) > 0)
+        ask = ask[np.lexsort((pos[ask], key[ask]))]
         return key[ask], pos[ask], left[ask], right[ask], act[ask].astype(np.uint8), anchor[ask]
 
-    def fetch(held: list[tuple], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, pos, left, right, act, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
-        here = np.isin(key, keys)
+    def by_key(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(x[order] for x in columns)
+
+    def fetch(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        own_keys = np.unique(keys)
+        a, b = np.searchsorted(ready[0], own_keys, "left"), np.searchsorted(ready[0], own_keys, "right")
+        mine = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
+        key, pos, left, right, act, anchor = (x[mine] for x in ready)
         out = Router(groups, groups)
-        whole = here & ((act & 1) > 0)
+        whole = (act & 1) > 0
         lo, hi = pos.astype(np.int64) - left, pos.astype(np.int64) + right
         whole &= hi - lo >= length
         out.answers(key[whole], lo[whole].astype(np.int32), hi[whole].astype(np.int32))
-        look = np.flatnonzero(here & ((act & 2) > 0))
+        look = np.flatnonzero((act & 2) > 0)
         if len(look):
             row = {k: i for i, k in enumerate(keys.tolist())}
             cut = [texts[row[k]][a:b] for k, a, b in zip(key[look].tolist(), lo[look].tolist(), hi[look].tolist(), strict=True)]
@@ -243,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
         return np.concatenate(keys), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
 
     found = meet_in_buckets(keyed(plain).mapInArrow(places, ROUTED_DDL), groups, compare)
-    pieces = meet_documents(plain, found, groups, fetch, ROUTED_DDL, answered_only=True)
+    pieces = meet_documents(plain, found, groups, by_key, fetch, ROUTED_DDL, answered_only=True)
     return meet_in_buckets(pieces, groups, sort)
 
 
@@ -262,10 +273,13 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     marks = repeated_spans(docs, length, groups)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def cut(held: list[tuple], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def sorted_marks(held: list[tuple]) -> tuple[np.ndarray, ...]:
         key, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         order = np.lexsort((lo, key))
-        key, lo, hi = key[order], lo[order], hi[order]
+        return key[order], lo[order], hi[order]
+
+    def cut(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, lo, hi = ready
         a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
         kept, removed, spans = [], [], []
         for i, t in enumerate(texts):
@@ -281,4 +295,4 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
             spans.append([{"start": x, "end": y} for x, y in own])
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type)], names=[*part.schema.names, *new])
 
-    return meet_documents(docs, marks, groups, cut, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())]))
+    return meet_documents(docs, marks, groups, sorted_marks, cut, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())]))
