@@ -1,14 +1,618 @@
-"""The reference workload as queries over the driver's tables, with DuckDB SQL for each."""
+"""The reference workload as queries over the driver's tables, with DuckDB SQL for each.
+
+``lineitem`` stands for a long feature table: suppliers are proteins, parts modulo 40 peptides, orders
+modulo 6 samples, line numbers runs, prices intensities. Both sides build it from the same expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom import schema as S
+from quantloom.functions import expressions as X
+from quantloom.functions import predicates as P
+from quantloom.operators import alignment, batch, filters, ibaq, impute, normalize, outliers, quantify, reshape
+from quantloom.plans import workflows
+from quantloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+FEATURES = {
+    S.PROTEIN: "concat(case when l_suppkey % 10 = 0 then 'CONTAMINANT_' else '' end, 'P', cast(l_suppkey as string))",
+    S.PEPTIDE: "concat('PEPTIDE', cast(l_partkey % 40 as string))",
+    S.PEPTIDOFORM: "concat('PEPTIDE', cast(l_partkey % 40 as string), case when l_linenumber % 5 = 0 then '(Oxidation)' else '' end)",
+    S.CHARGE: "cast(2 + l_linenumber % 4 as int)",
+    S.CONDITION: "l_returnflag",
+    S.RUN: "concat('run_', cast(l_linenumber as string))",
+    S.TECHREP: "cast(l_linenumber as int)",
+    S.BIOREP: "cast(l_orderkey % 3 as int)",
+    S.FRACTION: "cast(l_linenumber % 3 as int)",
+    S.SAMPLE: "concat('PXD', cast((l_orderkey % 6) % 2 as string), '-S', cast(l_orderkey % 6 as string))",
+    S.NORM: "l_extendedprice",
+    "q_value": "l_discount",
+    "protein_q_value": "l_tax",
+    "searchScore": "l_quantity",
+    "coverage": "l_quantity",
+}
+FEAT = "feat AS (SELECT " + ", ".join(f"{e.replace('as string', 'as varchar')} AS {k}" for k, e in FEATURES.items()) + " FROM lineitem)"
+#: Summed prices of one sample, protein and peptide: a dense peptide table.
+PEP = FEAT + f", pep AS (SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, sum({S.NORM}) AS {S.NORM} FROM feat GROUP BY ALL)"
+PROT = PEP + f", prot AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS x FROM pep GROUP BY ALL)"
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*[F.expr(e).alias(k) for k, e in FEATURES.items()])
+
+
+def peptides(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark, d).groupBy(S.PROTEIN, S.PEPTIDE, S.SAMPLE).agg(F.sum(S.NORM).alias(S.NORM))
+
+
+def proteins(spark: SparkSession, d: str) -> DataFrame:
+    return peptides(spark, d).groupBy(S.PROTEIN, S.SAMPLE).agg(F.sum(S.NORM).alias("x"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select([F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def per_sample(df: DataFrame) -> DataFrame:
+    """What is left of a feature table: rows, proteins, total by sample."""
+    return df.groupBy(S.SAMPLE).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(S.PROTEIN).alias("n_proteins"), F.round(F.sum(S.NORM), 2).alias("total"))
+
+
+def _left(kept: str, ctes: str = "") -> str:
+    return f"WITH {FEAT}{', ' + ctes if ctes else ''} SELECT {S.SAMPLE}, count(*) AS n_rows, count(DISTINCT {S.PROTEIN}) AS n_proteins, round(sum({S.NORM}), 2) AS total FROM ({kept}) GROUP BY {S.SAMPLE}"
+
+
+def _filter(name: str, f: Callable[[], filters.Filter], where: str, ctes: str = "") -> None:
+    QUERIES[f"filter_{name}"] = lambda spark, d: per_sample(f()(features(spark, d)))
+    ORACLE_SQL[f"filter_{name}"] = _left(f"SELECT * FROM feat WHERE {where}", ctes)
+
+
+def _having(keys: str, test: str, source: str = "feat") -> str:
+    return f"({keys}) IN (SELECT ({keys}) FROM {source} GROUP BY {keys} HAVING {test})"
+
+
+_filter("min_intensity", lambda: filters.min_intensity(20000.0), f"{S.NORM} >= 20000")
+_filter("cv_threshold", lambda: filters.cv_threshold(0.5), _having(f"{S.PROTEIN}, {S.PEPTIDE}", f"count(*) < 2 OR avg({S.NORM}) <= 0 OR stddev_samp({S.NORM}) / avg({S.NORM}) <= 0.5"))
+_filter("cv_threshold_by_sample", lambda: filters.cv_threshold(0.5, scope="sample"), _having(f"{S.SAMPLE}, {S.PROTEIN}, {S.PEPTIDE}", f"count(*) < 2 OR avg({S.NORM}) <= 0 OR stddev_samp({S.NORM}) / avg({S.NORM}) <= 0.5"))
+_filter("replicate_agreement", lambda: filters.replicate_agreement(3), _having(f"{S.CONDITION}, {S.PROTEIN}, {S.PEPTIDE}", f"count(DISTINCT {S.SAMPLE}) >= 3"))
+_filter("quantile", lambda: filters.quantile_range(0.05, 0.9), f"{S.NORM} BETWEEN (SELECT quantile_cont({S.NORM}, 0.05::DOUBLE) FROM feat) AND (SELECT quantile_cont({S.NORM}, 0.9::DOUBLE) FROM feat)")
+_filter("peptide_length", lambda: filters.peptide_length(9, 50), f"length({S.PEPTIDE}) BETWEEN 9 AND 50")
+_filter("charge_state", lambda: filters.charge_state([2, 3]), f"{S.CHARGE} IN (2, 3)")
+_filter("modification", lambda: filters.modification(["oxidation"]), f"lower({S.PEPTIDOFORM}) NOT LIKE '%oxidation%'")
+_filter("search_score", lambda: filters.search_score(25.0), "searchScore >= 25")
+_filter("sequence_pattern", lambda: filters.sequence_pattern(["E1", "9$"]), f"NOT regexp_matches({S.PEPTIDE}, 'E1|9$')")
+_filter("fdr", lambda: filters.fdr(0.05), "q_value <= 0.05")
+_filter("contaminant", lambda: filters.contaminants(["contaminant"]), f"upper({S.PROTEIN}) NOT LIKE '%CONTAMINANT%'")
+_filter("min_peptides", lambda: filters.min_peptides(35), _having(S.PROTEIN, f"count(DISTINCT {S.PEPTIDE}) >= 35"))
+_filter("protein_fdr", lambda: filters.protein_fdr(0.0), _having(S.PROTEIN, "min(protein_q_value) <= 0"))
+_filter("coverage", lambda: filters.coverage(50.0), _having(S.PROTEIN, "max(coverage) >= 50"))
+_filter("run_intensity", lambda: filters.run_intensity(3e7), _having(S.RUN, f"sum({S.NORM}) >= 3e7"))
+_filter("min_features", lambda: filters.min_features(700, 5), _having(S.RUN, f"count(*) >= 700 AND count(DISTINCT {S.PROTEIN}) >= 5"))
+_filter("missing_rate", lambda: filters.missing_rate(0.5), _having(S.RUN, f"avg(CASE WHEN {S.NORM} IS NULL OR {S.NORM} = 0 THEN 1.0::DOUBLE ELSE 0 END) <= 0.5"))
+_filter("min_proteins_per_sample", lambda: filters.min_proteins_per_sample(5), _having(S.SAMPLE, f"count(DISTINCT {S.PROTEIN}) >= 5"))
+#: For peptides of several proteins: a peptide is an order.
+_ORDERS = FEAT.replace(FEATURES[S.PEPTIDE].replace("as string", "as varchar"), "concat('O', cast(l_orderkey as varchar))")
+_PAIRS = f"pairs AS (SELECT DISTINCT {S.PEPTIDE}, {S.PROTEIN} FROM feat), sizes AS (SELECT {S.PROTEIN}, count(*) AS n FROM pairs GROUP BY {S.PROTEIN}), top AS (SELECT {S.PEPTIDE}, {S.PROTEIN} FROM pairs JOIN sizes USING ({S.PROTEIN}) QUALIFY row_number() OVER (PARTITION BY {S.PEPTIDE} ORDER BY n DESC, {S.PROTEIN}) = 1)"
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    names = FEATURES | {S.PEPTIDE: "concat('O', cast(l_orderkey as string))"}
+    return table(spark, d, "lineitem").select(*[F.expr(e).alias(k) for k, e in names.items()])
+
+
+@query(_left(f"SELECT * FROM feat WHERE {_having(S.PEPTIDE, f'count(DISTINCT {S.PROTEIN}) <= 1')}").replace(FEAT, _ORDERS))
+def filter_razor_remove(spark: SparkSession, d: str) -> DataFrame:
+    return per_sample(filters.razor_peptides("remove")(_orders(spark, d)))
+
+
+@query(_left(f"SELECT * FROM feat WHERE ({S.PEPTIDE}, {S.PROTEIN}) IN (SELECT ({S.PEPTIDE}, {S.PROTEIN}) FROM top)", _PAIRS).replace(FEAT, _ORDERS))
+def filter_razor_assign_to_top(spark: SparkSession, d: str) -> DataFrame:
+    return per_sample(filters.razor_peptides("assign_to_top")(_orders(spark, d)))
+
+
+_filter("missing_values", lambda: filters.missing_values(30.0, S.NORM), _having(S.SAMPLE, f"100.0 * ((SELECT count(DISTINCT {S.PROTEIN}) FROM feat) - count(DISTINCT {S.PROTEIN})) / (SELECT count(DISTINCT {S.PROTEIN}) FROM feat) <= 30"))
+_filter("single_sample_batches", lambda: filters.no_single_sample_batches(S.CONDITION), _having(S.CONDITION, f"count(DISTINCT {S.SAMPLE}) > 1"))
+_CORR = f"m AS (SELECT {S.PROTEIN}, {S.SAMPLE}, avg({S.NORM}) AS x FROM feat GROUP BY ALL), c AS (SELECT a.{S.SAMPLE} AS s, b.{S.SAMPLE} AS t, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM m a JOIN m b USING ({S.PROTEIN}) GROUP BY ALL)"
+_filter("sample_correlation", lambda: filters.sample_correlation(0.2), f"{S.SAMPLE} NOT IN (SELECT s FROM c GROUP BY s HAVING avg(r) < 0.2)", _CORR)
+
+
+@query(f"WITH {FEAT}, {_CORR} SELECT s AS a, t AS b, round(r, 6) AS r FROM c")
+def sample_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(filters.sample_correlations(features(spark, d)))
+
+
+_CONFIG = {"intensity": {"min_intensity": 5000.0}, "peptide": {"allowed_charge_states": [2, 3, 4], "min_peptide_length": 8, "fdr_threshold": 0.08}, "protein": {"min_unique_peptides": 5, "fdr_threshold": 1.0}, "run_qc": {"min_identified_features": 100}}
+
+
+@query(f"""WITH {FEAT}, a AS (SELECT * FROM feat WHERE {_having(S.RUN, 'count(*) >= 100')}),
+b AS (SELECT * FROM a WHERE {S.NORM} >= 5000 AND length({S.PEPTIDE}) BETWEEN 8 AND 50 AND {S.CHARGE} IN (2, 3, 4) AND q_value <= 0.08 AND {S.PROTEIN} NOT LIKE '%CONTAMINANT%')
+SELECT {S.SAMPLE}, count(*) AS n_rows, count(DISTINCT {S.PROTEIN}) AS n_proteins, round(sum({S.NORM}), 2) AS total FROM b WHERE {_having(S.PROTEIN, f'count(DISTINCT {S.PEPTIDE}) >= 5', 'b')} GROUP BY {S.SAMPLE}""")
+def filter_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return per_sample(filters.pipeline_of(_CONFIG).apply(features(spark, d))[0])
+
+
+# scalar expressions
+
+_NAMES = "SELECT p_partkey, concat('sp|P', CAST(p_partkey AS VARCHAR), '|', p_brand, CASE WHEN p_partkey % 3 = 0 THEN concat(';tr|Q', CAST(p_partkey AS VARCHAR), '|X;plain') ELSE '' END) AS name FROM part"
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.expr("concat('sp|P', cast(p_partkey as string), '|', p_brand, case when p_partkey % 3 = 0 then concat(';tr|Q', cast(p_partkey as string), '|X;plain') else '' end)").alias("name"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform(string_split(name, ';'), lambda x: CASE WHEN len(string_split(x, '|')) = 3 THEN string_split(x, '|')[2] ELSE x END), ';') AS accession FROM ({_NAMES})")
+def uniprot_accession(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select("p_partkey", X.uniprot_accession(F.col("name")).alias("accession"))
+
+
+@query(f"SELECT p_partkey, coalesce(nullif(split_part(split_part(name, ';', 1), '|', 2), ''), name) AS accession FROM ({_NAMES})")
+def first_accession(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select("p_partkey", X.first_accession(F.split("name", ";")).alias("accession"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(concat('.', p_name, '(Oxidation)-K[+57.02]R'), '[\\(\\[].*?[\\)\\]]', '', 'g'), '[.\\-]', '', 'g') AS canonical FROM part")
+def canonical_peptide(spark: SparkSession, d: str) -> DataFrame:
+    form = F.concat(F.lit("."), "p_name", F.lit("(Oxidation)-K[+57.02]R"))
+    return table(spark, d, "part").select("p_partkey", X.canonical_peptide(form).alias("canonical"))
+
+
+_SEQ = "SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents"
+
+
+def _sequences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("s"))
+
+
+_CUT = "string_split(replace(regexp_replace(s, '([KR])', '\\1|', 'g'), '|P', 'P'), '|')"
+
+
+@query(f"SELECT doc_id, len(p) AS n_peptides, coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)::BIGINT AS n_letters FROM (SELECT doc_id, list_filter({_CUT}, lambda x: length(x) BETWEEN 7 AND 30) AS p FROM ({_SEQ}))")
+def tryptic_digest(spark: SparkSession, d: str) -> DataFrame:
+    p = _sequences(spark, d).select("doc_id", X.digest(F.col("s")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n_peptides"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_letters"))
+
+
+@query(f"SELECT doc_id, (len(regexp_extract_all(t, '[KR]')) - len(regexp_extract_all(t, '[KR]P')) - CASE WHEN regexp_matches(t, '[KR]$') THEN 1 ELSE 0 END)::BIGINT AS missed FROM (SELECT doc_id, CASE WHEN length(s) > 1 THEN left(s, length(s) - 1) ELSE s END AS t FROM ({_SEQ}))")
+def missed_cleavages(spark: SparkSession, d: str) -> DataFrame:
+    return _sequences(spark, d).select("doc_id", X.missed_cleavages(F.col("s")).cast("long").alias("missed"))
+
+
+_MASS = "18.010565::DOUBLE + " + " + ".join(f"(length(s) - length(replace(s, '{k}', ''))) * {v}::DOUBLE" for k, v in X.RESIDUE_MASS.items())
+
+
+@query(f"SELECT doc_id, round(CASE WHEN length(s) > 0 THEN {_MASS} END, 3) AS mass, (length(s) - length(regexp_replace(s, '[^{X.STANDARD}]', '', 'g')))::BIGINT AS n_nonstandard, length(translate(s, '{X.STRIPPED}', ''))::BIGINT AS n_stripped FROM ({_SEQ})")
+def peptide_mass(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s")
+    n = (F.length(s) - F.length(X.standard_letters(s))).cast("long")
+    return _sequences(spark, d).select("doc_id", F.round(X.monoisotopic_mass(s), 3).alias("mass"), n.alias("n_nonstandard"), F.length(X.stripped_letters(s)).cast("long").alias("n_stripped"))
+
+
+# scans and unnesting
+
+@query("SELECT vec_id, label, count(*) AS n, round(sum(x), 6) AS total FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings) WHERE x > 0 GROUP BY ALL")
+def unnest_long(spark: SparkSession, d: str) -> DataFrame:
+    nested = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("S"), i.cast("string")).alias("sample_accession"), F.lit("LFQ").alias("channel"), x.cast("double").alias("intensity"))).alias("intensities"), F.lit("f").alias("reference_file_name"))
+    long = readers.features_long(nested)
+    return long.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("intensity"), 6).alias("total"))
+
+
+@query(f"WITH {FEAT} SELECT {S.PROTEIN}, {S.PEPTIDE}, round({S.NORM}, 2) AS {S.NORM} FROM feat WHERE {S.NORM} > 0 AND {S.NORM} >= 50000 AND length({S.PEPTIDE}) >= 8 AND {S.PROTEIN} NOT LIKE '%CONTAMINANT%'")
+def feature_predicate(spark: SparkSession, d: str) -> DataFrame:
+    df = features(spark, d).withColumn("acc", F.array(S.PROTEIN)).withColumn("unique", F.lit(1))
+    keep = P.FeaturePredicate(min_intensity=50000, min_length=8, names={"intensity": S.NORM, "sequence": S.PEPTIDE, "unique": "unique", "accessions": "acc"})
+    return rounded(df.where(keep.column()).select(S.PROTEIN, S.PEPTIDE, S.NORM), 2)
+
+
+@query(f"WITH {FEAT} SELECT * FROM (SELECT DISTINCT {S.PROTEIN} FROM feat) WHERE {S.PROTEIN} NOT LIKE '%P1%' AND {S.PROTEIN} NOT LIKE '%P22%'")
+def remove_protein_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.createDataFrame([("P1",), ("P22",), ("",)], "id string")
+    return P.without_ids(features(spark, d).select(S.PROTEIN).distinct(), ids)
+
+
+@query("SELECT n_name AS sample, r_name AS condition, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0 GROUP BY ALL")
+def sdrf_join(spark: SparkSession, d: str) -> DataFrame:
+    sdrf = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source name"), F.col("r_name").alias("factor value[organism part]"))
+    feats = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("sample_accession"), F.col("s_acctbal").alias("intensity"), F.lit("f").alias("reference_file_name"))
+    long = readers.with_sdrf(readers.features_long(feats.where("intensity > 0")), sdrf)
+    return long.groupBy(F.col("sample_accession").alias("sample"), "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("intensity"), 2).alias("total"))
+
+
+# factors and normalization
+
+@query(f"WITH {FEAT}, m AS (SELECT {S.SAMPLE}, median({S.NORM}) AS v FROM feat GROUP BY ALL) SELECT {S.SAMPLE}, round(v / (SELECT median(v) FROM m), 9) AS factor FROM m")
+def median_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.median_map(features(spark, d), S.NORM), 9)
+
+
+@query(f"WITH {FEAT}, m AS (SELECT {S.CONDITION}, {S.SAMPLE}, median({S.NORM}) AS v FROM feat GROUP BY ALL) SELECT {S.CONDITION}, {S.SAMPLE}, round(v / avg(v) OVER (PARTITION BY {S.CONDITION}), 9) AS factor FROM m")
+def condition_median_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.condition_median_map(features(spark, d), S.NORM), 9)
+
+
+def _irs(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark, d).select(F.col(S.CHARGE).alias(S.CHANNEL), S.TECHREP, F.col(S.NORM).alias(S.INTENSITY), F.concat(F.lit("m"), (F.col(S.TECHREP) % 2).cast("string")).alias("mixture"))
+
+
+_IRS = FEAT + f", runs AS (SELECT concat('m', CAST({S.TECHREP} % 2 AS VARCHAR)) AS mixture, {S.TECHREP}, median({S.NORM}) AS v FROM feat WHERE {S.CHARGE} = 3 OR {S.CHARGE} = 5 GROUP BY ALL)"
+_IRS = _IRS.replace(f"WHERE {S.CHARGE} = 3 OR {S.CHARGE} = 5", f"WHERE {S.CHARGE} = 3")
+_MIX = ", mix AS (SELECT mixture, median(v) AS c FROM runs GROUP BY ALL)"
+
+
+@query(f"WITH {_IRS} SELECT {S.TECHREP}, round((SELECT median(v) FROM runs) / v, 9) AS scale FROM runs")
+def irs_global(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.irs_factors(_irs(spark, d), 3), 9)
+
+
+@query(f"WITH {_IRS}{_MIX} SELECT {S.TECHREP}, round(c / v, 9) AS scale FROM runs JOIN mix USING (mixture)")
+def irs_by_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.irs_factors(_irs(spark, d), 3, scope="by_mixture"), 9)
+
+
+@query(f"WITH {_IRS}{_MIX} SELECT {S.TECHREP}, round(c / v * ((SELECT median(c) FROM mix) / c), 9) AS scale FROM runs JOIN mix USING (mixture)")
+def irs_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.irs_factors(_irs(spark, d), 3, scope="two_stage"), 9)
+
+
+_STATS = {"mean": "avg(x)", "median": "median(x)", "max": "max(x)", "global": "sum(x)", "max_min": "max(x) - min(x)", "iqr": "(quantile_cont(x, 0.75::DOUBLE) + quantile_cont(x, 0.25::DOUBLE)) / 2"}
+for _m, _e in _STATS.items():
+    QUERIES[f"run_norm_{_m}"] = lambda spark, d, m=_m: rounded(normalize.normalize_runs(features(spark, d), S.RunNormalization.from_str(m)).groupBy(S.SAMPLE, S.TECHREP).agg(F.count(F.lit(1)).alias("n"), F.avg(S.NORM).alias("mean")), 4)
+    ORACLE_SQL[f"run_norm_{_m}"] = f"WITH {FEAT}, f AS (SELECT {S.SAMPLE}, {S.TECHREP}, {_e} AS s FROM (SELECT *, {S.NORM} AS x FROM feat) GROUP BY ALL), g AS (SELECT *, s / avg(s) OVER (PARTITION BY {S.SAMPLE}) AS factor FROM f) SELECT {S.SAMPLE}, {S.TECHREP}, count(*) AS n, round(avg({S.NORM} / factor), 4) AS mean FROM feat JOIN g USING ({S.SAMPLE}, {S.TECHREP}) GROUP BY ALL"
+
+
+@query(f"WITH {FEAT}, m AS (SELECT {S.SAMPLE}, median({S.NORM}) AS v FROM feat GROUP BY ALL), f AS (SELECT {S.SAMPLE}, v / (SELECT median(v) FROM m) AS k FROM m) SELECT {S.SAMPLE}, count(*) AS n, round(sum({S.NORM} / k), 2) AS total FROM feat JOIN f USING ({S.SAMPLE}) GROUP BY ALL")
+def sample_norm_global(spark: SparkSession, d: str) -> DataFrame:
+    out = normalize.normalize_samples(features(spark, d), S.SampleNormalization.GLOBAL_MEDIAN)
+    return out.groupBy(S.SAMPLE).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.NORM), 2).alias("total"))
+
+
+@query(f"WITH {FEAT}, m AS (SELECT {S.CONDITION}, {S.SAMPLE}, median({S.NORM}) AS v FROM feat GROUP BY ALL), f AS (SELECT {S.CONDITION}, {S.SAMPLE}, v / avg(v) OVER (PARTITION BY {S.CONDITION}) AS k FROM m) SELECT {S.CONDITION}, {S.SAMPLE}, count(*) AS n, round(sum({S.NORM} / k), 2) AS total FROM feat JOIN f USING ({S.CONDITION}, {S.SAMPLE}) GROUP BY ALL")
+def sample_norm_condition(spark: SparkSession, d: str) -> DataFrame:
+    out = normalize.normalize_samples(features(spark, d), S.SampleNormalization.CONDITION_MEDIAN)
+    return out.groupBy(S.CONDITION, S.SAMPLE).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.NORM), 2).alias("total"))
+
+
+@query(f"WITH {PROT}, r AS (SELECT *, row_number() OVER (PARTITION BY {S.SAMPLE} ORDER BY x, {S.PROTEIN}) AS k FROM prot), a AS (SELECT k, avg(x) AS v FROM r GROUP BY k) SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg(v) OVER (PARTITION BY {S.SAMPLE}, x), 3) AS x FROM r JOIN a USING (k)")
+def quantile_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.quantile_normalize(proteins(spark, d), "x"), 3)
+
+
+@query(f"WITH {PROT} SELECT {S.PROTEIN}, {S.SAMPLE}, round(x - median(x) OVER (PARTITION BY {S.SAMPLE}), 3) AS x FROM prot")
+def median_center(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.median_center(proteins(spark, d), "x"), 3)
+
+
+@query(f"WITH {PROT} SELECT {S.PROTEIN}, {S.SAMPLE}, round(x * 1e9 / sum(x) OVER (PARTITION BY {S.SAMPLE}), 2) AS x FROM prot")
+def total_intensity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.total_intensity(proteins(spark, d), "x"), 2)
+
+
+_FORM_KEYS = f"{S.PEPTIDOFORM}, {S.CHARGE}, {S.SAMPLE}, {S.CONDITION}, {S.BIOREP}"
+_BEST = f"best AS (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY {_FORM_KEYS} ORDER BY {S.NORM} DESC, {S.PROTEIN}, {S.TECHREP}, {S.FRACTION}) = 1)"
+
+
+@query(f"WITH {FEAT}, {_BEST} SELECT {_FORM_KEYS}, {S.PROTEIN}, round({S.NORM}, 2) AS {S.NORM} FROM best")
+def peptidoform_argmax(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.highest_peptidoform(features(spark, d)), 2).select(*_FORM_KEYS.split(", "), S.PROTEIN, S.NORM)
+
+
+_FRACTION_KEYS = f"{S.PROTEIN}, {S.PEPTIDOFORM}, {S.PEPTIDE}, {S.CHARGE}, {S.CONDITION}, {S.BIOREP}, {S.TECHREP}, {S.SAMPLE}"
+
+
+@query(f"WITH {FEAT} SELECT {_FRACTION_KEYS}, round(max({S.NORM}), 2) AS {S.NORM} FROM feat GROUP BY ALL")
+def merge_fractions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.merge_fractions(features(spark, d)), 2)
+
+
+@query(f"WITH {FEAT} SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, {S.BIOREP}, {S.CONDITION}, round(sum({S.NORM}), 2) AS {S.NORM} FROM feat GROUP BY ALL")
+def sum_peptidoforms(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(normalize.sum_peptidoforms(features(spark, d)), 2)
+
+
+@query("WITH f AS (SELECT l_suppkey AS protein, l_partkey AS peptide, l_orderkey % 6 AS sample FROM lineitem) SELECT protein, peptide FROM f GROUP BY ALL HAVING count(DISTINCT sample) < 0.2 * (SELECT count(DISTINCT sample) FROM f)")
+def low_frequency_peptides(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("protein"), F.col("l_partkey").alias("peptide"), (F.col("l_orderkey") % 6).alias("sample"))
+    return P.low_frequency_pairs(df, 0.2, "sample", "peptide", "protein")
+
+
+@query(f"WITH {FEAT} SELECT * FROM feat WHERE ({S.SAMPLE}, {S.PROTEIN}) IN (SELECT ({S.SAMPLE}, {S.PROTEIN}) FROM feat GROUP BY {S.SAMPLE}, {S.PROTEIN} HAVING count(DISTINCT {S.PEPTIDE}) >= 30)")
+def min_unique_peptides(spark: SparkSession, d: str) -> DataFrame:
+    return P.min_unique_peptides(features(spark, d), 30)
+
+
+# quantification
+
+for _m, _e in {"sum": "sum", "median": "median", "mean": "avg", "max": "max"}.items():
+    QUERIES[f"quant_{_m}"] = lambda spark, d, m=_m: rounded(quantify.summarize(features(spark, d), S.Summarization.from_str(m), name="value"), 3)
+    ORACLE_SQL[f"quant_{_m}"] = f"WITH {FEAT} SELECT {S.PROTEIN}, {S.SAMPLE}, round({_e}({S.NORM}), 3) AS value FROM feat GROUP BY ALL"
+for _n in (3, 5):
+    QUERIES[f"quant_top{_n}"] = lambda spark, d, n=_n: rounded(quantify.quantify_topn(features(spark, d), n), 3)
+    ORACLE_SQL[f"quant_top{_n}"] = f"WITH {FEAT} SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg({S.NORM}), 3) AS Top{_n}Intensity FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY {S.PROTEIN}, {S.SAMPLE} ORDER BY {S.NORM} DESC) <= {_n}) GROUP BY ALL"
+
+
+def _maxlfq(unit: str, least: int) -> str:
+    return f"""WITH {FEAT}, cell AS (SELECT {S.PROTEIN} AS p, {S.PEPTIDE} AS q, {unit}, sum({S.NORM}) AS x, log2(sum({S.NORM})) AS lx FROM feat GROUP BY ALL),
+np AS (SELECT p, count(DISTINCT q) AS n FROM cell GROUP BY p), big AS (SELECT cell.* FROM cell JOIN np USING (p) WHERE n >= {least}),
+ref AS (SELECT p, q FROM (SELECT p, q, count(*) AS c FROM big GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p ORDER BY c DESC, q) = 1),
+rt AS (SELECT big.p, {unit}, lx AS r FROM big JOIN ref USING (p, q)), sh AS (SELECT big.p, big.q, median(r - lx) AS s FROM big JOIN rt USING (p, {unit}) GROUP BY ALL),
+al AS (SELECT big.p, {unit}, median(lx + coalesce(s, 0)) AS a, sum(x) AS t FROM big LEFT JOIN sh USING (p, q) GROUP BY ALL),
+o AS (SELECT p, {unit}, pow(2::DOUBLE, a) * sum(t) OVER (PARTITION BY p) / sum(pow(2::DOUBLE, a)) OVER (PARTITION BY p) AS v FROM al
+UNION ALL SELECT {S.PROTEIN}, {unit}, median({S.NORM}) FROM feat WHERE {S.PROTEIN} IN (SELECT p FROM np WHERE n < {least}) GROUP BY ALL)
+SELECT p AS {S.PROTEIN}, {unit}, round(v, 3) AS MaxLFQIntensity FROM o WHERE v > 0"""
+
+
+@query(_maxlfq(S.SAMPLE, 2))
+def quant_maxlfq(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.quantify_maxlfq(features(spark, d)), 3)
+
+
+@query(_maxlfq(f"{S.SAMPLE}, {S.RUN}", 40))
+def quant_maxlfq_run(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.quantify_maxlfq(features(spark, d), 40, quantify.Columns(run=S.RUN)), 3)
+
+
+@query(f"WITH {FEAT}, s AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS v FROM feat GROUP BY ALL) SELECT {S.PROTEIN}, {S.SAMPLE}, round(v / sum(v) OVER (PARTITION BY {S.SAMPLE}), 9) AS share FROM s")
+def sample_share(spark: SparkSession, d: str) -> DataFrame:
+    out = quantify.share_of_sample(quantify.quantify_sum(features(spark, d)), "SumIntensity")
+    return out.select(S.PROTEIN, S.SAMPLE, F.round("SumIntensityNorm", 9).alias("share"))
+
+
+@query(f"WITH {PROT} SELECT round(avg(cv), 6) AS mean_cv, count(cv) AS n_proteins FROM (SELECT stddev_samp(x) / avg(x) AS cv FROM prot GROUP BY {S.PROTEIN} HAVING count(DISTINCT {S.SAMPLE}) = (SELECT count(DISTINCT {S.SAMPLE}) FROM prot))")
+def cv_metric(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.cv_metric(proteins(spark, d), "x"))
+
+
+_CMP = f"c AS (SELECT log2(a + 1) AS x, log2(b + 1) AS y FROM (SELECT sum({S.NORM}) AS a, median({S.NORM}) AS b FROM feat GROUP BY {S.PROTEIN}, {S.SAMPLE})), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM c)"
+
+
+@query(f"WITH {FEAT}, {_CMP} SELECT round(corr(x, y), 6) AS pearson, round(corr(rx::DOUBLE, ry::DOUBLE), 6) AS spearman, round(avg(abs(x - y)), 6) AS mean_abs_diff, count(*) AS n FROM r")
+def compare_methods(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    return rounded(quantify.compare_methods(quantify.quantify_sum(f), quantify.quantify_median(f), "SumIntensity", "MedianIntensity"))
+
+
+# iBAQ
+
+_FASTA = "fasta AS (SELECT concat('P', CAST(doc_id AS VARCHAR)) AS accession, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents)"
+_THEORY = f"{_FASTA}, theory AS (SELECT accession, len(list_distinct(list_filter({_CUT}, lambda x: length(x) BETWEEN 7 AND 30))) AS n_peptides, (SELECT 1) AS one, {_MASS.replace('(s', '(s2').replace('length(s)', 'length(s2)')} AS mass FROM (SELECT accession, s, regexp_replace(s, '[^{X.STANDARD}]', '', 'g') AS s2 FROM fasta))"
+
+
+def fasta(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's letters are the sequence of the protein of its number."""
+    return table(spark, d, "documents").select(F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+
+
+_IBAQ_COLS = f"{S.PROTEIN}, {S.SAMPLE}, {S.CONDITION}"
+_IB = f"{FEAT}, {_THEORY}, ib AS (SELECT {_IBAQ_COLS}, sum({S.NORM}) AS ni, sum({S.NORM}) / count(*) / nullif(any_value(n_peptides), 0) AS ibaq, any_value(mass) AS mass FROM feat JOIN theory ON {S.PROTEIN} = accession GROUP BY {_IBAQ_COLS})"
+_IBN = f"{_IB}, ibn AS (SELECT *, ibaq / nullif(sum(ibaq) OVER (PARTITION BY {S.SAMPLE}, {S.CONDITION}), 0) AS norm FROM ib)"
+
+
+def _ibaq(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    return ibaq.ibaq(f, ibaq.group_theory(f, ibaq.theoretical(fasta(spark, d))))
+
+
+@query(f"WITH {_IB} SELECT {_IBAQ_COLS}, round(ibaq, 6) AS ibaq, round(mass, 3) AS mass FROM ib")
+def ibaq_standalone(spark: SparkSession, d: str) -> DataFrame:
+    return _ibaq(spark, d).select(*_IBAQ_COLS.split(", "), F.round(S.IBAQ, 6).alias("ibaq"), F.round(S.MASS, 3).alias("mass"))
+
+
+@query(f"WITH {_IBN} SELECT {_IBAQ_COLS}, round(norm, 9) AS norm, round(CASE WHEN norm > 0 THEN log10(norm) + 10 ELSE 0 END, 6) AS log, round(norm * 1e8, 3) AS ppb FROM ibn WHERE norm IS NOT NULL")
+def ibaq_norm_log_ppb(spark: SparkSession, d: str) -> DataFrame:
+    n = ibaq.normalized(_ibaq(spark, d))
+    return n.select(*_IBAQ_COLS.split(", "), F.round(S.IBAQ_NORM, 9).alias("norm"), F.round(S.IBAQ_LOG, 6).alias("log"), F.round(S.IBAQ_PPB, 3).alias("ppb"))
+
+
+@query(f"WITH {_IB} SELECT {_IBAQ_COLS}, round(ni / coalesce(nullif(mass, 0), 1), 6) AS tpa FROM ib")
+def tpa(spark: SparkSession, d: str) -> DataFrame:
+    return ibaq.total_protein_approach(_ibaq(spark, d)).select(*_IBAQ_COLS.split(", "), F.round(S.TPA, 6).alias("tpa"))
+
+
+_NA = "6.02214129e23::DOUBLE"
+
+
+@query(f"""WITH {_IB}, h AS (SELECT *, ni / greatest(sum(CASE WHEN {S.PROTEIN} IN ('P1', 'P2', 'P3') THEN ni ELSE 0 END) OVER (PARTITION BY {S.CONDITION}), 1) * (2 * 3.22e9::DOUBLE * 617.96 / {_NA} * {_NA}) / mass AS copies FROM ib),
+w AS (SELECT *, copies * (1e9::DOUBLE / {_NA}) AS moles FROM h) SELECT {_IBAQ_COLS}, round(log10(copies), 6) AS log_copies, round(log10(moles), 6) AS log_moles, round(log10(moles * mass), 6) AS log_weight, round(log10(sum(moles * mass) OVER (PARTITION BY {S.CONDITION}) / 1e-9::DOUBLE / 200 * moles), 6) AS log_concentration FROM w""")
+def proteomic_ruler(spark: SparkSession, d: str) -> DataFrame:
+    r = ibaq.proteomic_ruler(_ibaq(spark, d), histone=F.col(S.PROTEIN).isin("P1", "P2", "P3"))
+    log = lambda c: F.round(F.log10(F.col(f"`{c}`")), 6)
+    return r.select(*_IBAQ_COLS.split(", "), log(S.COPIES).alias("log_copies"), log(S.MOLES).alias("log_moles"), log(S.WEIGHT).alias("log_weight"), log(S.CONCENTRATION).alias("log_concentration"))
+
+
+@query(f"WITH {FEAT}, {_THEORY}, s AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS t FROM feat GROUP BY ALL) SELECT {S.PROTEIN}, {S.SAMPLE}, round(CASE WHEN coalesce(n_peptides, 1) = 0 THEN 0 ELSE t / coalesce(n_peptides, 1) END, 3) AS ibaq FROM s LEFT JOIN theory ON {S.PROTEIN} = accession")
+def ibaq_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return ibaq.pipeline_ibaq(features(spark, d), ibaq.theoretical(fasta(spark, d))).select(S.PROTEIN, S.SAMPLE, F.round(S.IBAQ, 3).alias("ibaq"))
+
+
+# reshaping
+
+_SAMPLES = [f"PXD{k % 2}-S{k}" for k in range(6)]
+
+
+@query(f"WITH {PROT} SELECT {S.PROTEIN}, " + ", ".join(f"round(coalesce(max(CASE WHEN {S.SAMPLE} = '{s}' THEN x END), 0), 2) AS \"{s}\"" for s in _SAMPLES) + f" FROM prot GROUP BY {S.PROTEIN}")
+def pivot_wider(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reshape.pivot_wider(proteins(spark, d), S.PROTEIN, S.SAMPLE, "x", True, _SAMPLES), 2)
+
+
+@query(f"WITH {PROT} SELECT p.{S.PROTEIN}, s.{S.SAMPLE}, round(x, 2) AS x FROM (SELECT DISTINCT {S.PROTEIN} FROM prot) p CROSS JOIN (SELECT DISTINCT {S.SAMPLE} FROM prot) s LEFT JOIN prot ON prot.{S.PROTEIN} = p.{S.PROTEIN} AND prot.{S.SAMPLE} = s.{S.SAMPLE}")
+def pivot_longer(spark: SparkSession, d: str) -> DataFrame:
+    wide = reshape.pivot_wider(proteins(spark, d), S.PROTEIN, S.SAMPLE, "x", False, _SAMPLES)
+    return rounded(reshape.pivot_longer(wide, S.PROTEIN, S.SAMPLE, "x"), 2)
+
+
+@query(f"WITH {PROT} SELECT {S.SAMPLE}, count(x) AS Ibaq_count, round(avg(x), 4) AS Ibaq_mean, round(stddev_samp(x), 4) AS Ibaq_std, round(min(x), 4) AS Ibaq_min, round(max(x), 4) AS Ibaq_max, round(quantile_cont(x, 0.25::DOUBLE), 4) AS Ibaq_q25, round(quantile_cont(x, 0.5::DOUBLE), 4) AS Ibaq_q50, round(quantile_cont(x, 0.75::DOUBLE), 4) AS Ibaq_q75 FROM prot GROUP BY ALL")
+def describe_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reshape.describe_metrics(proteins(spark, d).withColumnRenamed("x", S.IBAQ)), 4)
+
+
+@query(f"WITH {PROT} SELECT {S.SAMPLE}, round(min(x), 4) AS least, round(quantile_cont(x, 0.25::DOUBLE), 4) AS q1, round(median(x), 4) AS median, round(quantile_cont(x, 0.75::DOUBLE), 4) AS q3, round(max(x), 4) AS most FROM prot GROUP BY ALL")
+def box_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reshape.box_summary(proteins(spark, d), S.SAMPLE, "x"), 4)
+
+
+# batches
+
+@query(f"WITH {FEAT} SELECT {S.SAMPLE}, dense_rank() OVER (ORDER BY split_part({S.SAMPLE}, '-', 1)) - 1 AS batch FROM (SELECT DISTINCT {S.SAMPLE} FROM feat)")
+def detect_batches(spark: SparkSession, d: str) -> DataFrame:
+    s = features(spark, d).select(S.SAMPLE).distinct()
+    return batch.detect_batches(s, S.BatchSource.SAMPLE_PREFIX).select(S.SAMPLE, F.col("batch").cast("long").alias("batch"))
+
+
+@query("SELECT n_name AS SampleID, dense_rank() OVER (ORDER BY r_name) - 1 AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def covariates(spark: SparkSession, d: str) -> DataFrame:
+    sdrf = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source name"), F.col("r_name").alias("characteristics[region]"))
+    out = batch.covariates(sdrf.select(F.col("source name").alias(S.SAMPLE)), sdrf, ["region"])
+    return out.select(S.SAMPLE, F.col("region").cast("long").alias("region"))
+
+
+@query("SELECT DISTINCT concat(r_name, '-', n_name) AS sample_id, r_name AS batch, r_name AS tissue, n_name AS tissue_part FROM nation JOIN region ON n_regionkey = r_regionkey")
+def meta_from_sdrf(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return batch.sample_metadata(j.select(F.concat("r_name", F.lit("-"), "n_name").alias("source name"), F.col("n_name").alias("characteristics[organism part]"), F.col("r_name").alias("characteristics[organism part].1")))
+
+
+_CB = f"""{PROT}, b AS (SELECT {S.PROTEIN} AS p, {S.SAMPLE} AS s, split_part({S.SAMPLE}, '-', 1) AS b, log2(x) AS x FROM prot),
+ok AS (SELECT p FROM b GROUP BY p HAVING count(*) = (SELECT count(DISTINCT s) FROM b)), c AS (SELECT b.* FROM b JOIN ok USING (p)),
+m AS (SELECT *, avg(x) OVER (PARTITION BY p, b) AS mb, avg(x) OVER (PARTITION BY p) AS g FROM c), v AS (SELECT *, sqrt(avg((x - mb) * (x - mb)) OVER (PARTITION BY p)) AS sd FROM m),
+z AS (SELECT *, (x - g) / sd AS z FROM v WHERE sd > 0), st AS (SELECT b, p, count(*)::DOUBLE AS n, avg(z) AS gh FROM z GROUP BY ALL), pr AS (SELECT b, avg(gh) AS gb, var_samp(gh) AS t2 FROM st GROUP BY b),
+f AS (SELECT b, p, (t2 * n * gh + gb) / (t2 * n + 1) AS gs FROM st JOIN pr USING (b))"""
+
+
+def _logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = proteins(spark, d).withColumn("x", F.log2("x"))
+    return df, batch.detect_batches(df.select(S.SAMPLE).distinct(), S.BatchSource.SAMPLE_PREFIX)
+
+
+@query(f"WITH {_CB} SELECT b.p AS {S.PROTEIN}, b.s AS {S.SAMPLE}, round(coalesce((z.z - gs) * sd + g, b.x), 6) AS x FROM b LEFT JOIN z ON z.p = b.p AND z.s = b.s LEFT JOIN f ON f.p = z.p AND f.b = z.b")
+def combat_mean_only(spark: SparkSession, d: str) -> DataFrame:
+    df, samples = _logs(spark, d)
+    return rounded(batch.combat(df, samples, "x", mean_only=True))
+
+
+@query()
+def combat_parametric(spark: SparkSession, d: str) -> DataFrame:
+    df, samples = _logs(spark, d)
+    return rounded(batch.combat(df, samples, "x"))
+
+
+# alignment, components, imputation
+
+@query(f"WITH {PROT}, l AS (SELECT {S.PROTEIN} AS p, {S.SAMPLE} AS s, log2(x) AS x FROM prot) SELECT a.s AS a, b.s AS b, count(*) AS n, round(median(a.x), 6) AS median_a, round(median(b.x), 6) AS median_b, round(abs(median(a.x) - median(b.x)), 6) AS d FROM l a JOIN l b USING (p) WHERE a.s < b.s GROUP BY ALL")
+def hierarchical_pair_stats(spark: SparkSession, d: str) -> DataFrame:
+    stats = alignment.pair_statistics(_logs(spark, d)[0], S.PROTEIN, S.SAMPLE, "x")
+    out = stats.join(alignment.distance(stats, min_overlap=1), ["a", "b"])
+    return rounded(out.select("a", "b", "n", "median_a", "median_b", "d"))
+
+
+@query()
+def hierarchical_shifts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(alignment.sample_shifts(_logs(spark, d)[0], S.PROTEIN, S.SAMPLE, "x", min_overlap=3))
+
+
+@query()
+def ion_alignment(spark: SparkSession, d: str) -> DataFrame:
+    df = peptides(spark, d).withColumn(S.NORM, F.log2(S.NORM))
+    return rounded(alignment.align_ions(df, S.PROTEIN, S.PEPTIDE, S.SAMPLE, S.NORM))
+
+
+@query()
+def quant_directlfq(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(alignment.quantify_directlfq(features(spark, d)), 3)
+
+
+@query()
+def sample_pca(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(outliers.pca(_logs(spark, d)[0], "x", 3)[0], 6)
+
+
+@query()
+def outlier_removal(spark: SparkSession, d: str) -> DataFrame:
+    return outliers.remove_outliers(_logs(spark, d)[0], "x", min_cluster_size=3, min_samples=2).groupBy(S.SAMPLE).agg(F.count(F.lit(1)).alias("n"))
+
+
+_GAP = f"{PEP}, gap AS (SELECT concat({S.PROTEIN}, '/', {S.PEPTIDE}) AS r, {S.SAMPLE} AS c, sum({S.NORM}) AS x FROM pep WHERE length({S.PEPTIDE}) = 8 GROUP BY ALL), part_gap AS (SELECT * FROM gap WHERE ascii(right(r, 1)) % 3 <> ascii(right(c, 1)) % 4), grid AS (SELECT r, c, x FROM (SELECT DISTINCT r FROM part_gap) CROSS JOIN (SELECT DISTINCT c FROM part_gap) LEFT JOIN part_gap USING (r, c))"
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    gap = peptides(spark, d).where(F.length(S.PEPTIDE) == 8).select(F.concat(S.PROTEIN, F.lit("/"), S.PEPTIDE).alias("r"), F.col(S.SAMPLE).alias("c"), F.col(S.NORM).alias("x"))
+    return gap.where(F.ascii(F.right("r", F.lit(1))) % 3 != F.ascii(F.right("c", F.lit(1))) % 4)
+
+
+_IMPUTE = {"mean": "avg(x) OVER (PARTITION BY c)", "median": "median(x) OVER (PARTITION BY c)", "constant": "0"}
+for _m, _e in _IMPUTE.items():
+    QUERIES[f"impute_{_m}"] = lambda spark, d, m=_m: rounded(impute.impute(_gaps(spark, d), "x", m, row="r", column="c"), 3)
+    ORACLE_SQL[f"impute_{_m}"] = f"WITH {_GAP} SELECT r, c, round(coalesce(x, {_e}), 3) AS x FROM grid"
+
+
+@query(f"WITH {_GAP}, q AS (SELECT r, c, round(x, -4) AS x FROM grid), f AS (SELECT c, x FROM (SELECT c, x, count(*) AS n FROM q WHERE x IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, x) = 1) SELECT r, c, coalesce(q.x, f.x) AS x FROM q LEFT JOIN f USING (c)")
+def impute_most_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return impute.impute(_gaps(spark, d).withColumn("x", F.round("x", -4)), "x", "most_frequent", row="r", column="c")
+
+
+@query(f"""WITH {_GAP}, k AS (SELECT * FROM grid WHERE x IS NOT NULL), h AS (SELECT r, c FROM grid WHERE x IS NULL), nc AS (SELECT count(DISTINCT c) AS n FROM k),
+ds AS (SELECT a.r AS a, b.r AS b, sqrt((SELECT n FROM nc)::DOUBLE / count(*) * sum((a.x - b.x) * (a.x - b.x))) AS d FROM k a JOIN k b USING (c) WHERE a.r <> b.r GROUP BY ALL),
+nn AS (SELECT h.r, h.c, k.x FROM h JOIN ds ON ds.a = h.r JOIN k ON k.r = ds.b AND k.c = h.c QUALIFY row_number() OVER (PARTITION BY h.r, h.c ORDER BY d, ds.b) <= 5), f AS (SELECT r, c, avg(x) AS v FROM nn GROUP BY ALL)
+SELECT r, c, round(coalesce(x, v, avg(x) OVER (PARTITION BY c)), 3) AS x FROM grid LEFT JOIN f USING (r, c)""")
+def impute_knn(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(impute.impute(_gaps(spark, d), "x", "knn", row="r", column="c"), 3)
+
+
+# workflows
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """A long feature view under its raw names."""
+    f = features(spark, d)
+    return f.select(F.array(S.PROTEIN).alias("pg_accessions"), F.col(S.PEPTIDOFORM).alias("peptidoform"), F.col(S.PEPTIDE).alias("sequence"), F.col(S.CHARGE).alias("precursor_charge"), F.lit("LFQ").alias("channel"), F.col(S.CONDITION).alias("condition"), F.col(S.BIOREP).alias("biological_replicate"), F.col(S.RUN).alias("run"), F.col(S.FRACTION).alias("fraction"), F.col(S.NORM).alias("intensity"), F.col(S.SAMPLE).alias("sample_accession"), F.lit(1).alias("unique"))
+
+
+_FLOW = f"""{FEAT}, q AS (SELECT * FROM feat WHERE {S.NORM} > 0 AND length({S.PEPTIDE}) >= 7), u AS (SELECT * FROM q WHERE ({S.SAMPLE}, {S.PROTEIN}) IN (SELECT ({S.SAMPLE}, {S.PROTEIN}) FROM q GROUP BY {S.SAMPLE}, {S.PROTEIN} HAVING count(DISTINCT {S.PEPTIDE}) >= 2) AND {S.PROTEIN} NOT LIKE '%CONTAMINANT%'),
+rs AS (SELECT {S.SAMPLE}, {S.TECHREP}, median({S.NORM}) AS s FROM u GROUP BY ALL), rf AS (SELECT *, s / avg(s) OVER (PARTITION BY {S.SAMPLE}) AS k FROM rs), n AS (SELECT u.* EXCLUDE ({S.NORM}), {S.NORM} / k AS {S.NORM} FROM u JOIN rf USING ({S.SAMPLE}, {S.TECHREP})),
+best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY {_FORM_KEYS} ORDER BY {S.NORM} DESC, {S.PROTEIN}, {S.TECHREP}, {S.FRACTION}) = 1)"""
+
+
+@query(f"WITH {_FLOW}, m AS (SELECT {S.SAMPLE}, median({S.NORM}) AS v FROM feat GROUP BY ALL), f AS (SELECT {S.SAMPLE}, v / (SELECT median(v) FROM m) AS k FROM m) SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, {S.BIOREP}, {S.CONDITION}, round(sum({S.NORM} / k), 3) AS {S.NORM} FROM best JOIN f USING ({S.SAMPLE}) GROUP BY ALL")
+def features_to_peptides(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(workflows.features_to_peptides(_raw(spark, d)), 3)
+
+
+@query(f"WITH {_FLOW}, s AS (SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, {S.BIOREP}, {S.CONDITION}, sum({S.NORM}) AS x FROM best GROUP BY ALL), m AS (SELECT {S.SAMPLE}, median(x) AS v FROM s GROUP BY ALL), f AS (SELECT {S.SAMPLE}, v / (SELECT median(v) FROM m) AS k FROM m), t AS (SELECT s.*, x / k AS y FROM s JOIN f USING ({S.SAMPLE})) SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg(y), 3) AS Top3Intensity FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY {S.PROTEIN}, {S.SAMPLE} ORDER BY y DESC) <= 3) GROUP BY ALL")
+def features_to_proteins_top3(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(workflows.features_to_proteins(_raw(spark, d), workflows.Config(quantification="top3")), 3)
+
+
+@query()
+def features_to_proteins_maxlfq(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(workflows.features_to_proteins(_raw(spark, d)), 3)
+
+
+@query()
+def peptides_to_proteins(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(workflows.peptides_to_proteins(features(spark, d), fasta(spark, d)), 6)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(10)
+    """Features to top-three protein quantities."""
+    return features_to_proteins_top3(spark, sf_dir)
