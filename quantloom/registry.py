@@ -442,9 +442,9 @@ def proteomic_ruler(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*_IBAQ_COLS.split(", "), log(S.COPIES).alias("log_copies"), log(S.MOLES).alias("log_moles"), log(S.WEIGHT).alias("log_weight"), log(S.CONCENTRATION).alias("log_concentration"))
 
 
-@query(f"WITH {FEAT}, {_THEORY}, s AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS t FROM feat GROUP BY ALL) SELECT {S.PROTEIN}, {S.SAMPLE}, round(CASE WHEN coalesce(n_peptides, 1) = 0 THEN 0 ELSE t / coalesce(n_peptides, 1) END, 3) AS ibaq FROM s LEFT JOIN theory ON {S.PROTEIN} = accession")
+@query(f"WITH {FEAT}, {_THEORY}, s AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS t FROM feat GROUP BY ALL) SELECT {S.PROTEIN}, {S.SAMPLE}, round(CASE WHEN coalesce(n_peptides, 1) = 0 THEN 0 ELSE t / coalesce(n_peptides, 1) END, 5) AS ibaq FROM s LEFT JOIN theory ON {S.PROTEIN} = accession")
 def ibaq_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return ibaq.pipeline_ibaq(features(spark, d), ibaq.theoretical(fasta(spark, d))).select(S.PROTEIN, S.SAMPLE, F.round(S.IBAQ, 3).alias("ibaq"))
+    return ibaq.pipeline_ibaq(features(spark, d), ibaq.theoretical(fasta(spark, d))).select(S.PROTEIN, S.SAMPLE, F.round(S.IBAQ, 5).alias("ibaq"))
 
 
 # reshaping
