@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import brown, decontam, langid, licences, lzprint, mixing, recompression, simhash, suffixes, toxicity
+from quantloom.llm import brown, decontam, langid, licences, lzprint, mixing, oracles, recompression, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: The others hash with XXH64 or CRC-32, parse, sort suffixes or learn; they are tested against brute force.
+ORACLE_SQL |= {"op1_templates": oracles.templates(), "op3_recompression": oracles.recompression(), "op6_mixing": oracles.mixing()}
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
