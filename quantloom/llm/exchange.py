@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import CHUNK_BYTES, chunks, pack, unpack
@@ -51,6 +51,15 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInArrow(run, "grp int, kind int, blob binary")
 
 
+def same_order(blob: str) -> tuple[Column, ...]:
+    """Sort keys that put packed rows in one order whenever a task runs again.
+
+    Rows of a shuffle arrive in any order, and what a chunk answers by itself depends on what is in it. A
+    task that is run anew after a loss must not split the answers otherwise than the one before.
+    """
+    return F.xxhash64(blob), F.octet_length(blob)
+
+
 def split_by(which: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """The arrays cut by the value of ``which``, in stable order."""
     if not len(which):
@@ -120,7 +129,7 @@ def meet_in_buckets(routed: DataFrame, groups: int, solve: Callable[..., tuple[n
                 held.append(unpack(blob))
         yield from flush()
 
-    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+    return routed.repartition("bucket").sortWithinPartitions("bucket", *same_order("blob")).mapInArrow(run, ddl)
 
 
 def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Callable[[list[tuple]], object], work: Callable[[object, np.ndarray, pa.RecordBatch, list[bytes]], Iterable[pa.RecordBatch]], ddl: str, answered_only: bool = False) -> DataFrame:
@@ -164,4 +173,4 @@ def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Ca
                     yield from flush()
         yield from flush()
 
-    return grouped(docs, groups).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, ddl)
+    return grouped(docs, groups).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind", *same_order("blob")).mapInArrow(run, ddl)

@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     rows. No documents: no rows. Extra columns are ignored.
     """
     fps = checkpointed(fingerprints(docs, shingle_words, lanes, n_keys if blocking == "shingles" else 0).withColumn("id", F.xxhash64("fp") if lanes > 1 else F.col("fp")[0]))
-    nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     nodes = checkpointed(nodes)
     comps = connected_components(links(nodes, max_bits, lanes, blocking))
     named = nodes.join(comps, nodes.id == comps.node, "left").select("id", F.coalesce("component", "id").alias("component"), "first_doc")
