@@ -103,6 +103,7 @@ _filter("quantile", lambda: filters.quantile_range(0.05, 0.9), f"{S.NORM} BETWEE
 _filter("peptide_length", lambda: filters.peptide_length(9, 50), f"length({S.PEPTIDE}) BETWEEN 9 AND 50")
 _filter("charge_state", lambda: filters.charge_state([2, 3]), f"{S.CHARGE} IN (2, 3)")
 _filter("modification", lambda: filters.modification(["oxidation"]), f"lower({S.PEPTIDOFORM}) NOT LIKE '%oxidation%'")
+_filter("modified_length", lambda: filters.peptide_length(8, 20, S.PEPTIDOFORM), f"length(regexp_replace({S.PEPTIDOFORM}, '\\(.*?\\)', '', 'g')) BETWEEN 8 AND 20")
 _filter("search_score", lambda: filters.search_score(25.0), "searchScore >= 25")
 _filter("sequence_pattern", lambda: filters.sequence_pattern(["E1", "9$"]), f"NOT regexp_matches({S.PEPTIDE}, 'E1|9$')")
 _filter("fdr", lambda: filters.fdr(0.05), "q_value <= 0.05")
@@ -204,6 +205,14 @@ def missed_cleavages(spark: SparkSession, d: str) -> DataFrame:
 _MASS = "18.010565::DOUBLE + " + " + ".join(f"(length(s) - length(replace(s, '{k}', ''))) * {v}::DOUBLE" for k, v in X.RESIDUE_MASS.items())
 
 
+_MISSED = "(len(regexp_extract_all(t, '[KR]')) - len(regexp_extract_all(t, '[KR]P')) - CASE WHEN regexp_matches(t, '[KR]$') THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, CASE WHEN length(s) > 1 THEN left(s, length(s) - 1) ELSE s END AS t FROM ({_SEQ})) WHERE {_MISSED} <= 40")
+def filter_missed_cleavage(spark: SparkSession, d: str) -> DataFrame:
+    return filters.missed_cleavage(40, column="s")(_sequences(spark, d)).select("doc_id")
+
+
 @query(f"SELECT doc_id, round(CASE WHEN length(s) > 0 THEN {_MASS} END, 3) AS mass, (length(s) - length(regexp_replace(s, '[^{X.STANDARD}]', '', 'g')))::BIGINT AS n_nonstandard, length(translate(s, '{X.STRIPPED}', ''))::BIGINT AS n_stripped FROM ({_SEQ})")
 def peptide_mass(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s")
