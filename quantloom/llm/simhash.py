@@ -83,28 +83,24 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
 
 
 def linked_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links between two index sets (or within one), thinned to those that join groups not joined yet."""
-    found: list[tuple[int, int]] = []
-    parent = {int(i): int(i) for i in np.concatenate([left, right])}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+    """Links between two index sets (or within one) that join what no other one has joined yet.
 
+    Only fingerprints that are still apart are compared, so a dense block costs little more than its size.
+    """
+    found: list[tuple[int, int]] = []
+    label = np.arange(len(ids))
     within = left is right
     for n, i in enumerate(left):
         others = right[n + 1 :] if within else right
-        if not len(others):
-            continue
-        near = others[(np.abs(table[others] - table[i]) <= max_bits).all(axis=1)]
-        if len(near):
-            near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1) <= max_bits]
-        for j in near.tolist():
-            a, b = root(int(i)), root(j)
-            if a != b:
-                parent[a] = b
-                found.append((int(ids[i]), int(ids[j])))
+        others = others[label[others] != label[i]]
+        if len(others):
+            others = others[(np.abs(table[others] - table[i]) <= max_bits).all(axis=1)]
+        if len(others):
+            others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= max_bits]
+        while len(others):
+            found.append((int(ids[i]), int(ids[others[0]])))
+            label[label == label[others[0]]] = label[i]
+            others = others[label[others] != label[i]]
     return found
 
 
