@@ -6,10 +6,17 @@ coordinate difference exceeds the limit is discarded unseen; survivors are verif
 
 Pairs meet in blocks. ``segments``: the fingerprint is cut in max_bits + 2 segments, of which a linked
 pair agrees on at least two; every two segments are a block key, so no link is lost. ``shingles``: the
-smallest ``n_keys`` shingle hashes are the keys, for wide limits that segments cannot serve.
-A block of more than ``CHUNK`` fingerprints is compared chunk by chunk with chunk, each pair of chunks a
+smallest ``n_keys`` shingle hashes are the keys, for wide limits that segments cannot serve; they find most
+links, not all. A block of more than ``CHUNK`` fingerprints is compared chunk by chunk with chunk, each pair of chunks a
 row of its own, and hands on only the links that join what was apart: no task gets a whole block and
 no block becomes all its pairs.
+
+``prefix`` links by the Jaccard likeness of the distinct shingles instead, without loss. Shingles have one
+order (those common in a sample last, then by hash); of n shingles the first n - ceil(similarity * n) + 1
+are keys, so that two texts that are alike enough share one. Pairs that their sizes and the places of
+their keys allow are screened by fingerprints of the distinct shingles, at a limit (``max_bits``) far
+above the distance at that likeness, and survivors are verified on the shingles themselves. Blocks of
+more than WINDOW + 1 texts first compare neighbours in size, then all that is still apart.
 """
 
 from __future__ import annotations
@@ -19,16 +26,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed, chunks, keyed, mix
+from quantloom.llm.common import checkpointed, chunks, keyed, mix, pack, unpack
+from quantloom.llm.exchange import split_by
 from quantloom.llm.graph import connected_components
 
 N_PIVOTS = 32
 CHUNK = 512
 SEED = 42
+#: Neighbours in size that a text of a prefix block is compared with before components are known.
+WINDOW = 4
+#: Texts whose shingles tell which ones are common. Only the order of keys depends on them, no link does.
+SAMPLE = 20_000
+#: Rows that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 def shingle_hashes(text: bytes, n_words: int) -> np.ndarray:
@@ -145,7 +160,170 @@ def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, lanes: int = 1, blocking: str = "segments", n_keys: int = 0) -> DataFrame:
+def shingle_set(text: bytes, n_words: int) -> np.ndarray:
+    """The distinct shingles, as sorted scrambled hashes."""
+    return np.unique(mix(shingle_hashes(text, n_words)))
+
+
+def common_shingles(docs: DataFrame, n_words: int, least: int = 20, most: int = 200_000) -> np.ndarray:
+    """Shingles of at least ``least`` texts of a sample, rarest first."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            sets = [shingle_set(t, n_words) for t in texts]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    picked = docs.select("text").distinct() if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
+    rows = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a sorted shingle set, in the order of all sets; ``common`` is sorted and ``places`` its rank."""
+    n = len(own)
+    if not n:
+        return own
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        hot = common[at] == own
+        own = np.concatenate([own[~hot], own[hot][np.argsort(places[at[hot]])]])
+    return own[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> DataFrame:
+    """doc_id, row_key, id (hash of the distinct shingles), n (their number), fp (their fingerprint), keys (their prefix)."""
+    hot = common_shingles(docs, n_words)
+    places = np.argsort(hot)
+    common = hot[places]
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            sets = [shingle_set(t, n_words) for t in texts]
+            ids = np.array([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets], dtype=np.uint64).view(np.int64)
+            fps = [simhash(u, lanes).view(np.int64) for u in sets]
+            keys = [prefix(u, common, places, similarity).view(np.int64) for u in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(ids), pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, schema.field(4).type), pa.array(keys, schema.field(5).type)], schema=schema)
+
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, row_key long, id long, n long, fp array<bigint>, keys array<bigint>")
+
+
+def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, similarity: float, apart: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """Candidates among rows that share a key: neighbours in size or, ``apart``, all of large blocks that have other components; and if there are large blocks."""
+    order = np.lexsort((ids, n, key))
+    key, ids, n, at, comp = key[order], ids[order], n[order], at[order], comp[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        # no more shingles than those from the first shared key on can be shared
+        ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (comp[i] != comp[j])
+        if ok.any():
+            a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
+            b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
+
+    if apart:
+        for s, m in zip(starts[sizes > WINDOW + 1].tolist(), sizes[sizes > WINDOW + 1].tolist(), strict=True):
+            for i in range(s, s + m - 1 if (comp[s : s + m] != comp[s]).any() else s):
+                stop = s + int(np.searchsorted(n[s : s + m], n[i] / similarity + 1e-6, side="right"))
+                keep(np.full(max(stop - i - 1, 0), i), np.arange(i + 1, stop))
+    else:
+        left = (np.repeat(starts + sizes, sizes) - np.arange(len(key))) - 1  # rows after each in its block
+        for d in range(1, WINDOW + 1):
+            i = np.flatnonzero(left >= d)
+            keep(i, i + d)
+    return a, b, bool((sizes > WINDOW + 1).any())
+
+
+def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (id, n, keys, comp) that may be alike. A row of a = b tells that there are large blocks."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            sizes = np.asarray(pc.list_value_length(keys)).astype(np.int64)
+            flat = np.asarray(pc.list_flatten(keys)).view(np.uint64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids, n, comp = (np.asarray(batch.column(c)) for c in ("id", "n", "comp"))
+            cuts = list(split_by((flat % np.uint64(buckets)).astype(np.int32), flat, ids[row], n[row].astype(np.int32), at.astype(np.int32), comp[row]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in cuts], pa.int32()), pa.array([pack(*cut) for _, cut in cuts], pa.binary())], names=["bucket", "blob"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b, large = _meet(*(np.concatenate(x) for x in zip(*held, strict=True)), similarity, apart)
+                held.clear()
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
+                if large:
+                    pairs = np.concatenate([pairs, np.zeros((1, 2), np.int64)])
+                for i in range(0, len(pairs), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, c]) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if k != bucket:
+                    yield from flush()
+                    bucket = k
+                held.append(unpack(blob))
+        yield from flush()
+
+    rows = nodes.select("id", "n", "comp", "keys").mapInArrow(route, "bucket int, blob binary")
+    return checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct())
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lanes: int, max_bits: int, similarity: float) -> DataFrame:
+    """The pairs whose fingerprints are within ``max_bits`` and whose distinct shingles have a Jaccard likeness of ``similarity`` or more."""
+    fps = nodes.select("id", "fp")
+    both = pairs.where("a <> b").join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    distance = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(lanes)), F.lit(0))
+    near = checkpointed(both.where(distance <= max_bits).select("a", "b"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    reps = checkpointed(nodes.join(wanted, "id").select(F.col("rep").alias("row_key"), "id"))
+    texts = keyed(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(reps) if reps.count() <= MOST_BROADCAST else reps, "row_key").select("id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts_ in chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle_set(t, n_words).tobytes() for t in texts_], pa.binary())], names=["id", "own"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(shared >= similarity * (len(u) + len(v) - shared) - 1e-9)
+            out = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+
+    own = texts.mapInArrow(sets, "id long, own binary").groupBy("id").agg(F.min("own").alias("own"))
+    met = near.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    return checkpointed(met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
+
+def alike_documents(docs: DataFrame, shingle_words: int, lanes: int, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of documents (doc_id, row_key, fp, id), nodes (id, first_doc) and components of nodes, by likeness of the distinct shingles."""
+    fps = checkpointed(shingled(docs, shingle_words, lanes, similarity))
+    nodes = checkpointed(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    n_keys = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = max(12, n_keys >> 20)
+    how = (shingle_words, lanes, max_bits, similarity)
+    pairs = candidates(nodes.withColumn("comp", F.col("id")), similarity, buckets, apart=False)
+    found = alike(docs, nodes, pairs, *how)
+    comps = connected_components(found)
+    if not pairs.where("a = b").isEmpty():
+        named = nodes.join(comps, nodes.id == comps.node, "left").withColumn("comp", F.coalesce("component", "id"))
+        comps = connected_components(found.unionAll(alike(docs, nodes, candidates(named, similarity, buckets, apart=True), *how)))
+    return fps, nodes, comps
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, lanes: int = 1, blocking: str = "segments", n_keys: int = 0, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, row_key, fp, component (a fingerprint's hash), component_id (smallest doc_id reachable over links, itself included).
 
     Documents with equal fingerprints are one node of the graph, so copies cost a single row. Texts that
@@ -153,11 +331,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     they have no keys and link only with each other). Null doc_ids are kept as rows and never named as a
     component unless the whole component has none (then null). Repeated rows and repeated ids keep their
     rows. No documents: no rows. Extra columns are ignored.
+
+    With blocking ``prefix`` a node is a set of distinct shingles, and a link a Jaccard likeness of
+    ``similarity`` or more; fp is the fingerprint of the distinct shingles.
     """
+    if blocking == "prefix":
+        return _named(*alike_documents(docs, shingle_words, lanes, max_bits, similarity))
     fps = checkpointed(fingerprints(docs, shingle_words, lanes, n_keys if blocking == "shingles" else 0).withColumn("id", F.xxhash64("fp") if lanes > 1 else F.col("fp")[0]))
     nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     nodes = checkpointed(nodes)
-    comps = connected_components(links(nodes, max_bits, lanes, blocking))
+    return _named(fps, nodes, connected_components(links(nodes, max_bits, lanes, blocking)))
+
+
+def _named(fps: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     named = nodes.join(comps, nodes.id == comps.node, "left").select("id", F.coalesce("component", "id").alias("component"), "first_doc")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     by_fp = named.join(smallest, "component").select("id", "component", "component_id")

@@ -400,3 +400,34 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if k < len(c.STAGES) - 1:
             assert docs.columns == names and 0 < docs.count() <= before.count()
     assert docs.count() > 0 and {"doc_id", "source", "pass", "order_key"} <= set(docs.columns)
+
+
+def _alike(texts, n=5, least=0.8):
+    """Component of each text by brute force on the distinct shingles."""
+    own = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        own.append({b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    return components(list(range(len(texts))), own, lambda a, b: a == b or len(a & b) >= least * len(a | b) - 1e-9)
+
+
+def _near(spark, texts):
+    import corpus_pipeline as c
+
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), **c.NEAR).collect()}
+
+
+def test_near_duplicate_stage_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    line, texts = " ".join(f"boiler{i}" for i in range(15)), []
+    for g in range(12):  # lengths from 6 words on; edits around a likeness of 0.8; some under one repeated line
+        w = [f"g{g}w{i}" for i in range(int(rng.integers(6, 300)))]
+        for c in range(5):
+            v = list(w)
+            for i in rng.choice(len(v), int(rng.integers(0, 2 + len(v) // 40)), replace=False):
+                v[i] = f"edit{g}c{c}i{i}"
+            texts.append((f"{line} " * 200 if g % 3 == 0 else "") + " ".join(v))
+    texts += [" ".join(f"family{i}" if i != k else f"own{k}" for i in range(200)) for k in range(30)]  # one large block
+    got = _near(spark, texts)
+    assert [got[i] for i in range(len(texts))] == _alike(texts)
