@@ -431,3 +431,10 @@ def test_near_duplicate_stage_loses_no_link(spark):
     texts += [" ".join(f"family{i}" if i != k else f"own{k}" for i in range(200)) for k in range(30)]  # one large block
     got = _near(spark, texts)
     assert [got[i] for i in range(len(texts))] == _alike(texts)
+
+
+def test_near_duplicate_stage_keeps_what_is_less_alike(spark):
+    # 196 shingles shared and 36 to each: a likeness of 0.73
+    texts = [" ".join([*(f"g{g}w{i}" for i in range(200)), *(f"g{g}c{c}w{i}" for i in range(36))]) for g in range(20) for c in range(2)]
+    got = _near(spark, texts)
+    assert [got[i] for i in range(len(texts))] == list(range(len(texts))) == _alike(texts)
