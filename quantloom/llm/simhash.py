@@ -119,8 +119,8 @@ def linked_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, left: np.n
     return found
 
 
-def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str) -> DataFrame:
-    """(a, b): links that connect the nodes (id long, fp array<long>, keys array<long>, one row per id) within ``max_bits``."""
+def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str, keys_of: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that connect the nodes (id long, fp array<long>, one row per id) within ``max_bits``; ``keys_of`` (id, keys array<long>, rows of one id add up) serves blocking ``shingles``."""
     if blocking == "segments":
         n_seg = max_bits + 2
         cuts = [round(64 * lanes * k / n_seg) for k in range(n_seg + 1)]
@@ -129,7 +129,7 @@ def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str) -> DataFra
         keys = F.array(*[F.xxhash64(F.lit(n), seg[i], seg[j]) for n, (i, j) in enumerate(combinations(range(n_seg), 2))])
         with_keys = nodes.withColumn("bits", bits).select("id", "fp", F.explode(keys).alias("key"))
     else:
-        with_keys = nodes.select("id", "fp", F.explode("keys").alias("key"))
+        with_keys = nodes.select("id", "fp").join(keys_of.select("id", F.explode("keys").alias("key")).distinct(), "id")
     counts = with_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = with_keys.join(counts, "key").withColumn("n_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
     packed = members.groupBy("key", "n_chunks", "chunk").agg(F.collect_list(F.struct("id", "fp")).alias("m"))
@@ -338,9 +338,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     if blocking == "prefix":
         return _named(*alike_documents(docs, shingle_words, lanes, max_bits, similarity))
     fps = checkpointed(fingerprints(docs, shingle_words, lanes, n_keys if blocking == "shingles" else 0).withColumn("id", F.xxhash64("fp") if lanes > 1 else F.col("fp")[0]))
-    nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"))
     nodes = checkpointed(nodes)
-    return _named(fps, nodes, connected_components(links(nodes, max_bits, lanes, blocking)))
+    return _named(fps, nodes, connected_components(links(nodes, max_bits, lanes, blocking, fps)))
 
 
 def _named(fps: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:

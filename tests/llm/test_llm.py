@@ -438,3 +438,18 @@ def test_near_duplicate_stage_keeps_what_is_less_alike(spark):
     texts = [" ".join([*(f"g{g}w{i}" for i in range(200)), *(f"g{g}c{c}w{i}" for i in range(36))]) for g in range(20) for c in range(2)]
     got = _near(spark, texts)
     assert [got[i] for i in range(len(texts))] == list(range(len(texts))) == _alike(texts)
+
+
+def test_equal_fingerprints_keep_the_keys_of_all_members(spark):
+    # a line so often that it alone decides the fingerprint: three texts are one node, two words apart
+    line = " ".join(f"line{i}" for i in range(7)) + " "
+    texts = [line * 400 + " ".join(f"own{c}w{i}" for i in range(40)) for c in range(3)]
+    fps = simhash.fingerprints(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), 5, 1, 8).collect()
+    assert len({tuple(r.fp) for r in fps}) == 1 and len({tuple(r.keys) for r in fps}) == 3
+    # each of the members' keys leads to a further fingerprint
+    near = [common.signed((fps[0].fp[0] & (1 << 64) - 1) ^ 1 << k) for k in range(3)]
+    rows = [(r.fp[0], list(r.fp), list(r.keys)) for r in fps] + [(f, [f], [max(set(r.keys) - {k for o in fps if o is not r for k in o.keys})]) for f, r in zip(near, fps, strict=True)]
+    table = spark.createDataFrame(rows, "id long, fp array<long>, keys array<long>")
+    nodes = table.groupBy("id").agg(F.min("fp").alias("fp"))
+    found = graph.connected_components(simhash.links(nodes, 1, 1, "shingles", table)).collect()
+    assert len(found) == 4 and len({r.component for r in found}) == 1
