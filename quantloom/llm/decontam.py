@@ -56,14 +56,30 @@ def _windows_of(hashes: Column, window: int) -> Column:
     return F.when(n >= window, many).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placed(hashes: Column, window: int, shorter: list[int]) -> Column:
+    """array<struct<at, h>>: the windows, and those of ``shorter`` lengths, with their places."""
+
+    def whole(h: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.cast("int").alias("at"), F.xxhash64(F.slice(h, i + 1, n)).alias("h")))
+
+    def of(h: Column) -> Column:
+        own = F.transform(_windows_of(h, window), lambda x, i: F.struct(i.alias("at"), x.alias("h")))
+        none = F.slice(own, 1, 0)
+        # a text below a window is one window of its whole already
+        more = [F.when(F.size(h) > n, whole(h, n)).otherwise(none) for n in shorter]
+        return F.concat(own, *more)
+
+    return F.transform(F.array(hashes), of)[0]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows: int = 6) -> DataFrame:
     """row_key, doc_id, item_id, n_windows, n_slots, n_changed: documents that contain a passage of an item.
 
     A match has ``min_windows`` windows of ``window`` template tokens at one offset, or all windows of an
     item that has fewer: passages of ``window + min_windows - 1`` tokens. n_slots counts placeholders in
     it, n_changed those with another value than in the item; equal values in the item must stand for equal
-    values in the document. Of several offsets the one with most windows is told. An item or document
-    shorter than a window is one window. row_key is a hash of doc_id and text. Null texts have no tokens;
+    values in the document. Of several offsets the one with most windows is told. An item
+    shorter than a window is one window, which documents have at every place. row_key is a hash of doc_id and text. Null texts have no tokens;
     null ids are kept. Repeated rows match alike and give one row. Empty tables: no rows. Extra columns
     are ignored.
     """
@@ -72,7 +88,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
     item_windows = items.withColumn("h", _windows(F.transform("item_tokens", lambda x: F.xxhash64(x["tmpl"])), window)).withColumn("of", F.size("h"))
     item_windows = checkpointed(item_windows.select("item_id", "of", F.posexplode("h").alias("item_at", "h")))
     small = item_windows.count() <= MOST_BROADCAST
-    doc_windows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(_windows(hashed(F.col("text")), window)).alias("at", "h"))
+    shorter = sorted(r[0] for r in items.where(F.size("item_tokens") < window).select(F.size("item_tokens")).distinct().collect())
+    doc_keys = ["doc_id", F.xxhash64("doc_id", "text").alias("row_key")]
+    if shorter:
+        doc_windows = docs.select(*doc_keys, F.explode(_placed(hashed(F.col("text")), window, shorter)).alias("w")).select("doc_id", "row_key", "w.at", "w.h")
+    else:
+        doc_windows = docs.select(*doc_keys, F.posexplode(_windows(hashed(F.col("text")), window)).alias("at", "h"))
     met = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "h")
     steps = met.groupBy("row_key", "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.min("item_at").alias("lo"), (F.max("item_at") + window - 1).alias("hi"))
     found = checkpointed(steps.where(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("of"))))

@@ -453,3 +453,10 @@ def test_equal_fingerprints_keep_the_keys_of_all_members(spark):
     nodes = table.groupBy("id").agg(F.min("fp").alias("fp"))
     found = graph.connected_components(simhash.links(nodes, 1, 1, "shingles", table)).collect()
     assert len(found) == 4 and len({r.component for r in found}) == 1
+
+
+def test_decontamination_finds_short_items_inside_texts(spark):
+    bench = spark.createDataFrame([(1, "how many moons orbit jupiter"), (2, "is the ocean green or blue"), (3, "we sold 12 apples today")], "item_id long, text string")
+    rows = [(1, "Well then. how many moons orbit jupiter is asked by many people in this long text"), (2, "how many moons orbit jupiter"), (3, "how many moons orbit saturn, as is asked by many people here"), (4, "so is the ocean green or blue"), (5, "then we sold 40 apples today and they were all rather good ones"), (6, "how many moons"), (7, None)]
+    got = {(r.doc_id, r.item_id, r.n_windows, r.n_changed) for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, 1, 0), (2, 1, 1, 0), (4, 2, 1, 0), (5, 3, 1, 1)}
