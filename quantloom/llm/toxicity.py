@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ SECOND_PERSON = {w.encode() for w in "you your yours yourself u ur tu te toi ton
 LEET = bytes.maketrans(b"0134578@$!|", b"oleastbasii")
 FEATURES = ["log_words", "lexicon_density", "lexicon_weight", "lexicon_most", "lexicon_kinds", "stem_density", "stem_weight", "hidden_density", "second_person", "near_second_person", "capitals", "all_caps", "exclamations", "questions", "punctuation", "obfuscated", "digits", "repeats", "mean_length", "distinct"]
 _EDGE = re.compile(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$")
-_MIXED = re.compile(rb"[A-Za-z\x80-\xff][0-9@$!|*#]+[A-Za-z\x80-\xff]")
-_REPEAT = re.compile(rb"(.)\1\1")
+_TRIM = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_MIXED = r"[A-Za-z\x{80}-\x{10FFFF}][0-9@$!|*#]+[A-Za-z\x{80}-\x{10FFFF}]"
+_SECOND = pa.array(sorted(w.decode() for w in SECOND_PERSON))
 
 
 def core(word: bytes) -> bytes:
@@ -34,9 +36,10 @@ def core(word: bytes) -> bytes:
     return _EDGE.sub(b"", word).lower()
 
 
-def plain(word: bytes) -> bytes:
-    """The word with look-alikes turned to letters and other marks taken out."""
-    return re.sub(rb"[^a-z\x80-\xff]", b"", word.lower().translate(LEET))
+def plain(words: pa.StringArray) -> pa.Array:
+    """The words with look-alikes turned to letters and other marks taken out."""
+    joined = b"\n".join(words.cast(pa.binary()).to_pylist()).lower().translate(LEET)
+    return pa.array(re.sub(rb"[^a-z\n\x80-\xff]", b"", joined).split(b"\n"), pa.binary())
 
 
 def stems(c: bytes) -> list[bytes]:
@@ -45,71 +48,76 @@ def stems(c: bytes) -> list[bytes]:
     return [b"\x01" + s[:k].encode() for k in (4, 5) if len(s) > k]
 
 
-class Lexicon(dict):
-    """Remembers what is known of a word: (lexicon weight, stem weight, flags, length), as a row number of ``rows``."""
-
-    def __init__(self, weights: dict[bytes, float], most: int = 200_000):
-        super().__init__()
-        self.weights, self.most = weights, most
-        self.rows: list[tuple] = []
-        self._made, self._filled = np.zeros((0, 13)), 0
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            raise OverflowError
-        c, w = core(word), self.weights
-        own = w.get(c, 0.0)
-        stem = max([w.get(s, 0.0) for s in stems(c)], default=0.0)
-        mixed = bool(_MIXED.search(word))
-        hidden = 0.0
-        if not own and (mixed or not c.isalpha()):
-            hidden = w.get(plain(word), 0.0)
-        text = word.decode(errors="replace")
-        upper = sum(map(str.isupper, text))
-        letters = sum(map(str.isalpha, text))
-        marks = len(text) - letters - sum(map(str.isdigit, text))
-        self[word] = n = len(self.rows)
-        self.rows.append((own, stem, hidden, c in SECOND_PERSON, upper, letters > 1 and upper == letters, word.count(b"!"), word.count(b"?"), marks, mixed, any(map(str.isdigit, text)), bool(_REPEAT.search(c)), len(text)))
-        return n
-
-    def features(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        n = len(words)
-        if not n:
-            return np.zeros(len(FEATURES))
-        try:
-            code = list(map(self.__getitem__, words))
-        except OverflowError:
-            self.forget()
-            try:
-                code = list(map(self.__getitem__, words))
-            except OverflowError:  # more distinct words in one text than are remembered
-                own = Lexicon(self.weights, n + 1)
-                return own.features(text)
-        x = self.table()[code]
-        hit = np.maximum(x[:, 0], x[:, 2]) > 0
-        second = x[:, 3] > 0
-        near = 0.0
-        if hit.any() and second.any():
-            close = np.convolve(second, np.ones(7), "same") > 0
-            near = float((hit & close).sum())
-        chars, strong = x[:, 12].sum(), np.maximum(x[:, 0], x[:, 2])
-        kinds = len(set(np.asarray(code)[hit].tolist()))
-        return np.array([np.log1p(n), hit.sum() / n, strong.sum() / n, strong.max(), min(kinds, 50), (x[:, 1] > 0).sum() / n, x[:, 1].sum() / n, (x[:, 2] > 0).sum() / n, second.sum() / n, near / n, x[:, 4].sum() / chars, x[:, 5].sum() / n, x[:, 6].sum() / n, x[:, 7].sum() / n, x[:, 8].sum() / chars, x[:, 9].sum() / n, x[:, 10].sum() / n, x[:, 11].sum() / n, chars / n, len(set(code)) / n])
-
-    def table(self) -> np.ndarray:
-        """``rows`` as an array that grows by doubling."""
-        n = len(self.rows)
-        if n > self._filled:
-            if n > len(self._made):
-                self._made = np.concatenate([self._made, np.zeros((max(n, len(self._made), 1024), 13))])
-            self._made[self._filled : n] = self.rows[self._filled :]
-            self._filled = n
-        return self._made
-
-    def forget(self) -> None:
-        self.clear()
-        self.rows, self._filled = [], 0
+def thrice(words: pa.StringArray) -> np.ndarray:
+    """Whether a byte of the word stands three times in a row."""
+    out = np.zeros(len(words), bool)
+    _, offsets, values = words.buffers()
+    if values is not None:
+        data = np.frombuffer(values, dtype=np.uint8)
+        ends = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1][1:]
+        at = np.flatnonzero((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]))
+        word = np.searchsorted(ends, at, side="right")
+        out[word[(word < len(ends)) & (at + 2 < ends[np.minimum(word, len(ends) - 1)])]] = True
+    return out
+
+
+class Lexicon:
+    """The weights of words and stems, and the features of texts by them, a chunk of texts at a time."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        self.terms = pa.array(list(weights), pa.binary())
+        self.weights = np.append(np.array(list(weights.values()), dtype=np.float64), 0.0)
+
+    def weight(self, terms: pa.Array) -> np.ndarray:
+        """The weights of terms, 0 of unknown ones."""
+        at = pc.index_in(terms.cast(pa.binary()), value_set=self.terms)
+        return self.weights[np.asarray(pc.fill_null(at, len(self.weights) - 1))]
+
+    def kinds(self, words: pa.StringArray) -> np.ndarray:
+        """One row for each distinct word: (lexicon weight, stem weight, hidden weight, second person, capitals, all capitals, exclamations, questions, marks, mixed, digits, repeats, length)."""
+        core = pc.ascii_lower(pc.ascii_trim(words, _TRIM))
+        own = self.weight(core)
+        size = np.asarray(pc.utf8_length(core))
+        stem = np.maximum(*(np.where(size > k, self.weight(pc.binary_join_element_wise("\x01", pc.utf8_slice_codeunits(core, 0, k), "")), 0.0) for k in (4, 5)))
+        mixed = np.asarray(pc.match_substring_regex(words, _MIXED))
+        look = np.flatnonzero((own == 0) & (mixed | ~np.asarray(pc.match_substring_regex(core, "^[a-z]+$"))))
+        hidden = np.zeros(len(words))
+        if len(look):
+            hidden[look] = self.weight(plain(words.take(pa.array(look))))
+        length, upper, letters, digits = (np.asarray(x).astype(np.int64) for x in (pc.utf8_length(words), pc.count_substring_regex(words, r"\p{Lu}"), pc.count_substring_regex(words, r"\p{L}"), pc.count_substring_regex(words, r"\p{Nd}")))
+        second = np.asarray(pc.is_in(core, value_set=_SECOND))
+        shouts, asks = (np.asarray(pc.count_substring(words, m)) for m in "!?")
+        return np.stack([own, stem, hidden, second, upper, (letters > 1) & (upper == letters), shouts, asks, length - letters - digits, mixed, digits > 0, thrice(core), length], axis=1).astype(np.float64)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """A row of ``FEATURES`` for each text; null texts and texts without words have zeros."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        n_parts, words = np.asarray(pc.list_value_length(split)).astype(np.int64), pc.list_flatten(split)
+        real = np.asarray(pc.binary_length(words)) > 0
+        doc = np.repeat(np.arange(len(texts)), n_parts)[real]
+        out = np.zeros((len(texts), len(FEATURES)))
+        if not len(doc):
+            return out
+        coded = words.filter(pa.array(real)).dictionary_encode()
+        code, table = np.asarray(coded.indices).astype(np.int64), self.kinds(coded.dictionary)
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        has, n = doc[starts], np.diff(np.r_[starts, len(doc)]).astype(np.float64)
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(x, starts, dtype=np.float64)
+
+        strong = np.maximum(table[:, 0], table[:, 2])
+        hit, second = (strong > 0)[code], (table[:, 3] > 0)[code]
+        near = np.zeros(len(doc), bool)
+        for d in range(-3, 4) if hit.any() and second.any() else ():
+            a, b = (slice(0, max(len(doc) - abs(d), 0)), slice(abs(d), len(doc)))[:: 1 if d >= 0 else -1]
+            near[a] |= hit[a] & second[b] & (doc[a] == doc[b])
+        seen = np.unique(doc * len(table) + code)
+        kinds, hits = (np.bincount(x // len(table), minlength=len(texts))[has] for x in (seen, seen[(strong > 0)[seen % len(table)]]))
+        sums = [total(table[:, k][code]) for k in range(4, 13)]
+        upper, shout, asks, marks, chars = sums[0], sums[2], sums[3], sums[4], sums[8]
+        out[has] = np.stack([np.log1p(n), total(hit) / n, total(strong[code]) / n, np.maximum.reduceat(strong[code], starts), np.minimum(hits, 50), total((table[:, 1] > 0)[code]) / n, total(table[:, 1][code]) / n, total((table[:, 2] > 0)[code]) / n, total(second) / n, total(near) / n, upper / chars, sums[1] / n, shout / n, asks / n, marks / chars, sums[5] / n, sums[6] / n, sums[7] / n, chars / n, kinds / n], axis=1)
+        return out
 
 
 @dataclass
@@ -208,9 +216,10 @@ def _per_text(docs: DataFrame, weights: dict[bytes, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
-        for part, texts in chunks(batches):
-            x = pa.array([lexicon.features(t).tolist() for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), x], names=[*names, "x"])
+        for part, _ in chunks(batches):
+            x = lexicon.features(part.column("text"))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), rows], names=[*names, "x"])
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.mapInArrow(run, f"{ddl}, x array<double>")
@@ -256,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size
     sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").withColumn("part", part))
     weights = _lexicon(sample.where("part <> 0").select("text", "y"), lexicon_size, min_docs)
     # max_rows rows of a few numbers
-    rows = _per_text(sample, weights).orderBy("doc_id", "x").collect()
+    rows = sorted(_per_text(sample, weights).collect(), key=lambda r: (r["doc_id"], r["x"]))
     x, y, own = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("x", "y", "part"))
     train, rest = own != 0, own == 0
     if not len(rows) or len(set(y[train].tolist())) < 2:
@@ -273,25 +282,29 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Null and empty texts get the score of a text without words. Null doc_ids are never held out. Repeated
     rows are scored each; no rows: no rows. Extra columns are ignored.
     """
-    feats = _per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.weights)
+    plain_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+        lexicon = Lexicon(model.weights)
+        for part, _ in chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(lexicon.features(part.column("text"))), pa.float64())], names=["doc_id", "score"])
 
-    scored = feats.mapInArrow(run, "doc_id long, score double")
+    scored = plain_rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more; columns and values are those of ``docs``.
+
+    Null and empty texts are judged as texts without words, repeated rows each by itself, whatever their
+    ids; null doc_ids are no labelled rows. Without usable labels every score is 0 and all rows stay. No
+    documents: no rows.
+    """
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.weights)
-        for part, texts in chunks(batches):
-            x = np.array([lexicon.features(t) for t in texts]).reshape(-1, len(FEATURES))
-            yield part.filter(pa.array(model.score(x) < threshold))
+        for part, _ in chunks(batches):
+            yield part.filter(pa.array(model.score(lexicon.features(part.column("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

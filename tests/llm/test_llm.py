@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -245,6 +246,18 @@ def test_toxicity_held_out(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
+def test_toxicity_features_of_short_texts():
+    lexicon = toxicity.Lexicon({b"idiot": 2.0, b"\x01idio": 0.5})
+    texts = ["you idiot"] + [" ".join(["you", *["x"] * n, "idiot"]) for n in range(6)] + ["idiot", "you", "", "  ", None, "YOU id10t!!!"]
+    rows = dict(zip(texts, (dict(zip(toxicity.FEATURES, r, strict=True)) for r in lexicon.features(pa.array(texts)).tolist()), strict=True))
+    for n in range(6):  # a hit counts as near if a second-person word is at most three words away
+        assert rows[" ".join(["you", *["x"] * n, "idiot"])]["near_second_person"] == ((n < 3) / (n + 2))
+    assert rows["you idiot"]["lexicon_density"] == rows["you idiot"]["second_person"] == 0.5
+    assert not any(rows[None].values()) and not any(rows[""].values()) and not any(rows["  "].values())
+    loud = rows["YOU id10t!!!"]
+    assert loud["hidden_density"] == 0.5 and loud["exclamations"] == 1.5 and loud["all_caps"] == loud["obfuscated"] == 0.5
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([3.0, 1.0, 2.0, 2.0, 5.0]), np.array([1.0, 0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= -1e-12).all() and y.min() > 0 and y.max() < 1
