@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once by a Python task; bounds its memory, not the data.
@@ -56,9 +56,29 @@ def groups_for(n_bytes: int) -> int:
     return max(1, -(-n_bytes // BUCKET_BYTES), min(100, n_bytes >> 20))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``row_key``: a 64-bit hash of doc_id and text, so that repeated ids with other texts stay apart."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether doc_id is unique and never null."""
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    return repeated.isEmpty()
+
+
+def row_key(docs: DataFrame, unique: bool | None = None) -> Column:
+    """What tells the rows of ``docs`` apart, as a long: doc_id if it is unique and never null, else a 64-bit hash of doc_id and text."""
+    unique = ids_are_keys(docs) if unique is None else unique
+    return F.col("doc_id").cast("long") if unique else F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def free_name(docs: DataFrame, name: str = "__row_key") -> str:
+    """``name``, with more underscores if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """Adds ``row_key``: by itself a hash of doc_id and text, so that repeated ids with other texts stay apart."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text") if key is None else key)
 
 
 def byte_column(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

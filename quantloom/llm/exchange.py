@@ -16,27 +16,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import CHUNK_BYTES, chunks, pack, unpack
+from quantloom.llm.common import CHUNK_BYTES, chunks, free_name, mix, pack, row_key, unpack
 
 #: kind 0: records for the bucket; kind 1: answers for ``grp`` that only pass through.
 ROUTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
 ROUTED_DDL = "bucket int, kind int, grp int, blob binary"
+#: Bytes of records, or of documents, that a task holds before it cuts them up by bucket or group. Blobs then
+#: shrink with the number of groups only as far as this over that number, whatever the size of a chunk.
+HOLD_BYTES = 24 << 20
 ANSWERS = pa.schema([("grp", pa.int32()), ("blob", pa.binary())])
 ANSWERS_DDL = "grp int, blob binary"
 
 
-def group_of(row_key: np.ndarray, groups: int) -> np.ndarray:
-    return (row_key.view(np.int64) % groups).astype(np.int32)
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
 
 
-def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """(grp, kind 1, blob): the documents of each chunk and group as a compressed Arrow table, with row_key last."""
-    docs = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+def grouped(docs: DataFrame, groups: int, key: Column) -> DataFrame:
+    """(grp, kind 1, blob): the documents of each group as compressed Arrow tables, with their key last."""
+    docs = docs.withColumn(free_name(docs), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-        for part, _ in chunks(batches):
-            grp = group_of(np.asarray(part.column("__row_key")), groups)
+        held: list[pa.RecordBatch] = []
+        weight = 0
+
+        def cut() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            grp = group_of(np.asarray(part.column(part.num_columns - 1)), groups)
             order = np.argsort(grp, kind="stable")
             part, grp = part.take(pa.array(order)), grp[order]
             starts = np.flatnonzero(group_starts(grp))
@@ -46,7 +54,16 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
                 with pa.ipc.new_stream(sink, part.schema, options=how) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in part.columns], schema=part.schema))
                 blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(grp[starts], pa.int32()), pa.array(np.ones(len(starts)), pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "kind", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(grp[starts], pa.int32()), pa.array(np.ones(len(starts)), pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "kind", "blob"])
+
+        for part, texts in chunks(batches):
+            held.append(part)
+            weight += sum(map(len, texts))
+            if weight >= HOLD_BYTES:
+                yield cut()
+                weight = 0
+        if held:
+            yield cut()
 
     return docs.mapInArrow(run, "grp int, kind int, blob binary")
 
@@ -80,69 +97,103 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
+class Held:
+    """Arrays on their way to numbered places, held until ``HOLD_BYTES`` are there and then packed place by place."""
+
+    def __init__(self) -> None:
+        self.waiting: dict[object, list[tuple[np.ndarray, ...]]] = {}
+        self.weight = 0
+
+    def add(self, kind: object, place: np.ndarray, arrays: tuple[np.ndarray, ...]) -> None:
+        if len(place):
+            self.waiting.setdefault((kind, len(arrays)), []).append((place, *arrays))
+            self.weight += sum(a.nbytes if a.dtype != object else sum(map(len, a)) for a in arrays)
+
+    def flush(self, last: bool) -> Iterator[tuple[object, int, bytes]]:
+        if last or self.weight >= HOLD_BYTES:
+            for (kind, _), parts in self.waiting.items():
+                place, *arrays = (np.concatenate(x) for x in zip(*parts, strict=True))
+                for p, cut in split_by(place, *arrays):
+                    yield kind, p, pack(*cut)
+            self.waiting.clear()
+            self.weight = 0
+
+
 class Router:
-    """Gathers routed rows of one chunk."""
+    """Gathers routed rows of a task. Each kind of record, or of answer, has its own number of arrays."""
 
     def __init__(self, buckets: int, groups: int):
         self.buckets, self.groups = buckets, groups
+        self.held = Held()
         self.rows: list[tuple[int, int, int, bytes]] = []
 
-    def records(self, name: np.ndarray, *arrays: np.ndarray) -> None:
+    def records(self, name: np.ndarray, *arrays: np.ndarray, kind: int = 0) -> None:
         """Records for the bucket of ``name``, which is not sent by itself. In the order given, so that like neighbours compress."""
-        for b, cut in split_by((name % np.uint64(self.buckets)).astype(np.int32), *arrays):
-            self.rows.append((b, 0, 0, pack(*cut)))
+        self.held.add(kind, (name % np.uint64(self.buckets)).astype(np.int32), arrays)
 
-    def answers(self, row_key: np.ndarray, *arrays: np.ndarray) -> None:
-        for g, cut in split_by(group_of(row_key, self.groups), row_key, *arrays):
-            self.rows.append((g % self.buckets, 1, g, pack(*cut)))
+    def answers(self, key: np.ndarray, *arrays: np.ndarray) -> None:
+        self.held.add(1, group_of(key, self.groups), (key, *arrays))
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, last: bool = False) -> pa.RecordBatch:
+        self.rows += [(p % self.buckets, kind, p if kind == 1 else 0, blob) for kind, p, blob in self.held.flush(last)]
         cols = list(zip(*self.rows, strict=True)) or [[], [], [], []]
         self.rows = []
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROUTED, strict=True)], schema=ROUTED)
 
 
-def meet_in_buckets(routed: DataFrame, groups: int, solve: Callable[..., tuple[np.ndarray, ...] | None], ddl: str = ANSWERS_DDL) -> DataFrame:
-    """Brings the records of each bucket together. ``solve`` gets the arrays, joined over chunks, and returns (row_key, ...) of its answers."""
+Solve = Callable[..., tuple[np.ndarray, ...] | None]
+
+
+def meet_in_buckets(routed: DataFrame, groups: int, solve: Solve, others: dict[int, Solve] | None = None) -> DataFrame:
+    """Brings the records of each bucket together. ``solve`` gets the arrays, joined over chunks, and returns (key, ...) of its answers; ``others`` do so for records of other kinds."""
+    how = {0: solve, **(others or {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        here: dict[int, list[tuple]] = {}
+        out = Held()
         at = None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                out = solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                rows = [(g, pack(*cut)) for g, cut in split_by(group_of(out[0], groups), *out)] if out is not None and len(out[0]) else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ANSWERS, strict=True)], schema=ANSWERS)
-                held.clear()
+        def work() -> None:
+            for kind in sorted(here):
+                found = how[kind](*(np.concatenate(x) for x in zip(*here[kind], strict=True)))
+                if found is not None:
+                    out.add(0, group_of(found[0], groups), found)
+            here.clear()
+
+        def answers(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = [(g, blob) for _, g, blob in out.flush(last)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ANSWERS, strict=True)], schema=ANSWERS)
 
         for batch in batches:
             passed = batch.filter(pc.equal(batch.column("kind"), 1))
             if passed.num_rows:
                 yield pa.RecordBatch.from_arrays([passed.column("grp"), passed.column("blob")], schema=ANSWERS)
-            rest = batch.filter(pc.equal(batch.column("kind"), 0))
-            for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist(), strict=True):
+            rest = batch.filter(pc.not_equal(batch.column("kind"), 1))
+            for b, kind, blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
                 if b != at:
-                    yield from flush()
+                    work()
+                    yield from answers(False)
                     at = b
-                held.append(unpack(blob))
-        yield from flush()
+                here.setdefault(kind, []).append(unpack(blob))
+        work()
+        yield from answers(True)
 
-    return routed.repartition("bucket").sortWithinPartitions("bucket", *same_order("blob")).mapInArrow(run, ddl)
+    return routed.repartition("bucket").sortWithinPartitions("bucket", *same_order("blob")).mapInArrow(run, ANSWERS_DDL)
 
 
-def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Callable[[list[tuple]], object], work: Callable[[object, np.ndarray, pa.RecordBatch, list[bytes]], Iterable[pa.RecordBatch]], ddl: str, answered_only: bool = False) -> DataFrame:
+def meet_documents(docs: DataFrame, key: Column, answers: DataFrame, groups: int, prepare: Callable[[list[tuple]], object], work: Callable[..., Iterable[pa.RecordBatch]], ddl: str = ROUTED_DDL, answered_only: bool = False) -> DataFrame:
     """Brings answers and documents of each group together.
 
-    ``prepare`` gets all answers of a group, once; ``work(prepared, row_keys, documents, texts)`` is then
-    called for one chunk of its documents after another.
+    ``prepare`` gets all answers of a group, once; ``work(prepared, keys, documents, texts, router)`` is then
+    called for one chunk of its documents after another. What it gives to the router follows its own batches.
     """
     replies = answers.select("grp", F.lit(0).alias("kind"), "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         waiting: list[pa.RecordBatch] = []
+        out = Router(groups, groups)
         at, size, ready = None, 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -151,9 +202,12 @@ def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Ca
                 if ready is None:
                     ready = (prepare(held),)
                 for part, texts in chunks(pa.Table.from_batches(waiting).combine_chunks().to_batches()):
-                    yield from work(ready[0], np.asarray(part.column("__row_key")).view(np.uint64), part.drop_columns(["__row_key"]), texts)
+                    own = part.num_columns - 1
+                    yield from work(ready[0], np.asarray(part.column(own)).view(np.uint64), part.select(list(range(own))), texts, out)
             waiting.clear()
             size = 0
+            if out.held.weight:
+                yield out.batch()
 
         for batch in batches:
             for grp, kind, blob in zip(*(batch.column(c) for c in ("grp", "kind", "blob")), strict=True):
@@ -172,5 +226,7 @@ def meet_documents(docs: DataFrame, answers: DataFrame, groups: int, prepare: Ca
                 if size > CHUNK_BYTES:
                     yield from flush()
         yield from flush()
+        if out.held.weight:
+            yield out.batch(last=True)
 
-    return grouped(docs, groups).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind", *same_order("blob")).mapInArrow(run, ddl)
+    return grouped(docs, groups, key).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind", *same_order("blob")).mapInArrow(run, ddl)

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import groups_for, keyed, mix, text_bytes
+from quantloom.llm.common import groups_for, ids_are_keys, mix, row_key, text_bytes
 
 BINS = 128
 _MASK = (1 << 64) - 1
@@ -90,17 +90,48 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _bucket(splits: list[int]) -> Column:
-    """How many of the ascending splits are above doc_id: 0 holds the largest ids. Null ids come last."""
+def _dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(bucket, tail 0, doc_id, row_key, text): rows by about ``n`` ranges of descending doc_id, null ids last; as tail 1 each range also has the first row of the next one.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(down[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    down = sorted(splits, reverse=True)
-    return F.when(F.col("doc_id").isNull(), F.lit(len(down))).otherwise(tree(0, len(down)))
+    Ranges end at ids that occur (approximate percentiles, off by a millionth of the rows at most), so every
+    range has rows and the first id of each is known.
+    """
+    unique = ids_are_keys(docs)
+    docs = docs.withColumn("row_key", row_key(docs, unique))
+    has_null, top = docs.agg(F.max(F.col("doc_id").isNull()), F.max("doc_id")).first()
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, min(20 * n, 1_000_000))).alias("cuts")).first()["cuts"] if n > 1 else None
+    cuts = np.array(sorted({c for c in found or [] if c < top}), dtype=np.int64)  # ascending; bucket 0 is above the last one
+    n_full = len(cuts) + (top is not None)
+    n_all = n_full + bool(has_null)
+
+    def bucket_of(ids: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        return np.where(valid, len(cuts) - np.searchsorted(cuts, ids, side="left"), n_full).astype(np.int32)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()))), ids, batch.column("row_key")], names=["bucket", "doc_id", "row_key"])
+
+    # the first key of each range: the first id itself if ids are unique; a range is about BUCKET_BYTES of text, these are a few numbers each
+    if unique:
+        first = np.append(cuts, [] if top is None else [top]).astype(np.int64)[::-1]
+    else:
+        heads = docs.select("doc_id", "row_key").mapInArrow(firsts, "bucket int, doc_id long, row_key long").groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), F.col("row_key"))).alias("h")).collect()
+        first = np.zeros(n_all, np.int64)
+        for r in heads:
+            first[r["bucket"]] = r["h"]["row_key"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            id_, valid, keys = np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), np.asarray(batch.column("row_key"))
+            own = bucket_of(id_, valid)
+            heads = np.flatnonzero((keys == first[own]) & (~valid | np.isin(id_, np.append(cuts, top or 0))))
+            for rows, bucket, tail in ((None, own, 0), (heads, (own[heads] - 1) % max(n_all, 1), 1)):
+                part = batch if rows is None else batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), tail), pa.int32()), *part.columns], names=["bucket", "tail", "doc_id", "row_key", "text"])
+
+    return docs.select("doc_id", "row_key", "text").mapInArrow(deal, "bucket int, tail int, doc_id long, row_key long, text string")
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
@@ -113,19 +144,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     Documents are dealt by ranges of doc_id, so that each text is shuffled once; only the first document of
     each range goes to the range before, too.
     """
-    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    n = groups_for(text_bytes(docs))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("cuts")).first()["cuts"] if n > 1 else None
-    placed = docs.withColumn("bucket", _bucket(sorted(set(cuts or []))))
-    # a row for each range, of which there are as many as buckets
-    heads = sorted(placed.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row_key")).alias("h")).select("bucket", "h.doc_id", "h.row_key").collect())
-    before = [(h["doc_id"], h["row_key"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
-    spark = docs.sparkSession
-    head_rows = F.broadcast(spark.createDataFrame(before, "head_id long, head_key long, before int"))
-    joined = placed.join(head_rows, placed.doc_id.eqNullSafe(head_rows.head_id) & (placed.row_key == head_rows.head_key), "left")
-    own = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
-    also = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
-    dealt = joined.select("doc_id", "row_key", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("to")).select("to.bucket", "to.tail", "doc_id", "row_key", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = _dealt(docs, groups_for(text_bytes(docs)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,13 @@
    anchor) and by all bytes that any such window can have (its context).
 2. Contexts that occur twice are repeats from end to end. An anchor with one occurrence has none. What is
    left are anchors whose contexts differ somewhere: only there the ends of repeats must be found.
-3. The contexts of such an anchor are sorted together: suffixes smaller than their successors directly,
+3. Equal windows start at one distance before the position they pick. Distances are cut in ``PARTS`` ranges;
+   the windows of a range have its core in common and lie in a piece of the context. Pieces meet by
+   their cores, so that a frequent anchor is many small sets.
+4. The pieces of a core are sorted together: suffixes smaller than their successors directly,
    the rest induced from them by a scan over the buckets of first bytes; windows with a common prefix of
-   ``length`` bytes are then neighbours.
+   ``length`` bytes are then neighbours. A set above ``SORT_BYTES`` is cut further, by halves of the range
+   and the cores of these, until it fits or its windows have one distance: then the core is the window.
 """
 
 from __future__ import annotations
@@ -17,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import chunks, groups_for, keyed, mix, text_bytes
-from quantloom.llm.common import pack as pack_records
+from quantloom.llm.common import chunks, groups_for, mix, row_key, text_bytes
 from quantloom.llm.exchange import ROUTED_DDL, Router, group_starts, meet_documents, meet_in_buckets
 
-#: Bytes of context sorted as one text; a larger set of contexts is compared by 128-bit hashes of its windows.
+#: Bytes sorted as one text; a larger set of pieces is cut by ranges of distance first.
 SORT_BYTES = 256 << 10
+#: Ranges of the distance between a window's start and the position it picks.
+PARTS = 4
 _LOW = np.uint64((1 << 32) - 1)
 
 
@@ -110,28 +115,51 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     first = np.cumsum(size + 1) - size - 1
     text = b"\0".join(pieces) + b"\0\1"
     group = np.full(len(text), -1, np.int64)
-    if len(text) <= SORT_BYTES:
-        sa = two_stage(text, first, size, length).tolist()
-        named, same = 0, False
-        for a, b in zip(sa, sa[1:], strict=False):
-            same, before = text[a : a + length] == text[b : b + length], same
-            if same:
-                named += not before
-                group[a] = group[b] = named
-    else:
-        starts = np.concatenate([np.arange(f, f + s - length + 1) for f, s in zip(first, size, strict=True)])
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[i : i + length]) for i in starts.tolist()]), dtype=np.uint64).reshape(-1, 2)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        new = group_starts(h[order, 0], h[order, 1])
-        number, counts = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(new)))
-        group[starts[order]] = np.where(counts[number] > 1, number, -1)
+    sa = two_stage(text, first, size, length).tolist()
+    named, same = 0, False
+    for a, b in zip(sa, sa[1:], strict=False):
+        same, before = text[a : a + length] == text[b : b + length], same
+        if same:
+            named += not before
+            group[a] = group[b] = named
     return [group[f : f + max(0, s - length + 1)] for f, s in zip(first, size, strict=True)]
 
 
-def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
-    """Answers (row_keys, starts, ends) per group: byte ranges under strings that also start elsewhere."""
+def part_bounds(most: int) -> np.ndarray:
+    """The ranges of distances 0 to ``most``: range j holds those from bound j to below bound j + 1."""
+    return np.linspace(0, most + 1, PARTS + 1).round().astype(np.int64)
+
+
+def core_of(piece: bytes, at: int, lo: int, hi: int, length: int) -> bytes:
+    """The bytes of all windows that start ``lo`` to ``hi`` - 1 before position ``at`` of the piece."""
+    return piece[at - lo : at - hi + 1 + length]
+
+
+def sets_to_sort(members: list[int], pieces: list[bytes], at: list[int], lo: int, hi: int, length: int) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+    """Sets of pieces that can hold equal windows, with the byte range of each, of ``SORT_BYTES`` together or of one distance.
+
+    ``members`` have the core of distances ``lo`` to ``hi`` - 1 in common, and at least one such window each.
+    """
+    cuts = [(max(0, at[i] - hi + 1), min(len(pieces[i]), at[i] - lo + length)) for i in members]
+    if hi - lo == 1 or sum(b - a + 1 for a, b in cuts) <= SORT_BYTES - 2:
+        yield members, cuts
+        return
+    mid = (lo + hi) // 2
+    for x, y in ((lo, mid), (mid, hi)):
+        sets: dict[bytes, list[int]] = {}
+        for i in members:
+            if at[i] - x >= 0 and at[i] - y + 1 + length <= len(pieces[i]):
+                sets.setdefault(xxhash.xxh3_128_digest(core_of(pieces[i], at[i], x, y, length)), []).append(i)
+        for own in sets.values():
+            if len(own) > 1:
+                yield from sets_to_sort(own, pieces, at, x, y, length)
+
+
+def repeated_spans(docs: DataFrame, key: Column, length: int, groups: int) -> DataFrame:
+    """Answers (keys, starts, ends) per group: byte ranges under strings that also start elsewhere."""
     half = length // 2
-    plain = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
+    bounds = part_bounds(half).tolist()
+    plain = docs.select("doc_id", "text", key.alias("row_key")).where(F.octet_length("text") >= length)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Router(groups, groups)
@@ -158,8 +186,9 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
             if several.any():
                 own = np.flatnonzero(several)
                 own = own[np.lexsort((pos[own], key[own]))]
-                out.answers(key[own], pos[own], left[own], right[own], np.ones(len(own), np.uint8), np.zeros(len(own), np.uint64))
+                out.answers(key[own], pos[own], left[own], right[own], np.ones(len(own), np.uint8))
             yield out.batch()
+        yield out.batch(last=True)
 
     def compare(anchor: np.ndarray, hi: np.ndarray, lo: np.ndarray, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((pos, key, lo, hi, anchor))
@@ -174,58 +203,62 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
         act = (several & ~told) * 1 + (mixed & new) * 2 + several * 4
         ask = np.flatnonzero((act & 3) > 0)
         ask = ask[np.lexsort((pos[ask], key[ask]))]
-        return key[ask], pos[ask], left[ask], right[ask], act[ask].astype(np.uint8), anchor[ask]
+        return key[ask], pos[ask], left[ask], right[ask], act[ask].astype(np.uint8)
 
     def by_key(held: list[tuple]) -> tuple[np.ndarray, ...]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         order = np.argsort(columns[0], kind="stable")
         return tuple(x[order] for x in columns)
 
-    def fetch(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def fetch(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes], out: Router) -> Iterator[pa.RecordBatch]:
         own_keys = np.unique(keys)
         a, b = np.searchsorted(ready[0], own_keys, "left"), np.searchsorted(ready[0], own_keys, "right")
         mine = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
-        key, pos, left, right, act, anchor = (x[mine] for x in ready)
-        out = Router(groups, groups)
+        key, pos, left, right, act = (x[mine] for x in ready)
         whole = (act & 1) > 0
-        lo, hi = pos.astype(np.int64) - left, pos.astype(np.int64) + right
-        whole &= hi - lo >= length
-        out.answers(key[whole], lo[whole].astype(np.int32), hi[whole].astype(np.int32))
-        look = np.flatnonzero((act & 2) > 0)
-        if len(look):
-            row = {k: i for i, k in enumerate(keys.tolist())}
-            cut = [texts[row[k]][a:b] for k, a, b in zip(key[look].tolist(), lo[look].tolist(), hi[look].tolist(), strict=True)]
-            buckets = (anchor[look] % np.uint64(groups)).astype(np.int64)
-            for b in np.unique(buckets).tolist():
-                own = np.flatnonzero(buckets == b)
-                joined = np.frombuffer(b"".join([cut[i] for i in own.tolist()]), dtype=np.uint8)
-                out.rows.append((b, 0, 0, pack_records(anchor[look[own]], key[look[own]], lo[look[own]], np.array([len(cut[i]) for i in own.tolist()], dtype=np.int64), (act[look[own]] & 4) > 0, joined)))
-        yield out.batch()
-
-    def sort(anchor: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, twin: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        data, first = joined.tobytes(), np.cumsum(size) - size
-        order = np.argsort(anchor, kind="stable")
-        bounds = np.append(np.flatnonzero(group_starts(anchor[order])), len(order)).tolist()
+        pos, left, right = (x.astype(np.int64) for x in (pos, left, right))
+        whole &= left + right >= length
+        out.answers(key[whole], (pos - left)[whole].astype(np.int32), (pos + right)[whole].astype(np.int32))
+        look = np.flatnonzero(((act & 2) > 0) & (left + right >= length))
+        row = {k: i for i, k in enumerate(keys.tolist())}
+        found: list[tuple] = []
+        for k, p, x, y, twin in zip(key[look].tolist(), pos[look].tolist(), left[look].tolist(), right[look].tolist(), ((act[look] & 4) > 0).tolist(), strict=True):
+            t = texts[row[k]][p - x : p + y]
+            for j in range(PARTS):
+                lo, hi = bounds[j], bounds[j + 1]
+                lo_, hi_ = max(lo, length - y), min(hi, x + 1)  # the distances that this context has
+                if lo_ < hi_:
+                    start = x - hi_ + 1
+                    found.append((xxhash.xxh3_64_intdigest(core_of(t, x, lo, hi, length), j), j, k, p - hi_ + 1, hi_ - 1, twin, t[start : x - lo_ + length]))
+        if found:
+            core, j, k, start, before, twin, pieces = zip(*found, strict=True)
+            out.records(np.array(core, dtype=np.uint64), np.array(core, dtype=np.uint64), np.array(j, dtype=np.uint8), np.array(k, dtype=np.uint64), np.array(start, dtype=np.int32), np.array(before, dtype=np.uint16), np.array(twin), np.array(pieces, dtype=object))
+        yield from ()
+
+    def sort(core: np.ndarray, part: np.ndarray, key: np.ndarray, start: np.ndarray, before: np.ndarray, twin: np.ndarray, bytes_of: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        pieces, at = bytes_of.tolist(), before.tolist()
+        order = np.lexsort((start, key, part, core))
+        bounds_of = np.append(np.flatnonzero(group_starts(core[order], part[order])), len(order)).tolist()
         keys, starts, ends = [], [], []
-        held: list[int] = []
+        held: list[tuple[int, tuple[int, int]]] = []
 
         def solve() -> None:
-            own = np.array(held)
-            pieces = [data[a : a + n] for a, n in zip(first[own].tolist(), size[own].tolist(), strict=True)]
-            groups_of = repeated_starts(pieces, length)
+            own, shift = np.array([i for i, _ in held]), np.array([a for _, (a, _) in held])
+            groups_of = repeated_starts([pieces[i][a:b] for i, (a, b) in held], length)
             piece = np.repeat(np.arange(len(own)), [len(g) for g in groups_of])
             offset = np.concatenate([np.arange(len(g)) for g in groups_of])
             g = np.concatenate(groups_of)
             hit = g >= 0
-            g, piece, where = g[hit], own[piece[hit]], offset[hit] + start[own[piece[hit]]]
+            g, where = g[hit], offset[hit] + (shift + start[own])[piece[hit]]
+            piece = own[piece[hit]]
             # one place of the corpus may lie in several pieces; a group needs two places, or one that has a twin
             o = np.lexsort((where, key[piece], g))
             g, piece, where = g[o], piece[o], where[o]
             new, own_place = group_starts(g), group_starts(g, key[piece], where)
-            at = np.flatnonzero(new)
-            if len(at):
-                size_of = np.diff(np.append(at, len(g)))
-                real = np.repeat((np.add.reduceat(own_place.astype(np.int64), at) > 1) | np.maximum.reduceat(twin[piece], at), size_of) & ~twin[piece]
+            at_ = np.flatnonzero(new)
+            if len(at_):
+                size_of = np.diff(np.append(at_, len(g)))
+                real = np.repeat((np.add.reduceat(own_place.astype(np.int64), at_) > 1) | np.maximum.reduceat(twin[piece], at_), size_of) & ~twin[piece]
                 k, w = key[piece][real], where[real]
                 o = np.lexsort((w, k))
                 k, w = k[o], w[o]
@@ -238,14 +271,17 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
             held.clear()
 
         weight = 0
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            members = [i for i in order[a:b].tolist() if size[i] >= length]
-            more = int(size[members].sum()) + len(members) if members else 0
-            if held and weight + more > SORT_BYTES - 2:
-                solve()
-                weight = 0
-            if len(members) > 1:
-                held += members
+        for a, b in zip(bounds_of[:-1], bounds_of[1:], strict=True):
+            if b - a < 2:
+                continue
+            members, j = order[a:b].tolist(), int(part[order[a]])
+            # the distance of a piece's first window is the largest it has
+            for own, cuts in sets_to_sort(members, pieces, at, bounds[j], bounds[j + 1], length):
+                more = sum(y - x + 1 for x, y in cuts)
+                if held and weight + more > SORT_BYTES - 2:
+                    solve()
+                    weight = 0
+                held += zip(own, cuts, strict=True)
                 weight += more
         if held:
             solve()
@@ -253,8 +289,8 @@ def repeated_spans(docs: DataFrame, length: int, groups: int) -> DataFrame:
             return None
         return np.concatenate(keys), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
 
-    found = meet_in_buckets(keyed(plain).mapInArrow(places, ROUTED_DDL), groups, compare)
-    pieces = meet_documents(plain, found, groups, by_key, fetch, ROUTED_DDL, answered_only=True)
+    found = meet_in_buckets(plain.mapInArrow(places, ROUTED_DDL), groups, compare)
+    pieces = meet_documents(plain.drop("row_key"), key, found, groups, by_key, fetch, answered_only=True)
     return meet_in_buckets(pieces, groups, sort)
 
 
@@ -269,8 +305,8 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     new = {"kept_bytes": T.BinaryType(), "n_removed": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
     docs = docs.drop(*new)
-    groups = groups_for(text_bytes(docs))
-    marks = repeated_spans(docs, length, groups)
+    groups, key = groups_for(text_bytes(docs)), row_key(docs)
+    marks = repeated_spans(docs, key, length, groups)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def sorted_marks(held: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -278,7 +314,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         order = np.lexsort((lo, key))
         return key[order], lo[order], hi[order]
 
-    def cut(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def cut(ready: tuple[np.ndarray, ...], keys: np.ndarray, part: pa.RecordBatch, texts: list[bytes], _: Router) -> Iterator[pa.RecordBatch]:
         key, lo, hi = ready
         a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
         kept, removed, spans = [], [], []
@@ -295,4 +331,4 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
             spans.append([{"start": x, "end": y} for x, y in own])
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, span_type)], names=[*part.schema.names, *new])
 
-    return meet_documents(docs, marks, groups, sorted_marks, cut, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())]))
+    return meet_documents(docs, key, marks, groups, sorted_marks, cut, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())]))

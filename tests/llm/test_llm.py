@@ -182,9 +182,7 @@ def test_suffixes(request, which):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("size", [0, 1 << 18])
-def test_window_groups_by_suffix_sorting_and_by_hash(monkeypatch, size):
-    monkeypatch.setattr(suffixes, "SORT_BYTES", size)
+def test_window_groups_by_suffix_sorting():
     rng = np.random.default_rng(2)
     text = bytes(rng.integers(0, 3, 300, dtype=np.uint8))
     pieces = [text[:120], text[60:200], text[10:90] + b"\x00\x00\x05", b"\x00" * 70, text[:25]]
@@ -200,25 +198,89 @@ def test_window_groups_by_suffix_sorting_and_by_hash(monkeypatch, size):
     assert len(set(names.values())) == len(names)
 
 
+@pytest.mark.parametrize("most", [0, 500, 1 << 18])
+def test_large_sets_of_pieces_are_cut_without_loss(monkeypatch, most):
+    monkeypatch.setattr(suffixes, "SORT_BYTES", most)
+    rng = np.random.default_rng(3)
+    length, half = 40, 20
+    anchor = bytes(rng.integers(0, 2, half, dtype=np.uint8))
+    pieces, at = [], []
+    for _ in range(60):
+        left, right = int(rng.integers(0, half + 1)), int(rng.integers(half, length + 1))
+        if left + right >= length:
+            pieces.append(bytes(rng.integers(0, 2, left, dtype=np.uint8) * (rng.random(left) < 0.1)) + anchor + bytes(rng.integers(0, 2, right - half, dtype=np.uint8) * (rng.random(right - half) < 0.1)))
+            at.append(left)
+    want = collections.defaultdict(set)
+    for i, (p, a) in enumerate(zip(pieces, at, strict=True)):
+        for s in range(len(p) - length + 1):
+            want[a - s, p[s : s + length]].add((i, s))
+    want = {x for v in want.values() if len(v) > 1 for x in v}
+    got = set()
+    for own, cuts in suffixes.sets_to_sort(list(range(len(pieces))), pieces, at, 0, half + 1, length):
+        groups = suffixes.repeated_starts([pieces[i][a:b] for i, (a, b) in zip(own, cuts, strict=True)], length)
+        got |= {(i, a + int(s)) for i, (a, _), g in zip(own, cuts, groups, strict=True) for s in np.flatnonzero(g >= 0)}
+    assert len(want) > 50 and want <= got
+
+
+def test_symbols_of_equal_words_agree():
+    rng = np.random.default_rng(4)
+    part = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    texts = [np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), part, rng.integers(0, 1 << 60, n).astype(np.uint64)]) for n in (0, 7, 90)]
+    inside = []
+    for k, t in enumerate(texts):
+        first, size = recompression.symbols(t, np.zeros(len(t), np.int64), 24)
+        n = (0, 7, 90)[k]
+        inside.append({(f - n, s) for f, s in zip(first.tolist(), size.tolist(), strict=True) if f >= n and f + s <= n + 400})
+    shared = inside[0] & inside[1] & inside[2]
+    covered = np.zeros(400, bool)
+    for f, s in shared:
+        covered[f : f + s] = True
+    assert max(s for _, s in shared) >= 96 and covered.sum() > 250
+
+
+def lz_signature(text):
+    """Plain LZ78 over a set of strings; then per bin of the top seven bits the least scrambled phrase hash."""
+    known, phrase, found = set(), "", []
+    for c in text:
+        phrase += c
+        if phrase not in known:
+            known.add(phrase)
+            found.append(phrase)
+            phrase = ""
+    least, mask = {}, (1 << 64) - 1
+    for p in found:
+        h = 1
+        for c in p:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+        h = ((h ^ (h >> 32)) * 0x9E3779B97F4A7C15) & mask
+        h = ((h ^ (h >> 29)) * 0xD6E8FEB86659FD93) & mask
+        h ^= h >> 32
+        least[h >> 57] = min(least.get(h >> 57, mask), h)
+    return [least[b] % 65535 + 1 if b in least else 0 for b in range(128)]
+
+
+def lz_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
 @pytest.mark.parametrize("which", ["odd", "docs"])
-def test_lz_fingerprints(request, which):
+def test_lz_fingerprints(request, monkeypatch, which, buckets):
+    monkeypatch.setattr(lzprint, "groups_for", lambda n: buckets)
     df = request.getfixturevalue(which)
-    got = lzprint.with_neighbours(df).collect()
-    assert len(got) == df.count()
-    by_text = {}
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    rows = df.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(doc_id, coalesce(text, '')) AS k").collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.k), reverse=True)
+    want, sigs = [], {t: lz_signature(t) for t in {r.text for r in rows}}
+    for r, after in zip(rows, rows[1:] + rows[:1], strict=True):
+        k = len(r.text) // 3
+        edited = r.text[: len(r.text) - k] + after.text[:k]
+        own, other = sigs[r.text], lz_signature(edited)
+        want.append((r.doc_id, len(r.text), edited, *("".join(f"{x:04x}" for x in s) for s in (own, other)), lz_likeness(own, other), lz_likeness(own, sigs[after.text])))
+    got = [tuple(r) for r in lzprint.with_neighbours(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
     if which == "docs":
-        texts = {r.doc_id: r.text for r in df.collect()}
-        ids = sorted(texts, reverse=True)
-        follow = dict(zip(ids, ids[1:] + ids[:1], strict=True))
-        for r in got:
-            t = texts[r.doc_id]
-            edited = lzprint.edited_text(t, texts[follow[r.doc_id]])
-            assert (r.n_chars, r.edited_text) == (len(t), edited)
-            assert r.fingerprint == lzprint.show(lzprint.Parse(t).signature()) and r.edited_fingerprint == lzprint.show(lzprint.Parse(edited).signature())
-            assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
-        assert np.mean([r.near_edited for r in got]) > 2 * np.mean([r.near_next for r in got])
+        assert np.mean([r[5] for r in got]) > 2 * np.mean([r[6] for r in got])
 
 
 def test_lz_single_and_fork(spark):
@@ -248,14 +310,14 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_features_of_short_texts():
     lexicon = toxicity.Lexicon({b"idiot": 2.0, b"\x01idio": 0.5})
-    texts = ["you idiot"] + [" ".join(["you", *["x"] * n, "idiot"]) for n in range(6)] + ["idiot", "you", "", "  ", None, "YOU id10t!!!"]
+    texts = ["you idiot"] + [" ".join(["you", *["x"] * n, "idiot"]) for n in range(6)] + ["idiot", "you", "", "  ", None, "YOU idi0t, no!!!"]
     rows = dict(zip(texts, (dict(zip(toxicity.FEATURES, r, strict=True)) for r in lexicon.features(pa.array(texts)).tolist()), strict=True))
     for n in range(6):  # a hit counts as near if a second-person word is at most three words away
         assert rows[" ".join(["you", *["x"] * n, "idiot"])]["near_second_person"] == ((n < 3) / (n + 2))
     assert rows["you idiot"]["lexicon_density"] == rows["you idiot"]["second_person"] == 0.5
     assert not any(rows[None].values()) and not any(rows[""].values()) and not any(rows["  "].values())
-    loud = rows["YOU id10t!!!"]
-    assert loud["hidden_density"] == 0.5 and loud["exclamations"] == 1.5 and loud["all_caps"] == loud["obfuscated"] == 0.5
+    loud = rows["YOU idi0t, no!!!"]
+    assert loud["hidden_density"] == loud["all_caps"] == loud["obfuscated"] == 1 / 3 and loud["exclamations"] == 1
 
 
 def test_isotonic_rises():
@@ -306,6 +368,25 @@ def test_licences():
     assert [x[0] for x in s.licences(b"Foo bar.\nThis work is licensed under the GNU General Public License, version 3. Baz.")] == ["GPL-3.0"]
 
 
+@pytest.mark.parametrize(
+    ("text", "licence", "n"),
+    [
+        (" ".join(licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "as-is", "mit-no-event")), "MIT", 4),
+        (" ".join(licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-no-event")), "BSD-2-Clause", 5),
+        (" ".join(licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-no-event")), "BSD-3-Clause", 6),
+        ("This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License as published by the\nFree Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0-or-later", 1),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. " + licences.SENTENCES["gpl-warranty"], "AGPL-3.0-or-later", 2),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1.", "LGPL-2.1-only", 1),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0", 1),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0", 1),
+        ("This project is licensed under the ISC License.", "ISC", 1),
+        (licences.SENTENCES["zlib-as-is"] + " " + licences.SENTENCES["zlib-no-event"] + "\n\n" + licences.SENTENCES["zlib-grant"], "Zlib", 3),
+    ],
+)
+def test_licence_texts(text, licence, n):
+    assert [x[:2] for x in licences.Scanner().licences(f"Some words.\n\n{text}\n\nMore of them.".encode())] == [(licence, n)]
+
+
 def test_licence_query_against_patterns(spark, sf, docs):
     got = {(r.doc_id, r.licence) for r in queries.QUERIES["op10_licences"](spark, sf).collect()}
     pats = {"MIT": "Released under the MIT License\\.", "Apache-2.0": "Licensed under the Apache License, Version 2\\.0\\.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3\\.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4\\.0\\."}
