@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,19 +74,36 @@ def total_protein_approach(df: DataFrame) -> DataFrame:
     return df.withColumn(S.TPA, F.col(S.NORM) / mass)
 
 
-def proteomic_ruler(df: DataFrame, organism: str = "HUMAN", ploidy: int = 2, cpc: float = 200.0, histone: Column | None = None) -> DataFrame:
+def is_histone(name: Column, organism: S.Organism) -> Column:
+    """Whether a protein, or any member of a group 'A;B', is a histone by accession, by entry name or by both ('sp|A|N')."""
+
+    def member(x: Column) -> Column:
+        part = F.split(x, "\\|")
+        accession = F.when(F.size(part) > 1, F.get(part, 1)).otherwise(F.split_part(x, F.lit("_"), F.lit(1)))
+        return x.rlike(organism.histone_pattern) | accession.isin(organism.histone_accessions)
+
+    return F.coalesce(F.exists(F.split(name, ";"), member), F.lit(False))
+
+
+def proteomic_ruler(df: DataFrame, organism: str = "HUMAN", ploidy: int = 2, cpc: float = 200.0, histone: Column | None = None, warn: bool = True) -> DataFrame:
     """Copies, moles, weight and concentration, with the histones of a condition as the ruler.
 
-    ``histone``: which proteins are histones; by default those with a histone's entry name. A condition
-    without histones has a ruler of 1. Concentration is volume times moles, as the method's source has it.
+    ``histone``: which proteins are histones; by default those with a histone's accession or entry name. A
+    condition without histones has a ruler of 1, of which ``warn`` tells if it is so in all of them.
+    Concentration is volume times moles, as the method's source has it. Sums are aggregated by condition
+    and joined back, so that no task has a whole condition.
     """
     o = S.organism(organism)
-    is_histone = F.col(S.PROTEIN).rlike(o.histone_pattern) if histone is None else histone
-    w = Window.partitionBy(S.CONDITION)
-    ruler = F.greatest(F.sum(F.when(is_histone, F.col(S.NORM)).otherwise(0.0)).over(w), F.lit(1.0))
+    is_one = is_histone(F.col(S.PROTEIN), o) if histone is None else histone
+    if warn and df.where(is_one & (F.col(S.NORM) > 0)).isEmpty():
+        warnings.warn(f"no histones of {o.name} among the proteins: the ruler is 1 and copies are no numbers of molecules", stacklevel=2)
     dna_mass = ploidy * o.genome_size * BASE_PAIR_MASS / AVOGADRO
     mass = F.nullif(F.col(S.MASS), F.lit(0.0))
-    out = df.withColumn(S.COPIES, F.col(S.NORM) / ruler * F.lit(dna_mass * AVOGADRO) / mass)
+    copies = F.col(S.NORM) / F.col("__ruler") * F.lit(dna_mass * AVOGADRO) / mass
+    # the weight of a condition is the sum of copies times mass: what its rows with a mass sum up to, in units of the ruler
+    per_weight = F.lit(dna_mass * AVOGADRO * 1e9 / AVOGADRO)
+    sums = df.groupBy(F.col(S.CONDITION).alias("__c")).agg(F.greatest(F.sum(F.when(is_one, F.col(S.NORM)).otherwise(0.0)), F.lit(1.0)).alias("__ruler"), F.sum(F.when(mass.isNotNull(), F.col(S.NORM))).alias("__s"))
+    out = df.join(sums, F.col(S.CONDITION).eqNullSafe(F.col("__c"))).withColumn(S.COPIES, copies)
     out = out.withColumn(S.MOLES, F.col(S.COPIES) * F.lit(1e9 / AVOGADRO)).withColumn(S.WEIGHT, F.col(f"`{S.MOLES}`") * mass)
-    volume = F.sum(F.col(f"`{S.WEIGHT}`")).over(w) / F.lit(1e-9) / F.lit(cpc)
-    return out.withColumn(S.CONCENTRATION, volume * F.col(f"`{S.MOLES}`"))
+    volume = F.col("__s") / F.col("__ruler") * per_weight / F.lit(1e-9) / F.lit(cpc)
+    return out.withColumn(S.CONCENTRATION, volume * F.col(f"`{S.MOLES}`")).drop("__c", "__ruler", "__s")

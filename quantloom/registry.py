@@ -50,19 +50,31 @@ FEATURES = {
     S.FRACTION: "cast(l_linenumber % 3 as int)",
     S.SAMPLE: "concat('PXD', cast((l_orderkey % 6) % 2 as string), '-S', cast(l_orderkey % 6 as string))",
     S.NORM: "l_extendedprice",
+    "feature_id": "l_orderkey * 10 + l_linenumber",
     "q_value": "l_discount",
     "protein_q_value": "l_tax",
     "searchScore": "l_quantity",
     "coverage": "l_quantity",
 }
-FEAT = "feat AS (SELECT " + ", ".join(f"{e.replace('as string', 'as varchar')} AS {k}" for k, e in FEATURES.items()) + " FROM lineitem)"
+#: The same with gaps and zeros in two runs, half the proteins missing from a sample, samples that agree but for one, and a condition of one sample.
+GAPPY = FEATURES | {
+    S.NORM: "case when l_linenumber = 6 and l_partkey % 3 > 0 then null when l_linenumber = 7 and l_partkey % 4 > 0 then 0 when l_orderkey % 6 = 5 and l_suppkey % 2 = 0 then null when l_orderkey % 6 = 3 then l_extendedprice + 4000000 - 3000 * l_suppkey else l_extendedprice + 3000 * l_suppkey end",
+    S.CONDITION: "case when l_orderkey % 6 = 4 then 'alone' else l_returnflag end",
+}
+
+
+def _cte(names: dict[str, str]) -> str:
+    return "feat AS (SELECT " + ", ".join(f"{e.replace('as string', 'as varchar')} AS {k}" for k, e in names.items()) + " FROM lineitem)"
+
+
+FEAT = _cte(FEATURES)
 #: Summed prices of one sample, protein and peptide: a dense peptide table.
 PEP = FEAT + f", pep AS (SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, sum({S.NORM}) AS {S.NORM} FROM feat GROUP BY ALL)"
 PROT = PEP + f", prot AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS x FROM pep GROUP BY ALL)"
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(*[F.expr(e).alias(k) for k, e in FEATURES.items()])
+def features(spark: SparkSession, d: str, names: dict[str, str] = FEATURES) -> DataFrame:
+    return table(spark, d, "lineitem").select(*[F.expr(e).alias(k) for k, e in names.items()])
 
 
 def peptides(spark: SparkSession, d: str) -> DataFrame:
@@ -77,18 +89,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def per_sample(df: DataFrame) -> DataFrame:
-    """What is left of a feature table: rows, proteins, total by sample."""
-    return df.groupBy(S.SAMPLE).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(S.PROTEIN).alias("n_proteins"), F.round(F.sum(S.NORM), 2).alias("total"))
+def kept(df: DataFrame) -> DataFrame:
+    """The rows that a filter leaves."""
+    return df.select("feature_id", S.SAMPLE, S.PROTEIN, S.PEPTIDE, F.round(S.NORM, 2).alias(S.NORM))
 
 
-def _left(kept: str, ctes: str = "") -> str:
-    return f"WITH {FEAT}{', ' + ctes if ctes else ''} SELECT {S.SAMPLE}, count(*) AS n_rows, count(DISTINCT {S.PROTEIN}) AS n_proteins, round(sum({S.NORM}), 2) AS total FROM ({kept}) GROUP BY {S.SAMPLE}"
+def _left(rows: str, ctes: str = "", names: dict[str, str] = FEATURES) -> str:
+    return f"WITH {_cte(names)}{', ' + ctes if ctes else ''} SELECT feature_id, {S.SAMPLE}, {S.PROTEIN}, {S.PEPTIDE}, round({S.NORM}, 2) AS {S.NORM} FROM ({rows})"
 
 
-def _filter(name: str, f: Callable[[], filters.Filter], where: str, ctes: str = "") -> None:
-    QUERIES[f"filter_{name}"] = lambda spark, d: per_sample(f()(features(spark, d)))
-    ORACLE_SQL[f"filter_{name}"] = _left(f"SELECT * FROM feat WHERE {where}", ctes)
+def _filter(name: str, f: Callable[[], filters.Filter], where: str, ctes: str = "", names: dict[str, str] = FEATURES) -> None:
+    QUERIES[f"filter_{name}"] = lambda spark, d: kept(f()(features(spark, d, names)))
+    ORACLE_SQL[f"filter_{name}"] = _left(f"SELECT * FROM feat WHERE {where}", ctes, names)
 
 
 def _having(keys: str, test: str, source: str = "feat") -> str:
@@ -113,8 +125,10 @@ _filter("protein_fdr", lambda: filters.protein_fdr(0.0), _having(S.PROTEIN, "min
 _filter("coverage", lambda: filters.coverage(50.0), _having(S.PROTEIN, "max(coverage) >= 50"))
 _filter("run_intensity", lambda: filters.run_intensity(3e7), _having(S.RUN, f"sum({S.NORM}) >= 3e7"))
 _filter("min_features", lambda: filters.min_features(700, 5), _having(S.RUN, f"count(*) >= 700 AND count(DISTINCT {S.PROTEIN}) >= 5"))
-_filter("missing_rate", lambda: filters.missing_rate(0.5), _having(S.RUN, f"avg(CASE WHEN {S.NORM} IS NULL OR {S.NORM} = 0 THEN 1.0::DOUBLE ELSE 0 END) <= 0.5"))
-_filter("min_proteins_per_sample", lambda: filters.min_proteins_per_sample(5), _having(S.SAMPLE, f"count(DISTINCT {S.PROTEIN}) >= 5"))
+_filter("missing_rate", lambda: filters.missing_rate(0.5), _having(S.RUN, f"avg(CASE WHEN {S.NORM} IS NULL OR {S.NORM} = 0 THEN 1.0::DOUBLE ELSE 0 END) <= 0.5"), names=GAPPY)
+#: Half of the samples have four proteins each.
+_FEW = FEATURES | {S.PROTEIN: "concat('P', cast(case when l_orderkey % 6 < 3 then l_suppkey % 4 else l_suppkey end as string))"}
+_filter("min_proteins_per_sample", lambda: filters.min_proteins_per_sample(5), _having(S.SAMPLE, f"count(DISTINCT {S.PROTEIN}) >= 5"), names=_FEW)
 #: For peptides of several proteins: a peptide is an order.
 _ORDERS = FEAT.replace(FEATURES[S.PEPTIDE].replace("as string", "as varchar"), "concat('O', cast(l_orderkey as varchar))")
 _PAIRS = f"pairs AS (SELECT DISTINCT {S.PEPTIDE}, {S.PROTEIN} FROM feat), sizes AS (SELECT {S.PROTEIN}, count(*) AS n FROM pairs GROUP BY {S.PROTEIN}), top AS (SELECT {S.PEPTIDE}, {S.PROTEIN} FROM pairs JOIN sizes USING ({S.PROTEIN}) QUALIFY row_number() OVER (PARTITION BY {S.PEPTIDE} ORDER BY n DESC, {S.PROTEIN}) = 1)"
@@ -127,18 +141,18 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_left(f"SELECT * FROM feat WHERE {_having(S.PEPTIDE, f'count(DISTINCT {S.PROTEIN}) <= 1')}").replace(FEAT, _ORDERS))
 def filter_razor_remove(spark: SparkSession, d: str) -> DataFrame:
-    return per_sample(filters.razor_peptides("remove")(_orders(spark, d)))
+    return kept(filters.razor_peptides("remove")(_orders(spark, d)))
 
 
 @query(_left(f"SELECT * FROM feat WHERE ({S.PEPTIDE}, {S.PROTEIN}) IN (SELECT ({S.PEPTIDE}, {S.PROTEIN}) FROM top)", _PAIRS).replace(FEAT, _ORDERS))
 def filter_razor_assign_to_top(spark: SparkSession, d: str) -> DataFrame:
-    return per_sample(filters.razor_peptides("assign_to_top")(_orders(spark, d)))
+    return kept(filters.razor_peptides("assign_to_top")(_orders(spark, d)))
 
 
-_filter("missing_values", lambda: filters.missing_values(30.0, S.NORM), _having(S.SAMPLE, f"100.0 * ((SELECT count(DISTINCT {S.PROTEIN}) FROM feat) - count(DISTINCT {S.PROTEIN})) / (SELECT count(DISTINCT {S.PROTEIN}) FROM feat) <= 30"))
-_filter("single_sample_batches", lambda: filters.no_single_sample_batches(S.CONDITION), _having(S.CONDITION, f"count(DISTINCT {S.SAMPLE}) > 1"))
-_CORR = f"m AS (SELECT {S.PROTEIN}, {S.SAMPLE}, avg({S.NORM}) AS x FROM feat GROUP BY ALL), c AS (SELECT a.{S.SAMPLE} AS s, b.{S.SAMPLE} AS t, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM m a JOIN m b USING ({S.PROTEIN}) GROUP BY ALL)"
-_filter("sample_correlation", lambda: filters.sample_correlation(0.2), f"{S.SAMPLE} NOT IN (SELECT s FROM c GROUP BY s HAVING avg(r) < 0.2)", _CORR)
+_filter("missing_values", lambda: filters.missing_values(30.0, S.NORM), f"{S.SAMPLE} IN (SELECT {S.SAMPLE} FROM feat WHERE {S.NORM} IS NOT NULL GROUP BY {S.SAMPLE} HAVING 100.0 * ((SELECT count(DISTINCT {S.PROTEIN}) FROM feat WHERE {S.NORM} IS NOT NULL) - count(DISTINCT {S.PROTEIN})) / (SELECT count(DISTINCT {S.PROTEIN}) FROM feat WHERE {S.NORM} IS NOT NULL) <= 30)", names=GAPPY)
+_filter("single_sample_batches", lambda: filters.no_single_sample_batches(S.CONDITION), _having(S.CONDITION, f"count(DISTINCT {S.SAMPLE}) > 1"), names=GAPPY)
+_CORR = f"m AS (SELECT {S.PROTEIN}, {S.SAMPLE}, avg({S.NORM}) AS x FROM feat GROUP BY ALL HAVING count({S.NORM}) > 0), c AS (SELECT a.{S.SAMPLE} AS s, b.{S.SAMPLE} AS t, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM m a JOIN m b USING ({S.PROTEIN}) GROUP BY ALL)"
+_filter("sample_correlation", lambda: filters.sample_correlation(0.2), f"{S.SAMPLE} NOT IN (SELECT s FROM c GROUP BY s HAVING avg(r) < 0.2)", _CORR, GAPPY)
 
 
 @query(f"WITH {FEAT}, {_CORR} SELECT s AS a, t AS b, round(r, 6) AS r FROM c")
@@ -151,9 +165,9 @@ _CONFIG = {"intensity": {"min_intensity": 5000.0}, "peptide": {"allowed_charge_s
 
 @query(f"""WITH {FEAT}, a AS (SELECT * FROM feat WHERE {_having(S.RUN, 'count(*) >= 100')}),
 b AS (SELECT * FROM a WHERE {S.NORM} >= 5000 AND length({S.PEPTIDE}) BETWEEN 8 AND 50 AND {S.CHARGE} IN (2, 3, 4) AND q_value <= 0.08 AND {S.PROTEIN} NOT LIKE '%CONTAMINANT%')
-SELECT {S.SAMPLE}, count(*) AS n_rows, count(DISTINCT {S.PROTEIN}) AS n_proteins, round(sum({S.NORM}), 2) AS total FROM b WHERE {_having(S.PROTEIN, f'count(DISTINCT {S.PEPTIDE}) >= 5', 'b')} GROUP BY {S.SAMPLE}""")
+SELECT feature_id, {S.SAMPLE}, {S.PROTEIN}, {S.PEPTIDE}, round({S.NORM}, 2) AS {S.NORM} FROM b WHERE {_having(S.PROTEIN, f'count(DISTINCT {S.PEPTIDE}) >= 5', 'b')}""")
 def filter_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return per_sample(filters.pipeline_of(_CONFIG).apply(features(spark, d))[0])
+    return kept(filters.pipeline_of(_CONFIG).apply(features(spark, d))[0])
 
 
 # scalar expressions
@@ -362,14 +376,14 @@ for _n in (3, 5):
     ORACLE_SQL[f"quant_top{_n}"] = f"WITH {FEAT} SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg({S.NORM}), 3) AS Top{_n}Intensity FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY {S.PROTEIN}, {S.SAMPLE} ORDER BY {S.NORM} DESC) <= {_n}) GROUP BY ALL"
 
 
-def _maxlfq(unit: str, least: int) -> str:
-    return f"""WITH {FEAT}, cell AS (SELECT {S.PROTEIN} AS p, {S.PEPTIDE} AS q, {unit}, sum({S.NORM}) AS x, log2(sum({S.NORM})) AS lx FROM feat GROUP BY ALL),
+def _maxlfq(unit: str, least: int, ctes: str = FEAT, source: str = "feat") -> str:
+    return f"""WITH {ctes}, cell AS (SELECT {S.PROTEIN} AS p, {S.PEPTIDE} AS q, {unit}, sum({S.NORM}) AS x, log2(sum({S.NORM})) AS lx FROM {source} GROUP BY ALL),
 np AS (SELECT p, count(DISTINCT q) AS n FROM cell GROUP BY p), big AS (SELECT cell.* FROM cell JOIN np USING (p) WHERE n >= {least}),
 ref AS (SELECT p, q FROM (SELECT p, q, count(*) AS c FROM big GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p ORDER BY c DESC, q) = 1),
 rt AS (SELECT big.p, {unit}, lx AS r FROM big JOIN ref USING (p, q)), sh AS (SELECT big.p, big.q, median(r - lx) AS s FROM big JOIN rt USING (p, {unit}) GROUP BY ALL),
 al AS (SELECT big.p, {unit}, median(lx + coalesce(s, 0)) AS a, sum(x) AS t FROM big LEFT JOIN sh USING (p, q) GROUP BY ALL),
 o AS (SELECT p, {unit}, pow(2::DOUBLE, a) * sum(t) OVER (PARTITION BY p) / sum(pow(2::DOUBLE, a)) OVER (PARTITION BY p) AS v FROM al
-UNION ALL SELECT {S.PROTEIN}, {unit}, median({S.NORM}) FROM feat WHERE {S.PROTEIN} IN (SELECT p FROM np WHERE n < {least}) GROUP BY ALL)
+UNION ALL SELECT {S.PROTEIN}, {unit}, median({S.NORM}) FROM {source} WHERE {S.PROTEIN} IN (SELECT p FROM np WHERE n < {least}) GROUP BY ALL)
 SELECT p AS {S.PROTEIN}, {unit}, round(v, 3) AS MaxLFQIntensity FROM o WHERE v > 0"""
 
 
@@ -443,12 +457,41 @@ def tpa(spark: SparkSession, d: str) -> DataFrame:
 _NA = "6.02214129e23::DOUBLE"
 
 
-@query(f"""WITH {_IB}, h AS (SELECT *, ni / greatest(sum(CASE WHEN {S.PROTEIN} IN ('P1', 'P2', 'P3') THEN ni ELSE 0 END) OVER (PARTITION BY {S.CONDITION}), 1) * (2 * 3.22e9::DOUBLE * 617.96 / {_NA} * {_NA}) / mass AS copies FROM ib),
-w AS (SELECT *, copies * (1e9::DOUBLE / {_NA}) AS moles FROM h) SELECT {_IBAQ_COLS}, round(log10(copies), 6) AS log_copies, round(log10(moles), 6) AS log_moles, round(log10(moles * mass), 6) AS log_weight, round(log10(sum(moles * mass) OVER (PARTITION BY {S.CONDITION}) / 1e-9::DOUBLE / 200 * moles), 6) AS log_concentration FROM w""")
+#: Some proteins under names of human histones: an accession, another one, an entry name, all in one.
+_NAMED = {"P1": "P0C0S5", "P2": "P62805", "P3": "H2AZ_HUMAN", "P4": "sp|P16104|H2AX_HUMAN"}
+
+
+def _named(column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMED.items()) + f" ELSE {column} END"
+
+
+def _ruled(source: str, histones: str) -> str:
+    return f"""h AS (SELECT *, ni / greatest(sum(CASE WHEN {S.PROTEIN} IN ({histones}) THEN ni ELSE 0 END) OVER (PARTITION BY {S.CONDITION}), 1) * (2 * 3.22e9::DOUBLE * 617.96 / {_NA} * {_NA}) / nullif(mass, 0) AS copies FROM {source}),
+w AS (SELECT *, copies * (1e9::DOUBLE / {_NA}) AS moles FROM h), v AS (SELECT *, sum(moles * mass) OVER (PARTITION BY {S.CONDITION}) / 1e-9::DOUBLE / 200 AS volume FROM w)"""
+
+
+_LOGS = "round(log10(copies), 6) AS log_copies, round(log10(moles), 6) AS log_moles, round(log10(moles * mass), 6) AS log_weight, round(log10(volume * moles), 6) AS log_concentration"
+
+
+def _log_columns() -> list:
+    return [F.round(F.log10(F.col(f"`{c}`")), 6).alias(k) for c, k in ((S.COPIES, "log_copies"), (S.MOLES, "log_moles"), (S.WEIGHT, "log_weight"), (S.CONCENTRATION, "log_concentration"))]
+
+
+@query(f"WITH {_IB}, {_ruled('ib', chr(39) + 'P1' + chr(39) + ', ' + chr(39) + 'P2' + chr(39))} SELECT {_IBAQ_COLS}, {_LOGS} FROM v")
 def proteomic_ruler(spark: SparkSession, d: str) -> DataFrame:
-    r = ibaq.proteomic_ruler(_ibaq(spark, d), histone=F.col(S.PROTEIN).isin("P1", "P2", "P3"))
-    log = lambda c: F.round(F.log10(F.col(f"`{c}`")), 6)
-    return r.select(*_IBAQ_COLS.split(", "), log(S.COPIES).alias("log_copies"), log(S.MOLES).alias("log_moles"), log(S.WEIGHT).alias("log_weight"), log(S.CONCENTRATION).alias("log_concentration"))
+    r = ibaq.proteomic_ruler(_ibaq(spark, d), histone=F.col(S.PROTEIN).isin("P1", "P2"))
+    return r.select(*_IBAQ_COLS.split(", "), *_log_columns())
+
+
+_IB_NAMED = _IB.replace(f"SELECT {_IBAQ_COLS}, sum(", f"SELECT {_named(S.PROTEIN)} AS {S.PROTEIN}, {S.SAMPLE}, {S.CONDITION}, sum(")
+_HISTONES = ", ".join(f"'{v}'" for v in _NAMED.values())
+
+
+@query(f"WITH {_IB_NAMED}, {_ruled('ib', _HISTONES)} SELECT {_IBAQ_COLS}, {_LOGS} FROM v")
+def proteomic_ruler_histone_names(spark: SparkSession, d: str) -> DataFrame:
+    """Histones by the organism's own lists: proteins carry accessions and entry names."""
+    r = ibaq.proteomic_ruler(_ibaq(spark, d).withColumn(S.PROTEIN, F.expr(_named(S.PROTEIN))))
+    return r.select(*_IBAQ_COLS.split(", "), *_log_columns())
 
 
 @query(f"WITH {FEAT}, {_THEORY}, s AS (SELECT {S.PROTEIN}, {S.SAMPLE}, sum({S.NORM}) AS t FROM feat GROUP BY ALL) SELECT {S.PROTEIN}, {S.SAMPLE}, round(CASE WHEN coalesce(n_peptides, 1) = 0 THEN 0 ELSE t / coalesce(n_peptides, 1) END, 5) AS ibaq FROM s LEFT JOIN theory ON {S.PROTEIN} = accession")
@@ -521,7 +564,15 @@ def combat_mean_only(spark: SparkSession, d: str) -> DataFrame:
     return rounded(batch.combat(df, samples, "x", mean_only=True))
 
 
-@query()
+#: The fixed point as a fold: three sums per batch and protein, both estimates renewed 80 times.
+_EB = f"""{_CB}, sx AS (SELECT b, p, count(*)::DOUBLE AS n, avg(z) AS gh, coalesce(var_samp(z), 1) AS dh, sum(z) AS s1, sum(z * z) AS s2 FROM z GROUP BY ALL),
+px AS (SELECT b, avg(gh) AS gb, var_samp(gh) AS t2, avg(dh) AS db, var_samp(dh) AS dv FROM sx GROUP BY b),
+ab AS (SELECT sx.*, gb, t2, (2 * dv + db * db) / dv AS a, (db * dv + pow(db, 3)) / dv AS bb FROM sx JOIN px USING (b)),
+it(b, p, n, gh, s1, s2, gb, t2, a, bb, k, g, d) AS (SELECT b, p, n, gh, s1, s2, gb, t2, a, bb, 0, gh, dh FROM ab UNION ALL SELECT b, p, n, gh, s1, s2, gb, t2, a, bb, k + 1, gn, (0.5::DOUBLE * (s2 - 2 * gn * s1 + n * gn * gn) + bb) / (n / 2 + a - 1) FROM (SELECT *, (t2 * n * gh + d * gb) / (t2 * n + d) AS gn FROM it WHERE k < 80)),
+e AS (SELECT * FROM it WHERE k = 80)"""
+
+
+@query(f"WITH RECURSIVE {_EB} SELECT b.p AS {S.PROTEIN}, b.s AS {S.SAMPLE}, round(coalesce((z.z - e.g) / sqrt(e.d) * z.sd + z.g, b.x), 6) AS x FROM b LEFT JOIN z ON z.p = b.p AND z.s = b.s LEFT JOIN e ON e.p = z.p AND e.b = z.b")
 def combat_parametric(spark: SparkSession, d: str) -> DataFrame:
     df, samples = _logs(spark, d)
     return rounded(batch.combat(df, samples, "x"))
@@ -536,6 +587,13 @@ def hierarchical_pair_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("a", "b", "n", "median_a", "median_b", "d"))
 
 
+@query(f"WITH {PROT}, l AS (SELECT {S.PROTEIN} AS p, split_part({S.SAMPLE}, '-', 1) AS s, log2(sum(x)) AS x FROM prot GROUP BY ALL) SELECT 'PXD0' AS {S.SAMPLE}, 0.0::DOUBLE AS shift UNION ALL SELECT 'PXD1', round(median(a.x) - median(b.x), 6) FROM l a JOIN l b USING (p) WHERE a.s = 'PXD0' AND b.s = 'PXD1'")
+def hierarchical_shifts_of_two(spark: SparkSession, d: str) -> DataFrame:
+    """Every project as one sample."""
+    two = proteins(spark, d).groupBy(S.PROTEIN, F.split_part(S.SAMPLE, F.lit("-"), F.lit(1)).alias(S.SAMPLE)).agg(F.log2(F.sum("x")).alias("x"))
+    return rounded(alignment.sample_shifts(two, S.PROTEIN, S.SAMPLE, "x", min_overlap=3))
+
+
 @query()
 def hierarchical_shifts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(alignment.sample_shifts(_logs(spark, d)[0], S.PROTEIN, S.SAMPLE, "x", min_overlap=3))
@@ -607,19 +665,25 @@ def features_to_peptides(spark: SparkSession, d: str) -> DataFrame:
     return rounded(workflows.features_to_peptides(_raw(spark, d)), 3)
 
 
-@query(f"WITH {_FLOW}, s AS (SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, {S.BIOREP}, {S.CONDITION}, sum({S.NORM}) AS x FROM best GROUP BY ALL), m AS (SELECT {S.SAMPLE}, median(x) AS v FROM s GROUP BY ALL), f AS (SELECT {S.SAMPLE}, v / (SELECT median(v) FROM m) AS k FROM m), t AS (SELECT s.*, x / k AS y FROM s JOIN f USING ({S.SAMPLE})) SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg(y), 3) AS Top3Intensity FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY {S.PROTEIN}, {S.SAMPLE} ORDER BY y DESC) <= 3) GROUP BY ALL")
+_SUMMED = f"{_FLOW}, s AS (SELECT {S.PROTEIN}, {S.PEPTIDE}, {S.SAMPLE}, {S.BIOREP}, {S.CONDITION}, sum({S.NORM}) AS x FROM best GROUP BY ALL), sm AS (SELECT {S.SAMPLE}, median(x) AS v FROM s GROUP BY ALL), sf AS (SELECT {S.SAMPLE}, v / (SELECT median(v) FROM sm) AS k FROM sm), t AS (SELECT s.* EXCLUDE (x), x / k AS {S.NORM} FROM s JOIN sf USING ({S.SAMPLE}))"
+
+
+@query(f"WITH {_SUMMED} SELECT {S.PROTEIN}, {S.SAMPLE}, round(avg({S.NORM}), 3) AS Top3Intensity FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY {S.PROTEIN}, {S.SAMPLE} ORDER BY {S.NORM} DESC) <= 3) GROUP BY ALL")
 def features_to_proteins_top3(spark: SparkSession, d: str) -> DataFrame:
     return rounded(workflows.features_to_proteins(_raw(spark, d), workflows.Config(quantification="top3")), 3)
 
 
-@query()
+@query(_maxlfq(S.SAMPLE, 2, _SUMMED, "t"))
 def features_to_proteins_maxlfq(spark: SparkSession, d: str) -> DataFrame:
     return rounded(workflows.features_to_proteins(_raw(spark, d)), 3)
 
 
-@query()
+@query(f"WITH {_IBN.replace(_IB, _IB_NAMED)}, shared AS (SELECT * FROM ibn WHERE norm IS NOT NULL), {_ruled('shared', _HISTONES)} SELECT {_IBAQ_COLS}, round(ibaq, 6) AS ibaq, round(norm, 9) AS norm, round(ni / coalesce(nullif(mass, 0), 1), 6) AS tpa, {_LOGS} FROM v")
 def peptides_to_proteins(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(workflows.peptides_to_proteins(features(spark, d), fasta(spark, d)), 6)
+    named = features(spark, d).withColumn(S.PROTEIN, F.expr(_named(S.PROTEIN)))
+    sequences = fasta(spark, d).withColumn("accession", F.expr(_named("accession")))
+    out = workflows.peptides_to_proteins(named, sequences)
+    return out.select(*_IBAQ_COLS.split(", "), F.round(S.IBAQ, 6).alias("ibaq"), F.round(S.IBAQ_NORM, 9).alias("norm"), F.round(S.TPA, 6).alias("tpa"), *_log_columns())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
