@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words, numbers and sentence ends are taken from the text; numbers, units after a number and names
-(capitalised inside a sentence) become typed placeholders, the rest is lower-cased. Windows of the
-resulting template are hash-joined with those of the benchmark. Windows in step (at one offset between
+(capitalised words; the first one of a sentence is one, too, since it may be) become typed placeholders,
+the rest is lower-cased. Windows of the
+resulting template are hash-joined with those of the benchmark, but for item windows without a single
+word, which say nothing. Windows in step (at one offset between
 document and item) make a match; a match whose placeholders stand for values that do not follow
 one-to-one from the item's values is no re-parameterised copy and is dropped.
 
@@ -30,14 +32,15 @@ def tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
     def is_number(t: Column) -> Column:
-        return t.substr(1, 1).between("0", "9")
+        first = t.substr(1, 1)
+        # digits of other scripts come after the Latin letters
+        return first.between("0", "9") | ((first > "\u024f") & first.rlike(r"^\p{Nd}"))
 
     def one(all_: Column) -> Column:
         def at(t: Column, i: Column) -> Column:
             prev = F.when(i > 0, F.get(all_, i - 1)).otherwise(F.lit("."))
             first = t.substr(1, 1)
-            ends = prev.isin(".", "!", "?")
-            tmpl = F.when(t.isin(".", "!", "?"), F.lit(None).cast("string")).when(is_number(t), NUMBER).when(is_number(prev) & F.lower(t).isin(*UNITS), UNIT).when(~ends & (first != F.lower(first)), NAME).otherwise(F.lower(t))
+            tmpl = F.when(t.isin(".", "!", "?"), F.lit(None).cast("string")).when(is_number(t), NUMBER).when(is_number(prev) & F.lower(t).isin(*UNITS), UNIT).when(first != F.lower(first), NAME).otherwise(F.lower(t))
             return F.struct(t.alias("raw"), tmpl.alias("tmpl"))
 
         return F.transform(all_, at)
@@ -78,15 +81,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
     A match has ``min_windows`` windows of ``window`` template tokens at one offset, or all windows of an
     item that has fewer: passages of ``window + min_windows - 1`` tokens. n_slots counts placeholders in
     it, n_changed those with another value than in the item; equal values in the item must stand for equal
-    values in the document. Of several offsets the one with most windows is told. An item
+    values in the document, and different ones for different ones. Item windows of placeholders only do not count. Of several offsets the one with most windows is told. An item
     shorter than a window is one window, which documents have at every place. row_key is a hash of doc_id and text. Null texts have no tokens;
     null ids are kept. Repeated rows match alike and give one row. Empty tables: no rows. Extra columns
     are ignored.
     """
     hashed = lambda text: F.transform(tokens(text), lambda x: F.xxhash64(x["tmpl"]))
     items = checkpointed(benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0).distinct())
-    item_windows = items.withColumn("h", _windows(F.transform("item_tokens", lambda x: F.xxhash64(x["tmpl"])), window)).withColumn("of", F.size("h"))
-    item_windows = checkpointed(item_windows.select("item_id", "of", F.posexplode("h").alias("item_at", "h")))
+    item_windows = items.withColumn("h", _windows(F.transform("item_tokens", lambda x: F.xxhash64(x["tmpl"])), window))
+    told = lambda i: F.exists(F.slice("item_tokens", i + 1, window), lambda x: ~x["tmpl"].isin(NUMBER, UNIT, NAME))
+    with_words = F.filter(F.transform("h", lambda h, i: F.struct(i.alias("item_at"), h.alias("h"))), lambda w: told(w["item_at"]))
+    item_windows = item_windows.withColumn("w", with_words).select("item_id", F.size("w").alias("of"), F.explode("w").alias("w"))
+    item_windows = checkpointed(item_windows.select("item_id", "of", "w.item_at", "w.h"))
     small = item_windows.count() <= MOST_BROADCAST
     shorter = sorted(r[0] for r in items.where(F.size("item_tokens") < window).select(F.size("item_tokens")).distinct().collect())
     doc_keys = ["doc_id", F.xxhash64("doc_id", "text").alias("row_key")]
@@ -106,10 +112,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
     n = slotted.count()
     if n:
         keys = F.broadcast(slotted) if n <= MOST_BROADCAST else slotted
-        texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(keys, "row_key").withColumn("doc_tokens", tokens(F.col("text")))
+        texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", "text").alias("__key"), "text")
+        texts = texts.join(keys, (texts["__key"] == keys["row_key"]) & texts["__id"].eqNullSafe(keys["doc_id"])).withColumn("doc_tokens", tokens(F.col("text")))
         value = lambda col, p: F.lower(F.get(F.col(col), p)["raw"])
         pairs = F.transform("slots", lambda p: F.struct(value("item_tokens", p).alias("a"), value("doc_tokens", p + F.col("shift")).alias("b")))
-        checked = texts.withColumn("pairs", pairs).where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
+        kinds = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
+        checked = texts.withColumn("pairs", pairs).where(F.size(F.array_distinct("pairs")) == kinds("a")).where(kinds("a") == kinds("b"))
         slotted_ok = checked.select("row_key", "doc_id", "item_id", "n_windows", F.size("slots").alias("n_slots"), F.size(F.filter("pairs", lambda x: ~x["a"].eqNullSafe(x["b"]))).alias("n_changed"))
         plain = plain.unionByName(slotted_ok)
     best = F.max(F.struct("n_windows", -F.col("n_changed"), "n_slots")).alias("best")
@@ -117,7 +125,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
-    """``docs`` without the documents that ``matches`` finds."""
-    hit = checkpointed(matches(docs, benchmark, **how).select(F.col("row_key").alias("__hit")).distinct())
+    """``docs`` without the rows that ``matches`` finds; columns and values are those of ``docs``.
+
+    Null and empty texts match nothing and stay, as do all rows if the benchmark is empty or has null texts
+    only. Rows that repeat go or stay alike; rows of one doc_id, or of none, are judged by their own
+    texts. No documents: no rows.
+    """
+    hit = checkpointed(matches(docs, benchmark, **how).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__hit")).distinct())
     found = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
-    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == hit["__hit"], "left_anti")
+    return docs.join(found, (F.xxhash64(docs["doc_id"], docs["text"]) == hit["__hit"]) & docs["doc_id"].eqNullSafe(hit["__id"]), "left_anti")

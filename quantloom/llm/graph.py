@@ -15,8 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is the smallest node reachable.
 
-    Each round is two aggregations and two joins on nodes; minima are combined before the shuffle, so a
-    node with very many neighbours costs no task more than others. Rounds grow with the logarithm of the
+    Each round is two aggregations and two joins on nodes. Minima are combined before the shuffle; the edges
+    of a node with very many neighbours meet its minimum in a join with one row on the other side, which
+    adaptive execution splits when the node's partition is skewed. Rounds grow with the logarithm of the
     longest path. Nulls are no nodes. No edges: no rows.
     """
     edges = checkpointed(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

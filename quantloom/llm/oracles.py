@@ -20,20 +20,21 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesc
 
 def templates(window: int = 8, min_windows: int = 6) -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
+    words = f" WHERE len(list_filter(ts[a + 1:a + {window}], lambda x: x NOT IN ('#n', '#u', '#p'))) > 0"
 
     def side(name: str, key: str, source: str) -> str:
         return rf"""{name}_t AS (SELECT {key}, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM (SELECT {key}, regexp_extract_all(text, '{TOKEN}') AS t FROM {source})),
 {name}_p AS (SELECT *, lag(raw, 1, '.') OVER (PARTITION BY {key} ORDER BY i) AS prev FROM {name}_t),
-{name}_m AS (SELECT {key}, i, raw, CASE WHEN raw IN ('.', '!', '?') THEN NULL WHEN raw[1] BETWEEN '0' AND '9' THEN '#n' WHEN prev[1] BETWEEN '0' AND '9' AND lower(raw) IN ({units}) THEN '#u' WHEN prev NOT IN ('.', '!', '?') AND raw[1] <> lower(raw[1]) THEN '#p' ELSE lower(raw) END AS tmpl FROM {name}_p),
+{name}_m AS (SELECT {key}, i, raw, CASE WHEN raw IN ('.', '!', '?') THEN NULL WHEN regexp_matches(raw, '^\p{{Nd}}') THEN '#n' WHEN regexp_matches(prev, '^\p{{Nd}}') AND lower(raw) IN ({units}) THEN '#u' WHEN raw[1] <> lower(raw[1]) THEN '#p' ELSE lower(raw) END AS tmpl FROM {name}_p),
 {name}_s AS (SELECT {key}, list(tmpl ORDER BY i) AS ts, list(lower(raw) ORDER BY i) AS raws FROM {name}_m WHERE tmpl IS NOT NULL GROUP BY {key}),
-{name}_w AS (SELECT {key}, a, greatest(len(ts) - {window - 1}, 1) AS n_all, array_to_string(ts[a + 1:a + {window}], ' ') AS k FROM (SELECT {key}, ts, unnest(range(0, greatest(len(ts) - {window - 1}, 1))) AS a FROM {name}_s))"""
+{name}_w AS (SELECT {key}, a, count(*) OVER (PARTITION BY {key}) AS n_all, array_to_string(ts[a + 1:a + {window}], ' ') AS k FROM (SELECT {key}, ts, unnest(range(0, greatest(len(ts) - {window - 1}, 1))) AS a FROM {name}_s){words if key == 'item_id' else ''})"""
 
     return f"""WITH {side('d', 'doc_id', 'documents')}, {side('b', 'item_id', 'benchmark')},
 steps AS (SELECT doc_id, item_id, d_w.a - b_w.a AS shift, count(DISTINCT b_w.a) AS n_windows, any_value(b_w.n_all) AS n_all, min(b_w.a) AS lo, max(b_w.a) + {window - 1} AS hi FROM d_w JOIN b_w USING (k) GROUP BY ALL),
 found AS (SELECT * FROM steps WHERE n_windows >= least({min_windows}, n_all)),
 slot AS (SELECT doc_id, item_id, shift, n_windows, b_s.raws[p + 1] AS x, d_s.raws[p + shift + 1] AS y, b_s.ts[p + 1] AS tmpl FROM (SELECT *, unnest(range(lo, hi + 1)) AS p FROM found) JOIN b_s USING (item_id) JOIN d_s USING (doc_id)),
 judged AS (SELECT doc_id, item_id, shift, n_windows, count(*) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) AS n_slots, count(*) FILTER (WHERE tmpl IN ('#n', '#u', '#p') AND x IS DISTINCT FROM y) AS n_changed,
-count(DISTINCT x) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) = count(DISTINCT (x, y)) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) AS fits FROM slot GROUP BY ALL)
+count(DISTINCT x) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) = count(DISTINCT (x, y)) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) AND count(DISTINCT y) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) = count(DISTINCT (x, y)) FILTER (WHERE tmpl IN ('#n', '#u', '#p')) AS fits FROM slot GROUP BY ALL)
 SELECT doc_id, item_id, n_windows, n_slots::INT AS n_slots, n_changed::INT AS n_changed FROM judged WHERE fits QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_changed, n_slots DESC) = 1"""
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups with pivot distance tables.
 
-Every distinct fingerprint carries a table of Hamming distances to fixed reference fingerprints (the
-pivots). Two fingerprints at distance d differ by at most d in every coordinate, so a pair whose largest
+A table of Hamming distances to fixed reference fingerprints (the pivots) is computed once for every
+distinct fingerprint and goes with it into its blocks. Two fingerprints at distance d differ by at most d in every coordinate, so a pair whose largest
 coordinate difference exceeds the limit is discarded unseen; survivors are verified bit by bit.
 
 Pairs meet in blocks. ``segments``: the fingerprint is cut in max_bits + 2 segments, of which a linked
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed, chunks, keyed, mix, pack, unpack
+from quantloom.llm.common import checkpointed, chunks, free_name, keyed, mix, pack, unpack
 from quantloom.llm.exchange import split_by
 from quantloom.llm.graph import connected_components
 
@@ -119,26 +119,40 @@ def linked_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, left: np.n
     return found
 
 
+def with_tables(nodes: DataFrame, lanes: int) -> DataFrame:
+    """``nodes`` (with fp) and their pivot distances (table array<smallint>)."""
+    refs = pivots(lanes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.asarray(pc.list_flatten(batch.column("fp"))).view(np.uint64).reshape(batch.num_rows, lanes)
+            table = distance_table(fps, refs)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * N_PIVOTS, pa.int32()), pa.array(table.ravel(), pa.int16()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "table"])
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    return nodes.mapInArrow(run, f"{ddl}, table array<smallint>")
+
+
 def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str, keys_of: DataFrame | None = None) -> DataFrame:
-    """(a, b): links that connect the nodes (id long, fp array<long>, one row per id) within ``max_bits``; ``keys_of`` (id, keys array<long>, rows of one id add up) serves blocking ``shingles``."""
+    """(a, b): links that connect the nodes (id long, fp array<long>, table array<smallint>, one row per id) within ``max_bits``; ``keys_of`` (id, keys array<long>, rows of one id add up) serves blocking ``shingles``."""
     if blocking == "segments":
         n_seg = max_bits + 2
         cuts = [round(64 * lanes * k / n_seg) for k in range(n_seg + 1)]
         bits = F.concat(*[F.lpad(F.conv(F.hex(F.col("fp")[k]), 16, 2), 64, "0") for k in range(lanes)])
         seg = [F.substring(F.col("bits"), cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(n_seg)]
         keys = F.array(*[F.xxhash64(F.lit(n), seg[i], seg[j]) for n, (i, j) in enumerate(combinations(range(n_seg), 2))])
-        with_keys = nodes.withColumn("bits", bits).select("id", "fp", F.explode(keys).alias("key"))
+        with_keys = nodes.withColumn("bits", bits).select("id", "fp", "table", F.explode(keys).alias("key"))
     else:
-        with_keys = nodes.select("id", "fp").join(keys_of.select("id", F.explode("keys").alias("key")).distinct(), "id")
+        with_keys = nodes.select("id", "fp", "table").join(keys_of.select("id", F.explode("keys").alias("key")).distinct(), "id")
     counts = with_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = with_keys.join(counts, "key").withColumn("n_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
-    packed = members.groupBy("key", "n_chunks", "chunk").agg(F.collect_list(F.struct("id", "fp")).alias("m"))
+    packed = members.groupBy("key", "n_chunks", "chunk").agg(F.collect_list(F.struct("id", "fp", "table")).alias("m"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other")
     whole = packed.where("n_chunks = 1").select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.col("chunk"), "m")
     parts = packed.where("n_chunks > 1").select("key", "chunk", "m", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "m")
     met = parts.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("chunk", "m")).alias("sides"))
     rows = whole.select("lo", "hi", F.array(F.struct("chunk", "m")).alias("sides")).unionAll(met.select("lo", "hi", "sides"))
-    refs = pivots(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +160,13 @@ def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str, keys_of: D
             for lo, hi, sides in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "sides")), strict=True):
                 if lo < hi and len(sides) < 2:
                     continue
-                m = [(x["id"], x["fp"], s["chunk"]) for s in sides for x in s["m"]]
+                m = [(x["id"], x["fp"], s["chunk"], x["table"]) for s in sides for x in s["m"]]
                 ids = np.array([x[0] for x in m], dtype=np.int64)
                 fps = np.array([x[1] for x in m], dtype=np.int64).view(np.uint64).reshape(len(m), lanes)
                 side = np.array([x[2] for x in m])
                 left = np.flatnonzero(side == lo) if lo < hi else np.arange(len(m))
                 right = np.flatnonzero(side == hi) if lo < hi else left
-                for x, y in linked_pairs(ids, fps, distance_table(fps, refs), left, right, max_bits):
+                for x, y in linked_pairs(ids, fps, np.array([x[3] for x in m], dtype=np.int16), left, right, max_bits):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -280,8 +294,11 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
 
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lanes: int, max_bits: int, similarity: float) -> DataFrame:
     """The pairs whose fingerprints are within ``max_bits`` and whose distinct shingles have a Jaccard likeness of ``similarity`` or more."""
-    fps = nodes.select("id", "fp")
-    both = pairs.where("a <> b").join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    fps = nodes.select("id", "fp", "table")
+    both = pairs.where("a <> b").join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("table").alias("ta")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("table").alias("tb")), "b")
+    if max_bits < 64 * lanes:
+        apart = F.exists(F.zip_with("ta", "tb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), lambda x: x > max_bits)
+        both = both.where(~apart)
     distance = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(lanes)), F.lit(0))
     near = checkpointed(both.where(distance <= max_bits).select("a", "b"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -310,7 +327,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lan
 def alike_documents(docs: DataFrame, shingle_words: int, lanes: int, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of documents (doc_id, row_key, fp, id), nodes (id, first_doc) and components of nodes, by likeness of the distinct shingles."""
     fps = checkpointed(shingled(docs, shingle_words, lanes, similarity))
-    nodes = checkpointed(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    nodes = checkpointed(with_tables(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), lanes))
     n_keys = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     buckets = max(12, n_keys >> 20)
     how = (shingle_words, lanes, max_bits, similarity)
@@ -339,7 +356,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
         return _named(*alike_documents(docs, shingle_words, lanes, max_bits, similarity))
     fps = checkpointed(fingerprints(docs, shingle_words, lanes, n_keys if blocking == "shingles" else 0).withColumn("id", F.xxhash64("fp") if lanes > 1 else F.col("fp")[0]))
     nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"))
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(with_tables(nodes, lanes))
     return _named(fps, nodes, connected_components(links(nodes, max_bits, lanes, blocking, fps)))
 
 
@@ -357,10 +374,12 @@ def keep_one(docs: DataFrame, **how: object) -> DataFrame:
     """
     rows = near_duplicates(docs, **how).groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "copies")).alias("w")
-    winners = checkpointed(rows.groupBy("component").agg(first).select(F.col("w.row_key").alias("__row_key"), "w.copies"))
-    keys = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    kept = keys.join(winners.where("copies = 1"), "__row_key", "left_semi")
-    repeated = winners.where("copies > 1")
+    winners = checkpointed(rows.groupBy("component").agg(first).select(F.col("w.doc_id").alias("__win_id"), F.col("w.row_key").alias("__win_key"), "w.copies"))
+    name = free_name(docs)
+    keys = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    own = lambda w: (keys[name] == w["__win_key"]) & keys["doc_id"].cast("long").eqNullSafe(w["__win_id"])
+    once, repeated = winners.where("copies = 1"), winners.where("copies > 1")
+    kept = keys.join(once, own(once), "left_semi")
     if not repeated.isEmpty():
-        kept = kept.unionByName(keys.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
+        kept = kept.unionByName(keys.join(repeated, own(repeated), "left_semi").dropDuplicates(["doc_id", name]))
     return kept.select(*docs.columns)

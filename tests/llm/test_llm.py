@@ -90,7 +90,7 @@ def test_simhash_large_blocks_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(0)
     fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(60)})
     nodes = spark.createDataFrame([(i, [common.signed(f)], []) for i, f in enumerate(fps)], "id long, fp array<long>, keys array<long>")
-    found = dict(graph.connected_components(simhash.links(nodes, 2, 1, "segments")).collect())
+    found = dict(graph.connected_components(simhash.links(simhash.with_tables(nodes, 1), 2, 1, "segments")).collect())
     want = components(list(range(len(fps))), fps, lambda a, b: (a ^ b).bit_count() <= 2)
     assert [found.get(i, i) for i in range(len(fps))] == want
 
@@ -342,6 +342,48 @@ def test_brown_counts_and_gain(docs, monkeypatch):
     assert (model.step >= 0).all() and total.shape == (48,)
 
 
+def test_brown_scores_by_plain_sums(docs):
+    """Own classes of head words, and scores, token by token in plain Python."""
+    model, vocab, buckets = brown.fit(docs, words=200, endings=100, head=2000)
+    got = {r.doc_id: r for r in brown.score(docs, model, vocab, buckets).collect()}
+    tokens = {r.doc_id: [*r.text.encode().lower().split(), b" "] for r in docs.collect()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    item = {int(h): k + 1 for k, h in enumerate(model.items.hashes)}
+    own = {int(h): int(k) for h, k in zip(model.head, model.head_class, strict=True) if k >= 0}
+
+    def by_item(w):
+        ending = xxhash.xxh64_intdigest(w[-4:].rstrip(b".,;:!?\"')")[-3:]) ^ int(brown._MARK)
+        return int(model.klass[item.get(xxhash.xxh64_intdigest(w), item.get(ending, 0))])
+
+    old = {w: by_item(w) for t in tokens.values() for w in t}
+    klass = {w: own.get(xxhash.xxh64_intdigest(w), k) for w, k in old.items()}
+    between, left, right = np.zeros((48, 48)), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for t in train:
+        for x, y in zip([b" ", *t], t, strict=False):
+            between[old[x], old[y]] += 1
+            left[y][old[x]] += 1
+            right[x][old[y]] += 1
+    share = between.sum(axis=0) / between.sum()
+    logs = np.maximum(np.log((between + share[None, :]) / (between.sum(axis=1, keepdims=True) + 1) + 1e-300), -50)
+    checked = 0
+    for w in [w for w in c if xxhash.xxh64_intdigest(w) in own][:200]:
+        gain = sum(m * logs[k] for k, m in left[w].items()) + sum(m * logs[:, k] for k, m in right[w].items()) - c[w] * np.log(np.maximum(between.sum(axis=0), 1))
+        gain[old[b" "]] = -np.inf
+        checked += gain[klass[w]] >= gain.max() - 1e-6
+    assert checked == 200 and sum(klass[w] != old[w] for w in c) > 100
+    emitted = np.zeros(48)
+    for w, m in c.items():
+        emitted[klass[w]] += m
+    assert (model.step @ emitted <= 1 - model.rest + 1e-9).all()  # no class gives away more than lam
+    for i, t in tokens.items():
+        total = 0.0
+        for x, y in zip([b" ", *t], t, strict=False):
+            total += math.log10(model.step[klass[x], klass[y]] * c[y] + model.rest * (c[y] + 0.1) / (n + 0.1 * (v + 1)))
+        assert got[i].score == pytest.approx(total, rel=1e-9)
+
+
 def test_brown_classes_raise_the_likelihood():
     rng = np.random.default_rng(0)
     b = rng.integers(0, 5, (40, 40)) + 60.0 * ((np.arange(40)[:, None] + np.arange(40)[None, :]) % 2)
@@ -405,6 +447,19 @@ def test_decontamination_finds_reparameterised_questions(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, rows[2][1]), (4, rows[3][1]), (5, ""), (6, "")])
 
 
+def test_decontamination_of_short_questions(spark):
+    """Names begin sentences; other values must stand for other values."""
+    item = "John has 12 apples and buys 7 more. Mary gives John 25 pears. How many fruits has John now?"
+    swap = {"John": "Peter", "Mary": "Susan", "12": "31", "25": "64", "7": "8"}
+    other = re.sub("|".join(swap), lambda m: swap[m[0]], item)
+    merged = item.replace("25", "9").replace("12", "9")
+    rows = [(1, item), (2, other), (3, f"Some words before, {other} And some after."), (4, merged), (5, "Peter has many apples and buys pears."), (6, item.replace("12", "\u0663\u0664"))]
+    bench = spark.createDataFrame([(1, item), (2, "John Smith 25 kg"), (3, "Ann 7 Bob 8 Tom 9 Jim 10 Sue 11")], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_windows, r.n_changed) for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 6} and {v[0] for v in got.values()} == {1}
+    assert got[1][1] == got[2][1] == got[3][1] and got[1][2] == 0 < got[2][2]
+
+
 def test_decontamination_against_brute_force(spark, sf, docs):
     norm = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", t)]
     bench = {r.item_id: norm(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
@@ -545,7 +600,7 @@ def test_equal_fingerprints_keep_the_keys_of_all_members(spark):
     rows = [(r.fp[0], list(r.fp), list(r.keys)) for r in fps] + [(f, [f], [max(set(r.keys) - {k for o in fps if o is not r for k in o.keys})]) for f, r in zip(near, fps, strict=True)]
     table = spark.createDataFrame(rows, "id long, fp array<long>, keys array<long>")
     nodes = table.groupBy("id").agg(F.min("fp").alias("fp"))
-    found = graph.connected_components(simhash.links(nodes, 1, 1, "shingles", table)).collect()
+    found = graph.connected_components(simhash.links(simhash.with_tables(nodes, 1), 1, 1, "shingles", table)).collect()
     assert len(found) == 4 and len({r.component for r in found}) == 1
 
 
