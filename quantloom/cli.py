@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom import schema as S
-from quantloom.operators import batch, filters, outliers, quantify
+from quantloom.operators import batch, filters, normalize, outliers, quantify
 from quantloom.plans import workflows as W
 from quantloom.sources import readers, sinks
 
@@ -24,13 +24,14 @@ def _features(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, S.
 
 def _config(a: argparse.Namespace) -> W.Config:
     c = W.Config(min_aa=a.min_aa, min_unique=a.min_unique, run_normalization=S.RunNormalization.from_str(a.run_normalization), sample_normalization=S.SampleNormalization.from_str(a.sample_normalization))
-    for k in ("skip_normalization", "log2", "irs_channel", "irs_stat", "irs_scope", "quantification", "topn", "ion_alignment"):
+    for k in ("skip_normalization", "log2", "irs_channel", "irs_stat", "irs_scope", "quantification", "topn", "min_nonan", "export_peptides", "export_ions"):
         if getattr(a, k, None) is not None:
             setattr(c, k, getattr(a, k))
+    c.ion_alignment = getattr(a, "ion_alignment", None) == "hierarchical"
     c.remove_contaminants = getattr(a, "remove_decoy_contaminants", True)
     c.remove_low_frequency = getattr(a, "remove_low_frequency_peptides", False)
     c.run_level = getattr(a, "aggregation_level", "sample") == "run"
-    over = {"intensity__min_intensity": getattr(a, "filter_min_intensity", None), "intensity__cv_threshold": getattr(a, "filter_cv_threshold", None), "peptide__allowed_charge_states": getattr(a, "filter_charge_states", None), "peptide__max_missed_cleavages": getattr(a, "filter_max_missed_cleavages", None), "protein__min_unique_peptides": getattr(a, "filter_min_unique_peptides", None), "run_qc__min_identified_features": getattr(a, "filter_min_features", None)}
+    over = {"intensity__min_intensity": getattr(a, "filter_min_intensity", None), "intensity__cv_threshold": getattr(a, "filter_cv_threshold", None), "peptide__allowed_charge_states": getattr(a, "filter_charge_states", None), "peptide__max_missed_cleavages": getattr(a, "filter_max_missed_cleavages", None), "protein__min_unique_peptides": getattr(a, "filter_min_unique_peptides", None), "run_qc__min_identified_features": getattr(a, "filter_min_features", None), "run_qc__max_missing_rate": getattr(a, "filter_max_missing_rate", None), "peptide__exclude_modifications": getattr(a, "filter_exclude_modifications", None)}
     config = filters.load_config(a.filter_config) if getattr(a, "filter_config", None) else {}
     c.filters = filters.with_overrides(config, **over) if config or any(v is not None for v in over.values()) else {}
     return c
@@ -56,20 +57,30 @@ def parser() -> argparse.ArgumentParser:
     s = features("features2peptides")
     for flag in ("--remove_decoy_contaminants", "--remove_low_frequency_peptides", "--skip_normalization", "--log2"):
         s.add_argument(flag, action="store_true")
+    s.add_argument("--save_parquet", action="store_true", help="also write the result as Parquet, beside the output")
     s.add_argument("--irs_channel", type=int)
+    s.add_argument("--irs_autodetect_regex", default="pool|powder|ref|reference")
     s.add_argument("--irs_stat", choices=["median", "mean"], default="median")
     s.add_argument("--irs_scope", choices=["global", "by_mixture", "two_stage"], default="global")
     s.add_argument("--aggregation_level", choices=["sample", "run"], default="sample")
     s.add_argument("--generate-filter-config")
-    for flag, kind in (("--filter-min-intensity", float), ("--filter-cv-threshold", float), ("--filter-max-missed-cleavages", int), ("--filter-min-unique-peptides", int), ("--filter-min-features", int)):
+    for flag, kind in (("--filter-min-intensity", float), ("--filter-cv-threshold", float), ("--filter-max-missed-cleavages", int), ("--filter-min-unique-peptides", int), ("--filter-min-features", int), ("--filter-max-missing-rate", float)):
         s.add_argument(flag, type=kind)
+    s.add_argument("--filter-exclude-modifications", type=lambda x: [v.strip() for v in x.split(",")])
     s.add_argument("--filter-charge-states", type=lambda x: [int(v) for v in x.split(",")])
 
     s = features("features2proteins")
     s.add_argument("--quant-method", dest="quantification", default="maxlfq", choices=["directlfq", "ibaq", "maxlfq", "topn", "sum", "median"])
     s.add_argument("--topn", type=int, default=3)
     s.add_argument("--fasta")
-    s.add_argument("--ion-alignment", action="store_true")
+    s.add_argument("--ion-alignment", choices=["none", "hierarchical"])
+    s.add_argument("--remove-contaminants", dest="remove_decoy_contaminants", action="store_true", default=True)
+    s.add_argument("--keep-contaminants", dest="remove_decoy_contaminants", action="store_false")
+    s.add_argument("--normalization-proteins")
+    s.add_argument("--directlfq-cores", type=int, help="taken for compatibility; Spark's own settings decide")
+    s.add_argument("--directlfq-min-nonan", dest="min_nonan", type=int, default=1)
+    s.add_argument("--export-peptides")
+    s.add_argument("--export-ions")
 
     s = sub.add_parser("peptides2protein")
     s.add_argument("-p", "--peptides", required=True)
@@ -115,11 +126,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
 
             long = without_ids(long, readers.load_ids(spark, a.remove_ids), "__names").drop("__names")
         c = _config(a)
+        if getattr(a, "normalization_proteins", None):
+            c.normalization_proteins = readers.load_ids(spark, a.normalization_proteins)
+        if c.irs_channel is None and label is not S.LabelClass.LFQ and a.sdrf and getattr(a, "irs_autodetect_regex", None):
+            found = normalize.reference_label(readers.load_sdrf(spark, a.sdrf), a.irs_autodetect_regex)
+            c.irs_channel = S.channels(plex).get(found) if found else None
         if a.command == "features2peptides":
             out = W.features_to_peptides(long, c, label, plex)
         else:
             out = W.features_to_proteins(long, c, readers.load_fasta(spark, a.fasta) if a.fasta else None, label, plex)
         sinks.write_table(out, a.output)
+        if getattr(a, "save_parquet", False) and not a.output.endswith(".parquet"):
+            sinks.write_table(out, f"{a.output.rsplit('.', 1)[0]}.parquet")
     elif a.command == "peptides2protein":
         peptides = readers.load_peptides(spark, a.peptides)
         if a.method == "ibaq":

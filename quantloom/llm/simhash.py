@@ -16,7 +16,8 @@ order (those common in a sample last, then by hash); of n shingles the first n -
 are keys, so that two texts that are alike enough share one. Pairs that their sizes and the places of
 their keys allow are screened by fingerprints of the distinct shingles, at a limit (``max_bits``) far
 above the distance at that likeness, and survivors are verified on the shingles themselves. Blocks of
-more than WINDOW + 1 texts first compare neighbours in size, then all that is still apart.
+more than WINDOW + 1 texts first compare neighbours in size and in some hashed orders, then all that is
+still apart.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ CHUNK = 512
 SEED = 42
 #: Neighbours in size that a text of a prefix block is compared with before components are known.
 WINDOW = 4
+#: Further orders, by hashes, in which a text of a larger block is compared with its neighbour. Texts of one
+#: group are then mostly in one component before all that is still apart is compared.
+ORDERS = 8
 #: Texts whose shingles tell which ones are common. Only the order of keys depends on them, no link does.
 SAMPLE = 20_000
 #: Rows that are broadcast at most.
@@ -250,6 +254,12 @@ def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp:
         for d in range(1, WINDOW + 1):
             i = np.flatnonzero(left >= d)
             keep(i, i + d)
+        rows = np.flatnonzero(np.repeat(sizes > WINDOW + 1, sizes))
+        for k in range(ORDERS if len(rows) else 0):
+            mixed = rows[np.lexsort((mix(ids[rows].view(np.uint64) + np.uint64(k + 1)), key[rows]))]
+            together = np.flatnonzero(key[mixed[1:]] == key[mixed[:-1]])
+            i, j = mixed[together], mixed[together + 1]
+            keep(np.minimum(i, j), np.maximum(i, j))
     return a, b, bool((sizes > WINDOW + 1).any())
 
 

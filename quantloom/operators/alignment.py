@@ -135,17 +135,23 @@ def align_ions(df: DataFrame, protein: str, ion: str, sample: str, value: str, n
     return cols.groupBy(protein).applyInPandas(solve, cols.schema)
 
 
+def aligned_ions(df: DataFrame, c: Columns = Columns(), normalize: bool = True) -> DataFrame:
+    """(protein, peptide, sample, x, lx): summed intensities, and their log2 after sample and ion alignment."""
+    rows = df.where(F.col(c.intensity) > 0).groupBy(c.protein, c.peptide, c.sample).agg(F.sum(c.intensity).alias("x")).withColumn("lx", F.log2("x"))
+    if normalize:
+        rows = align_samples(rows, [c.protein, c.peptide], c.sample, "lx")
+    linear = rows.select(c.protein, c.peptide, c.sample, F.pow(F.lit(2.0), "lx").alias("x"))
+    return align_ions(rows, c.protein, c.peptide, c.sample, "lx").join(linear, [c.protein, c.peptide, c.sample])
+
+
 def quantify_directlfq(df: DataFrame, min_nonan: int = 1, c: Columns = Columns(), normalize: bool = True) -> DataFrame:
     """Direct quantification after sample and ion alignment: medians of aligned ions, scaled to the protein's total.
 
     Follows the published description; another implementation's numbers differ in detail.
     """
-    rows = df.where(F.col(c.intensity) > 0).groupBy(c.protein, c.peptide, c.sample).agg(F.sum(c.intensity).alias("x")).withColumn("lx", F.log2("x"))
-    if normalize:
-        rows = align_samples(rows, [c.protein, c.peptide], c.sample, "lx")
-    aligned = align_ions(rows, c.protein, c.peptide, c.sample, "lx")
-    med = aligned.groupBy(c.protein, c.sample).agg(F.median("lx").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_nonan)
-    total = rows.groupBy(c.protein).agg(F.sum(F.pow(F.lit(2.0), "lx")).alias("t"))
-    lin = med.withColumn("lin", F.pow(F.lit(2.0), "a"))
+    ions = aligned_ions(df, c, normalize)
+    med = ions.groupBy(c.protein, c.sample).agg(F.median("lx").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
+    total = med.groupBy(c.protein).agg(F.sum("s").alias("t"))
+    lin = med.where(F.col("n") >= min_nonan).withColumn("lin", F.pow(F.lit(2.0), "a"))
     whole = lin.groupBy(c.protein).agg(F.sum("lin").alias("w"))
     return lin.join(whole, c.protein).join(total, c.protein).select(c.protein, c.sample, (F.col("lin") * F.col("t") / F.col("w")).alias("DirectLFQIntensity"))

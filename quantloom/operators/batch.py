@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom import schema as S
 from quantloom.functions.expressions import batch_prefix, ratio
+from quantloom.operators.impute import complete
 
 
 class TooFewSamplesInBatch(ValueError):
@@ -77,16 +81,41 @@ def _design(rows: list, covs: list[str]) -> tuple[np.ndarray, list]:
     return np.array(cols).T, batches
 
 
+def _empirical(stats: DataFrame, key: str, mean_only: bool, most: int = 1_000_000) -> DataFrame:
+    """(batch, key, g_star, d_star): means of all other proteins' estimates in the batch, weighted by how likely they make the protein's values.
+
+    The estimates of all proteins, two numbers each, are given to every task; more than ``most`` are refused.
+    """
+    rows = stats.select("batch", key, "g", "d").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"empirical priors take {most} estimates at most")
+    batch_of, names = np.array(rows.column("batch").to_pylist(), dtype=object), np.array(rows.column(key).to_pylist(), dtype=object)
+    g_all, d_all = rows.column("g").to_numpy(), rows.column("d").to_numpy()
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for b, name, n, s1, s2, g, d in zip(f["batch"], f[key], f["n"], f["s1"], f["s2"], f["g"], f["d"], strict=True):
+                own = np.flatnonzero((batch_of == b) & (names != name))
+                gs, ds = g_all[own], np.ones(len(own)) if mean_only else d_all[own]
+                log = -n / 2 * np.log(2 * np.pi * ds) - (s2 - 2 * gs * s1 + n * gs * gs) / (2 * ds)
+                w = np.exp(log - log.max()) if len(log) else log
+                total = w.sum()
+                out.append((b, name, float((w * gs).sum() / total) if total > 0 else g, 1.0 if mean_only else float((w * ds).sum() / total) if total > 0 else d))
+            yield pd.DataFrame(out, columns=["batch", key, "g_star", "d_star"])
+
+    kinds = {x.name: x.dataType.simpleString() for x in stats.schema}
+    return stats.select("batch", key, "n", "s1", "s2", "g", "d").mapInPandas(solve, f"batch {kinds['batch']}, {key} {kinds[key]}, g_star double, d_star double")
+
+
 def combat(df: DataFrame, samples: DataFrame, value: str, covs: list[str] = (), mean_only: bool = False, ref_batch: object = None, par_prior: bool = True, key: str = S.PROTEIN, iterations: int = 80) -> DataFrame:
-    """``df`` with ``value`` corrected for the samples' ``batch`` (Johnson, Li and Rabinovic 2007, parametric priors).
+    """``df`` with ``value`` corrected for the samples' ``batch`` (Johnson, Li and Rabinovic 2007), with parametric priors or, ``par_prior=False``, the empirical ones.
 
     Proteins need a value in every sample; others, and proteins that do not vary within batches, stay as
     they are. The design matrix has a row per sample and is inverted on the driver; all sums over proteins
     are joins and aggregates. The fixed point of each batch and protein needs three sums only, so its
     iteration is a fold over a sequence, without UDFs.
     """
-    if not par_prior:
-        raise NotImplementedError("only parametric priors")
     rows = samples.select(S.SAMPLE, "batch", *covs).distinct().collect()
     sizes = {b: sum(r["batch"] == b for r in rows) for b in {r["batch"] for r in rows}}
     if min(sizes.values()) < 2 and not mean_only:
@@ -112,7 +141,9 @@ def combat(df: DataFrame, samples: DataFrame, value: str, covs: list[str] = (),
     prior = F.broadcast(stats.groupBy("batch").agg(F.avg("g").alias("g_bar"), F.var_samp("g").alias("t2"), F.avg("d").alias("d_bar"), F.var_samp("d").alias("d_var")))
     with_prior = stats.join(prior, "batch")
     post = lambda d: ratio(F.col("t2") * F.col("n") * F.col("g") + d * F.col("g_bar"), F.col("t2") * F.col("n") + d)
-    if mean_only:
+    if not par_prior:
+        star = _empirical(stats, key, mean_only)
+    elif mean_only:
         star = with_prior.select("batch", key, post(F.lit(1.0)).alias("g_star"), F.lit(1.0).alias("d_star"))
     else:
         a = ratio(2 * F.col("d_var") + F.col("d_bar") * F.col("d_bar"), F.col("d_var"))
@@ -163,6 +194,5 @@ def correct_batches(ibaq: DataFrame, value: str = S.IBAQ, output: str = "IbaqBec
     if not valid_sample_ids(ibaq.select(S.SAMPLE).distinct()):
         raise ValueError("sample ids must be letters and digits, in parts joined by dashes")
     samples = detect_batches(ibaq.select(S.SAMPLE).distinct(), S.BatchSource.SAMPLE_PREFIX)
-    grid = ibaq.select(S.PROTEIN).distinct().crossJoin(F.broadcast(samples.select(S.SAMPLE)))
-    dense = grid.join(ibaq.select(S.PROTEIN, S.SAMPLE, F.col(value).cast("double").alias(output)), [S.PROTEIN, S.SAMPLE], "left").fillna(0.0, [output])
+    dense = complete(ibaq.select(S.PROTEIN, S.SAMPLE, F.col(value).cast("double").alias(output)), output).fillna(0.0, [output])
     return ibaq.join(combat(dense, samples, output), [S.PROTEIN, S.SAMPLE], "left")

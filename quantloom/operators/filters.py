@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quantloom import schema as S
 from quantloom.functions import expressions as X
+from quantloom.operators.pairs import pair_sums, vectors
 
 
 @dataclass
@@ -190,12 +191,21 @@ def missing_rate(most: float, run: str = S.RUN, column: str = S.NORM) -> Filter:
 def sample_correlations(df: DataFrame, column: str = S.NORM) -> DataFrame:
     """(a, b, r): Pearson's r of every two samples, and of each with itself, over the protein means that both have.
 
-    r is null where a side does not vary. Pairs come from a join on the protein: samples squared rows, summed map-side.
+    r is null where a side does not vary. Values are taken from their sample's mean first, which keeps the
+    sums small; pairs are added up from packed proteins.
     """
     x = df.where(F.col(column).isNotNull()).groupBy(S.PROTEIN, S.SAMPLE).agg(F.avg(column).alias("x"))
-    a, b = x.select(S.PROTEIN, F.col(S.SAMPLE).alias("a"), F.col("x").alias("xa")), x.select(S.PROTEIN, F.col(S.SAMPLE).alias("b"), F.col("x").alias("xb"))
-    r = X.ratio(F.covar_pop("xa", "xb"), F.stddev_pop("xa") * F.stddev_pop("xb"))
-    return a.join(b, S.PROTEIN).groupBy("a", "b").agg(r.alias("r"))
+    # a row per sample
+    means = F.broadcast(x.groupBy(S.SAMPLE).agg(F.avg("x").alias("m")))
+    names, packed = vectors(x.join(means, S.SAMPLE).withColumn("x", F.col("x") - F.col("m")), S.PROTEIN, S.SAMPLE, "x")
+    p = pair_sums(packed, len(names))
+    half = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    # what is left of a constant side is rounding
+    varies = lambda s, q: F.when(half(s, q) > 1e-12 * F.greatest(F.col(q), F.lit(1.0)), half(s, q)).otherwise(0.0)
+    r = X.ratio(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(varies("sx", "sxx") * varies("sy", "syy")))
+    name = lambda c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
+    both = p.withColumn("r", r).select("r", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("e"))
+    return both.select("e.i", "e.j", "r").select(name("i").alias("a"), name("j").alias("b"), "r") if names else both.select(F.lit("").alias("a"), F.lit("").alias("b"), "r")
 
 
 def sample_correlation(least: float, column: str = S.NORM) -> Filter:
@@ -245,11 +255,14 @@ class FilterPipeline:
     def __len__(self) -> int:
         return len(self.filters)
 
-    def apply(self, df: DataFrame) -> tuple[DataFrame, list[FilterResult]]:
+    def apply(self, df: DataFrame, stop_on_empty: bool = False) -> tuple[DataFrame, list[FilterResult]]:
+        """All filters in turn; ``stop_on_empty`` leaves out the rest once no rows are left, at the price of a job per filter."""
         results = []
         for f in self.filters:
             df, r = f.apply(df)
             results.append(r)
+            if stop_on_empty and df.isEmpty():
+                break
         return df, results
 
     @staticmethod

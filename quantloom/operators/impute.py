@@ -2,19 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom import schema as S
+from quantloom.operators.pairs import vectors
 
 
 def complete(df: DataFrame, value: str, row: str = S.PROTEIN, column: str = S.SAMPLE) -> DataFrame:
-    """Every pair of row and column, missing values as null. Columns are samples: a broadcast list."""
-    grid = df.select(row).distinct().crossJoin(F.broadcast(df.select(column).distinct()))
+    """Every pair of row and column, missing values as null. Columns are samples: a short list, taken to the driver."""
+    names = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+    grid = df.select(row).distinct().select(row, F.explode(F.array(*[F.lit(n) for n in names]).cast(f"array<{df.schema[column].dataType.simpleString()}>")).alias(column))
     return grid.join(df.select(row, column, value), [row, column], "left")
 
 
+def neighbours(df: DataFrame, value: str, row: str, column: str, most: int, block: int = 1024) -> DataFrame:
+    """(row, column, d, v): for each gap the values of the ``most`` nearest rows that have one, equal distances by row.
+
+    Rows are packed into vectors over the columns and meet block by block: each block of rows with gaps
+    sees each block of all rows once, and hands on its ``most`` best per gap.
+    """
+    names, packed = vectors(df, row, column, value)
+    n = packed.count()
+    blocks = max(1, -(-n // block))
+    packed = packed.select(F.col(row).alias("id"), "v", F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = packed.where(F.exists("v", lambda x: x.isNull())).select("id", "v", F.col("own").alias("q"), every.alias("p"))
+    donors = packed.select("id", "v", F.col("own").alias("p"), every.alias("q"))
+    kind = df.schema[row].dataType.simpleString()
+    size = len(names)
+
+    def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.sort_values("id", kind="stable")
+        return rows["id"].to_numpy(), np.array([[np.nan if x is None else x for x in v] for v in rows["v"]], dtype=float).reshape(len(rows), size)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        (ids, x), (others, y) = matrix(a), matrix(b)
+        out: list[tuple] = []
+        for i, own in zip(ids, x, strict=True):
+            diff = y - own
+            shared = np.isfinite(diff).sum(axis=1)
+            d = np.sqrt(size / np.maximum(shared, 1) * np.nansum(diff * diff, axis=1))
+            ok = (shared > 0) & (others != i)
+            for c in np.flatnonzero(np.isnan(own)):
+                can = np.flatnonzero(ok & np.isfinite(y[:, c]))
+                can = can[np.argsort(d[can], kind="stable")[:most]]
+                out += [(i, int(c), float(d[k]), others[k], float(y[k, c])) for k in can]
+        return pd.DataFrame(out, columns=["id", "c", "d", "b", "v"])
+
+    met = asking.groupBy("q", "p").cogroup(donors.groupBy("q", "p")).applyInPandas(nearest, f"id {kind}, c int, d double, b {kind}, v double")
+    best = met.withColumn("__rn", F.row_number().over(Window.partitionBy("id", "c").orderBy("d", "b"))).where(F.col("__rn") <= most)
+    return best.select(F.col("id").alias(row), F.get(F.array(*[F.lit(x) for x in names]), F.col("c")).alias(column), "d", "v")
+
+
 def impute(df: DataFrame, value: str, method: str = "knn", n_neighbors: int = 5, weights: str = "uniform", fill_value: float = 0.0, row: str = S.PROTEIN, column: str = S.SAMPLE) -> DataFrame:
     """(row, column, value) without gaps where the method gives a value; a column without values stays null.
 
@@ -34,14 +77,7 @@ def impute(df: DataFrame, value: str, method: str = "knn", n_neighbors: int = 5,
     if method != "knn":
         raise ValueError(f"unknown method {method!r}: knn, mean, median, most_frequent or constant")
     known = full.where(F.col(value).isNotNull())
-    gaps = full.where(F.col(value).isNull()).select(row, column)
-    n_columns = df.select(column).distinct().count()
-    a = known.select(F.col(row).alias("a"), F.col(column).alias("c"), F.col(value).alias("xa")).join(gaps.select(F.col(row).alias("a")).distinct(), "a", "left_semi")
-    b = known.select(F.col(row).alias("b"), F.col(column).alias("c"), F.col(value).alias("xb"))
-    d2 = F.sum((F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")))
-    dist = a.join(b, "c").where("a <> b").groupBy("a", "b").agg(F.sqrt(F.lit(float(n_columns)) / F.count(F.lit(1)) * d2).alias("d"))
-    donors = gaps.join(dist, gaps[row] == dist["a"]).join(known.select(F.col(row).alias("b"), F.col(column), F.col(value).alias("v")), ["b", column])
-    near = donors.withColumn("__rn", F.row_number().over(Window.partitionBy(row, column).orderBy("d", "b"))).where(F.col("__rn") <= n_neighbors)
+    near = neighbours(df, value, row, column, n_neighbors)
     if weights == "distance":
         zero = F.max(F.when(F.col("d") == 0, 1).otherwise(0)).over(Window.partitionBy(row, column))
         near = near.withColumn("w", F.when(zero == 1, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("d"))))

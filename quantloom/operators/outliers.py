@@ -12,19 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom import schema as S
+from quantloom.operators.pairs import pair_sums, vectors
 
 
 def gram(df: DataFrame, value: str, key: str = S.PROTEIN, sample: str = S.SAMPLE) -> tuple[list, np.ndarray]:
     """Sample names and the inner products of their values, each protein centred over samples; missing values are the protein's mean."""
     x = df.where(F.col(value).isNotNull()).groupBy(key, sample).agg(F.avg(value).alias("x"))
-    centred = x.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(key)))
-    a, b = centred.select(key, F.col(sample).alias("a"), F.col("x").alias("xa")), centred.select(key, F.col(sample).alias("b"), F.col("x").alias("xb"))
-    rows = a.join(b, key).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("g")).collect()
-    names = sorted({r["a"] for r in rows})
-    at = {s: i for i, s in enumerate(names)}
+    names, packed = vectors(x.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(key))), key, sample, "x")
     g = np.zeros((len(names), len(names)))
-    for r in rows:
-        g[at[r["a"]], at[r["b"]]] = r["g"]
+    # missing values are the mean, which is 0 here
+    sums = pair_sums(packed, len(names)).select("i", "j", "sxy").toArrow()
+    i, j, v = (sums.column(c).to_numpy() for c in ("i", "j", "sxy"))
+    g[i, j], g[j, i] = v, v
     return names, g
 
 

@@ -117,10 +117,27 @@ def cv_metric(df: DataFrame, column: str) -> DataFrame:
     return per.join(n).where(F.col("n") == F.col("__all")).agg(F.avg("cv").alias("mean_cv"), F.count("cv").alias("n_proteins"))
 
 
+def average_ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+    """``df`` with the rank of ``value`` among all rows as ``name``; equal values share the mean of their ranks.
+
+    Distinct values are counted, cut into ``parts`` ranges and summed up range by range, so that no task
+    orders the whole column.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = counts.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    placed = counts.withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range
+    offsets = placed.groupBy("__part").agg(F.sum("__n").alias("__m")).select("__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
+    own = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(F.broadcast(offsets), "__part").select(F.col(value).alias("__v"), (F.col("__off") + F.coalesce(F.sum("__n").over(own), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    return df.join(ranked, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+
+
 def compare_methods(a: DataFrame, b: DataFrame, a_column: str, b_column: str) -> DataFrame:
     """Pearson's and Spearman's correlation and mean distance of two quantities on log2(x + 1)."""
     both = a.select(S.PROTEIN, S.SAMPLE, F.log2(F.col(a_column) + 1).alias("x")).join(b.select(S.PROTEIN, S.SAMPLE, F.log2(F.col(b_column) + 1).alias("y")), [S.PROTEIN, S.SAMPLE])
-    rank = lambda v: F.rank().over(Window.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(v)) - 1) / 2
-    ranked = both.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+    ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     r = lambda p, q: ratio(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q))
     return ranked.agg(r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom import schema as S
@@ -12,6 +12,7 @@ from quantloom.functions import predicates as P
 from quantloom.functions.expressions import log2
 from quantloom.operators import alignment, batch, ibaq, normalize, quantify
 from quantloom.operators.filters import pipeline_of
+from quantloom.sources import readers, sinks
 
 
 @dataclass
@@ -34,6 +35,12 @@ class Config:
     irs_stat: str = "median"
     irs_scope: str = "global"
     filters: dict = field(default_factory=dict)
+    #: Proteins (a column of ids) that hierarchical alignment is fitted on; all if not given.
+    normalization_proteins: DataFrame | None = None
+    min_nonan: int = 1
+    #: Paths for the normalized peptides and, of direct quantification, ions.
+    export_peptides: str | None = None
+    export_ions: str | None = None
 
 
 def peptide_columns(features: DataFrame, label: S.LabelClass = S.LabelClass.LFQ, plex: str | None = None) -> DataFrame:
@@ -89,17 +96,24 @@ def features_to_proteins(features: DataFrame, c: Config = Config(), fasta: DataF
     raw = peptide_columns(features, label, plex)
     if c.quantification == "directlfq":
         kept = P.min_unique_peptides(raw.where(F.length(S.PEPTIDE) >= c.min_aa), c.min_unique, per_sample=False)
-        return quantify.get_method("directlfq")(kept.withColumnRenamed(S.INTENSITY, S.NORM))
+        named = kept.withColumnRenamed(S.INTENSITY, S.NORM)
+        if c.export_ions:
+            sinks.write_table(alignment.aligned_ions(named), c.export_ions)
+        return quantify.get_method("directlfq", min_nonan=c.min_nonan)(named)
     peptides = normalize.sum_peptidoforms(normalize.highest_peptidoform(clean(raw, c)))
     if not c.skip_normalization:
         if c.sample_normalization is S.SampleNormalization.HIERARCHICAL:
             logs = peptides.withColumn("__l", log2(F.col(S.NORM)))
-            peptides = alignment.align_samples(logs, [S.PROTEIN, S.PEPTIDE], S.SAMPLE, "__l").withColumn(S.NORM, F.pow(F.lit(2.0), "__l")).drop("__l")
+            only = c.normalization_proteins
+            only = None if only is None else only.select(F.trim(F.col(only.columns[0])).alias(S.PROTEIN)).distinct()
+            peptides = alignment.align_samples(logs, [S.PROTEIN, S.PEPTIDE], S.SAMPLE, "__l", only).withColumn(S.NORM, F.pow(F.lit(2.0), "__l")).drop("__l")
         else:
             peptides = normalize.normalize_samples(peptides, c.sample_normalization)
     if c.ion_alignment:
         ions = peptides.groupBy(S.PROTEIN, S.PEPTIDE, S.SAMPLE).agg(F.sum(S.NORM).alias(S.NORM)).withColumn(S.NORM, log2(F.col(S.NORM)))
         peptides = alignment.align_ions(ions, S.PROTEIN, S.PEPTIDE, S.SAMPLE, S.NORM).withColumn(S.NORM, F.pow(F.lit(2.0), S.NORM))
+    if c.export_peptides:
+        sinks.write_table(peptides, c.export_peptides)
     if c.quantification == "ibaq":
         if fasta is None:
             raise ValueError("ibaq needs a FASTA table")
@@ -116,6 +130,17 @@ def features_to_proteins(features: DataFrame, c: Config = Config(), fasta: DataF
     return batch.combat(out, samples, value)
 
 
+def combine_folder(spark: SparkSession, folder: str, organism: str = "HUMAN") -> DataFrame:
+    """The protein tables of a folder's datasets one after another, with the metadata and batch codes of their samples."""
+    files = readers.dataset_files(spark, folder)
+    about = [batch.sample_metadata(readers.load_sdrf(spark, f)) for f in files["sdrf"]]
+    metadata = about[0]
+    for m in about[1:]:
+        metadata = metadata.unionByName(m)
+    tables = [spark.read.parquet(f) if f.endswith(".parquet") else spark.read.csv(f, header=True, inferSchema=True) for f in files["ibaq"]]
+    return batch.combine(tables, metadata.distinct(), organism)
+
+
 def peptides_to_proteins(peptides: DataFrame, fasta: DataFrame, enzyme: str = "trypsin", min_aa: int = 7, max_aa: int = 30, organism: str = "HUMAN", ploidy: int = 2, cpc: float = 200.0, tpa: bool = True, ruler: bool = True, norm: bool = True) -> DataFrame:
     """The iBAQ flow over a peptide table."""
     if ruler and not tpa:

@@ -578,6 +578,15 @@ def combat_parametric(spark: SparkSession, d: str) -> DataFrame:
     return rounded(batch.combat(df, samples, "x"))
 
 
+@query(f"""WITH {_CB}, sx AS (SELECT b, p, count(*)::DOUBLE AS n, avg(z) AS gh, coalesce(var_samp(z), 1) AS dh, sum(z) AS s1, sum(z * z) AS s2 FROM z GROUP BY ALL),
+ll AS (SELECT i.b, i.p, j.gh, j.dh, -i.n / 2 * ln(2 * pi() * j.dh) - (i.s2 - 2 * j.gh * i.s1 + i.n * j.gh * j.gh) / (2 * j.dh) AS l FROM sx i JOIN sx j ON i.b = j.b AND i.p <> j.p),
+lw AS (SELECT *, exp(l - max(l) OVER (PARTITION BY b, p)) AS w FROM ll), e AS (SELECT b, p, sum(w * gh) / sum(w) AS g, sum(w * dh) / sum(w) AS d FROM lw GROUP BY ALL)
+SELECT b.p AS {S.PROTEIN}, b.s AS {S.SAMPLE}, round(coalesce((z.z - e.g) / sqrt(e.d) * z.sd + z.g, b.x), 6) AS x FROM b LEFT JOIN z ON z.p = b.p AND z.s = b.s LEFT JOIN e ON e.p = z.p AND e.b = z.b""")
+def combat_empirical(spark: SparkSession, d: str) -> DataFrame:
+    df, samples = _logs(spark, d)
+    return rounded(batch.combat(df, samples, "x", par_prior=False))
+
+
 # alignment, components, imputation
 
 @query(f"WITH {PROT}, l AS (SELECT {S.PROTEIN} AS p, {S.SAMPLE} AS s, log2(x) AS x FROM prot) SELECT a.s AS a, b.s AS b, count(*) AS n, round(median(a.x), 6) AS median_a, round(median(b.x), 6) AS median_b, round(abs(median(a.x) - median(b.x)), 6) AS d FROM l a JOIN l b USING (p) WHERE a.s < b.s GROUP BY ALL")
@@ -620,12 +629,12 @@ def outlier_removal(spark: SparkSession, d: str) -> DataFrame:
     return outliers.remove_outliers(_logs(spark, d)[0], "x", min_cluster_size=3, min_samples=2).groupBy(S.SAMPLE).agg(F.count(F.lit(1)).alias("n"))
 
 
-_GAP = f"{PEP}, gap AS (SELECT concat({S.PROTEIN}, '/', {S.PEPTIDE}) AS r, {S.SAMPLE} AS c, sum({S.NORM}) AS x FROM pep WHERE length({S.PEPTIDE}) = 8 GROUP BY ALL), part_gap AS (SELECT * FROM gap WHERE ascii(right(r, 1)) % 3 <> ascii(right(c, 1)) % 4), grid AS (SELECT r, c, x FROM (SELECT DISTINCT r FROM part_gap) CROSS JOIN (SELECT DISTINCT c FROM part_gap) LEFT JOIN part_gap USING (r, c))"
+#: A row per protein and peptide, a column per sample; what no order has is missing.
+_GAP = f"{PEP}, gap AS (SELECT concat({S.PROTEIN}, '/', {S.PEPTIDE}) AS r, {S.SAMPLE} AS c, sum({S.NORM}) AS x FROM pep GROUP BY ALL), grid AS (SELECT r, c, x FROM (SELECT DISTINCT r FROM gap) CROSS JOIN (SELECT DISTINCT c FROM gap) LEFT JOIN gap USING (r, c))"
 
 
 def _gaps(spark: SparkSession, d: str) -> DataFrame:
-    gap = peptides(spark, d).where(F.length(S.PEPTIDE) == 8).select(F.concat(S.PROTEIN, F.lit("/"), S.PEPTIDE).alias("r"), F.col(S.SAMPLE).alias("c"), F.col(S.NORM).alias("x"))
-    return gap.where(F.ascii(F.right("r", F.lit(1))) % 3 != F.ascii(F.right("c", F.lit(1))) % 4)
+    return peptides(spark, d).select(F.concat(S.PROTEIN, F.lit("/"), S.PEPTIDE).alias("r"), F.col(S.SAMPLE).alias("c"), F.col(S.NORM).alias("x"))
 
 
 _IMPUTE = {"mean": "avg(x) OVER (PARTITION BY c)", "median": "median(x) OVER (PARTITION BY c)", "constant": "0"}
@@ -639,12 +648,105 @@ def impute_most_frequent(spark: SparkSession, d: str) -> DataFrame:
     return impute.impute(_gaps(spark, d).withColumn("x", F.round("x", -4)), "x", "most_frequent", row="r", column="c")
 
 
-@query(f"""WITH {_GAP}, k AS (SELECT * FROM grid WHERE x IS NOT NULL), h AS (SELECT r, c FROM grid WHERE x IS NULL), nc AS (SELECT count(DISTINCT c) AS n FROM k),
-ds AS (SELECT a.r AS a, b.r AS b, sqrt((SELECT n FROM nc)::DOUBLE / count(*) * sum((a.x - b.x) * (a.x - b.x))) AS d FROM k a JOIN k b USING (c) WHERE a.r <> b.r GROUP BY ALL),
-nn AS (SELECT h.r, h.c, k.x FROM h JOIN ds ON ds.a = h.r JOIN k ON k.r = ds.b AND k.c = h.c QUALIFY row_number() OVER (PARTITION BY h.r, h.c ORDER BY d, ds.b) <= 5), f AS (SELECT r, c, avg(x) AS v FROM nn GROUP BY ALL)
-SELECT r, c, round(coalesce(x, v, avg(x) OVER (PARTITION BY c)), 3) AS x FROM grid LEFT JOIN f USING (r, c)""")
-def impute_knn(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(impute.impute(_gaps(spark, d), "x", "knn", row="r", column="c"), 3)
+_KNN = f"""{_GAP}, k AS (SELECT * FROM grid WHERE x IS NOT NULL), h AS (SELECT r, c FROM grid WHERE x IS NULL), nc AS (SELECT count(DISTINCT c) AS n FROM k),
+ds AS (SELECT a.r AS a, b.r AS b, sqrt((SELECT n FROM nc)::DOUBLE / count(*) * sum((a.x - b.x) * (a.x - b.x))) AS d FROM k a JOIN k b USING (c) WHERE a.r <> b.r AND a.r IN (SELECT r FROM h) GROUP BY ALL),
+nn AS (SELECT h.r, h.c, k.x, d FROM h JOIN ds ON ds.a = h.r JOIN k ON k.r = ds.b AND k.c = h.c QUALIFY row_number() OVER (PARTITION BY h.r, h.c ORDER BY d, ds.b) <= 5)"""
+for _w, _e in {"": "avg(x)", "_distance": "CASE WHEN min(d) = 0 THEN avg(x) FILTER (WHERE d = 0) ELSE sum(x / d) / sum(1 / d) END"}.items():
+    QUERIES[f"impute_knn{_w}"] = lambda spark, d, w=_w: rounded(impute.impute(_gaps(spark, d), "x", "knn", weights=w[1:] or "uniform", row="r", column="c"), 3)
+    ORACLE_SQL[f"impute_knn{_w}"] = f"WITH {_KNN}, f AS (SELECT r, c, {_e} AS v FROM nn GROUP BY ALL) SELECT r, c, round(coalesce(x, v, avg(x) OVER (PARTITION BY c)), 3) AS x FROM grid LEFT JOIN f USING (r, c)"
+
+
+# rows and names
+
+@query(_left(f"SELECT * FROM feat WHERE {_having(S.PROTEIN, f'count(DISTINCT {S.PEPTIDE}) >= 39')}"))
+def min_unique_of_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return kept(P.min_unique_peptides(features(spark, d), 39, per_sample=False))
+
+
+for _k in (2, 2000):  # as a join, as a pattern
+    QUERIES[f"without_ids_{_k}"] = lambda spark, d, k=_k: kept(P.without_ids(features(spark, d), table(spark, d, "supplier").where("s_nationkey < 15").select(F.concat(F.lit("ANT_P"), F.col("s_suppkey").cast("string"))), most_inline=k))
+    ORACLE_SQL[f"without_ids_{_k}"] = _left(f"SELECT * FROM feat WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey < 15 AND contains({S.PROTEIN}, concat('ANT_P', CAST(s_suppkey AS VARCHAR))))")
+
+
+def _cut_sql(enzyme: str) -> str:
+    """A digest's pieces in SQL: a bar behind (before) every site, none before a proline where the rule says so."""
+    rule = X.ENZYMES[enzyme]
+    letters = rule[rule.index("=") + 1 : rule.index(")")].strip("[]")
+    marked = f"regexp_replace(s, '([{letters}])', '{chr(92)}1|', 'g')" if "<=" in rule else f"regexp_replace(s, '([{letters}])', '|{chr(92)}1', 'g')"
+    return f"string_split({'replace(' + marked + ', ' + chr(39) + '|P' + chr(39) + ', ' + chr(39) + 'P' + chr(39) + ')' if '!P' in rule else marked}, '|')"
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{e}' AS enzyme, len(p) AS n_peptides, len(list_distinct(p)) AS n_kinds FROM (SELECT doc_id, list_filter({_cut_sql(e)}, lambda x: length(x) BETWEEN 7 AND 50) AS p FROM ({_SEQ}))" for e in X.ENZYMES))
+def digest_by_enzyme(spark: SparkSession, d: str) -> DataFrame:
+    each = [F.struct(F.lit(e).alias("enzyme"), X.digest(F.col("s"), e, 7, 50).alias("p")) for e in X.ENZYMES]
+    return _sequences(spark, d).select("doc_id", F.explode(F.array(*each)).alias("e")).select("doc_id", "e.enzyme", F.size("e.p").cast("long").alias("n_peptides"), F.size(F.array_distinct("e.p")).cast("long").alias("n_kinds"))
+
+
+_FASTA_ALL = _FASTA + f", theory AS (SELECT accession, len(list_filter({_CUT}, lambda x: length(x) BETWEEN 7 AND 30)) AS n FROM fasta)"
+
+
+@query(f"WITH {_FASTA_ALL} SELECT accession, n AS n_peptides FROM theory")
+def theoretical_all_peptides(spark: SparkSession, d: str) -> DataFrame:
+    return ibaq.theoretical(fasta(spark, d), distinct=False).select("accession", F.col("n_peptides").cast("long").alias("n_peptides"))
+
+
+@query(f"WITH {_THEORY}, names AS (SELECT DISTINCT concat('P', CAST(l_suppkey AS VARCHAR), ';P', CAST(l_suppkey + 1 + l_linenumber % 2 AS VARCHAR)) AS g FROM lineitem), m AS (SELECT g, unnest(string_split(g, ';')) AS accession FROM names) SELECT g AS {S.PROTEIN}, round(nullif(avg(n_peptides), 0), 6) AS n_peptides, round(sum(mass), 3) AS mass FROM m LEFT JOIN theory USING (accession) GROUP BY g HAVING count(n_peptides) = count(*)")
+def group_theory(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "lineitem").select(F.expr("concat('P', cast(l_suppkey as string), ';P', cast(l_suppkey + 1 + l_linenumber % 2 as string))").alias(S.PROTEIN))
+    return ibaq.group_theory(names, ibaq.theoretical(fasta(spark, d))).select(S.PROTEIN, F.round("n_peptides", 6).alias("n_peptides"), F.round("mass", 3).alias("mass"))
+
+
+_CHANNELS = " ".join(f"WHEN {i} THEN '{c}'" for c, i in S.channels("TMT6plex").items())
+
+
+@query(f"SELECT {S.SAMPLE}, {S.CHANNEL}, count(*) AS n, round(sum(x), 2) AS total FROM (SELECT concat('S', CAST(l_orderkey % 3 AS VARCHAR)) AS {S.SAMPLE}, CASE WHEN l_linenumber <= 6 THEN l_linenumber END AS {S.CHANNEL}, l_extendedprice AS x FROM lineitem) GROUP BY ALL")
+def isobaric_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Channel names become positions in the plex; a name that is none of it becomes null."""
+    raw = table(spark, d, "lineitem").select(F.array(F.lit("P1")).alias("pg_accessions"), F.expr(f"CASE l_linenumber {_CHANNELS} ELSE 'TMT999' END").alias("channel"), F.expr("concat('S', cast(l_orderkey % 3 as string))").alias("sample_accession"), F.col("l_extendedprice").alias("intensity"))
+    out = workflows.peptide_columns(raw, S.LabelClass.TMT, "TMT6plex")
+    return out.groupBy(S.SAMPLE, S.CHANNEL).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.INTENSITY), 2).alias("total"))
+
+
+@query(f"WITH {FEAT}, sc AS (SELECT {S.TECHREP}, 1 + {S.TECHREP} / 10.0::DOUBLE AS scale FROM feat WHERE {S.TECHREP} < 5 GROUP BY ALL) SELECT feature_id, round({S.NORM} * coalesce(scale, 1), 4) AS {S.NORM} FROM feat LEFT JOIN sc USING ({S.TECHREP})")
+def irs_applied(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    scales = f.where(F.col(S.TECHREP) < 5).select(S.TECHREP).distinct().withColumn("scale", 1 + F.col(S.TECHREP) / 10.0)
+    return normalize.apply_irs(f, scales).select("feature_id", F.round(S.NORM, 4).alias(S.NORM))
+
+
+@query("SELECT label FROM (SELECT r_name AS label, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '(?i)a$|n$') GROUP BY ALL ORDER BY n DESC, label LIMIT 1)")
+def reference_label(spark: SparkSession, d: str) -> DataFrame:
+    sdrf = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source name"), F.col("r_name").alias("comment[label]"))
+    return spark.createDataFrame([(normalize.reference_label(sdrf, "a$|n$"),)], "label string")
+
+
+@query(f"SELECT (SELECT count(*) FILTER (WHERE NOT regexp_matches(n_name, '{S.SAMPLE_ID}')) = 0 FROM nation) AS nations, (SELECT count(*) FILTER (WHERE NOT regexp_matches(p_brand, '{S.SAMPLE_ID}')) = 0 FROM part) AS brands, (SELECT count(*) FILTER (WHERE NOT regexp_matches(c_name, '{S.SAMPLE_ID}')) = 0 FROM customer) AS customers")
+def sample_id_checks(spark: SparkSession, d: str) -> DataFrame:
+    ok = [batch.valid_sample_ids(table(spark, d, t).select(F.col(c).alias(S.SAMPLE))) for t, c in (("nation", "n_name"), ("part", "p_brand"), ("customer", "c_name"))]
+    return spark.createDataFrame([tuple(ok)], "nations boolean, brands boolean, customers boolean")
+
+
+_COMBINED = f"{PROT}, named AS (SELECT concat({S.PROTEIN}, CASE WHEN right({S.PROTEIN}, 1) < '5' THEN '_HUMAN' ELSE '_MOUSE' END) AS {S.PROTEIN}, {S.SAMPLE}, x FROM prot), both_ AS (SELECT * FROM named UNION ALL SELECT {S.PROTEIN}, concat('Z', {S.SAMPLE}), x / 2 FROM named)"
+
+
+@query(f"WITH {_COMBINED} SELECT {S.PROTEIN}, {S.SAMPLE}, round(x, 2) AS x, CASE WHEN left({S.SAMPLE}, 1) <> 'Z' THEN concat('tissue', right({S.SAMPLE}, 1)) END AS tissue, dense_rank() OVER (ORDER BY split_part({S.SAMPLE}, '-', 1)) - 1 AS batch_code FROM both_ WHERE {S.PROTEIN} LIKE '%HUMAN'")
+def combined_datasets(spark: SparkSession, d: str) -> DataFrame:
+    one = proteins(spark, d).withColumn(S.PROTEIN, F.expr(f"concat({S.PROTEIN}, CASE WHEN right({S.PROTEIN}, 1) < '5' THEN '_HUMAN' ELSE '_MOUSE' END)"))
+    meta = one.select(F.col(S.SAMPLE).alias("sample_id"), F.concat(F.lit("tissue"), F.right(S.SAMPLE, F.lit(1))).alias("tissue")).distinct()
+    two = one.withColumn(S.SAMPLE, F.concat(F.lit("Z"), S.SAMPLE)).withColumn("x", F.col("x") / 2)
+    return batch.combine([one, two], meta).select(S.PROTEIN, S.SAMPLE, F.round("x", 2).alias("x"), "tissue", F.col("batch_code").cast("long").alias("batch_code"))
+
+
+_PAIR_L = f"{PROT}, l AS (SELECT {S.PROTEIN} AS p, {S.SAMPLE} AS s, log2(x) AS x FROM prot), pr AS (SELECT a.s AS a, b.s AS b, count(*) AS n, var_pop(a.x) AS va, var_pop(b.x) AS vb, min(a.x) AS la, max(a.x) AS ha, min(b.x) AS lb, max(b.x) AS hb FROM l a JOIN l b USING (p) WHERE a.s < b.s GROUP BY ALL)"
+for _m, _e in {"variance": "abs(va - vb)", "overlap": "CASE WHEN greatest(ha, hb) - least(la, lb) > 0 THEN 1 - greatest(least(ha, hb) - greatest(la, lb), 0) / (greatest(ha, hb) - least(la, lb)) ELSE 0 END"}.items():
+    QUERIES[f"hierarchical_distance_{_m}"] = lambda spark, d, m=_m: rounded(alignment.distance(alignment.pair_statistics(_logs(spark, d)[0], S.PROTEIN, S.SAMPLE, "x"), S.Distance[m.upper()], 3))
+    ORACLE_SQL[f"hierarchical_distance_{_m}"] = f"WITH {_PAIR_L} SELECT a, b, round(CASE WHEN n >= 3 THEN {_e} END, 6) AS d FROM pr"
+
+
+@query(f"WITH {PROT}, c AS (SELECT {S.PROTEIN} AS p, {S.SAMPLE} AS s, log2(x) - avg(log2(x)) OVER (PARTITION BY {S.PROTEIN}) AS x FROM prot) SELECT a.s AS a, b.s AS b, round(sum(a.x * b.x), 5) AS g FROM c a JOIN c b USING (p) GROUP BY ALL")
+def sample_gram(spark: SparkSession, d: str) -> DataFrame:
+    names, g = outliers.gram(_logs(spark, d)[0], "x")
+    return rounded(spark.createDataFrame([(a, b, float(g[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "a string, b string, g double"), 5)
 
 
 # workflows

@@ -83,21 +83,15 @@ def channels(plex: str) -> dict[str, int]:
 
 
 def classify_labels(labels: list[str]) -> tuple[LabelClass, str | None]:
-    """The label class and plex that a set of distinct labels tells of."""
-    low = [x.lower() for x in labels]
-    if len(low) == 1 and re.search("lfq|label free", low[0]):
+    """The label class of a set of distinct labels, and the smallest plex that has all their channels (or, where a label names none, as many)."""
+    if len(labels) == 1 and re.search("(?i)lfq|label free", labels[0]):
         return LabelClass.LFQ, None
-    if any("tmt" in x for x in low):
-        late = any(re.search(r"13[234][nc]?$", x) for x in low)
-        if len(low) > 11 or late:
-            plex = "TMT16plex"
-        elif len(low) == 11 or any("131c" in x for x in low):
-            plex = "TMT11plex"
-        else:
-            plex = "TMT10plex" if len(low) > 6 else "TMT6plex"
-        return LabelClass.TMT, plex
-    if any("itraq" in x for x in low):
-        return LabelClass.ITRAQ, "ITRAQ8plex" if len(low) > 4 else "ITRAQ4plex"
+    for kind in (LabelClass.TMT, LabelClass.ITRAQ):
+        family = sorted((p for p in PLEXES if p.upper().startswith(kind.name)), key=lambda p: len(PLEXES[p]))
+        if any(kind.value in x.lower() for x in labels):
+            named = {m[0] for x in labels if (m := re.search(rf"{kind.name}\d+[NC]?", x.upper()))}
+            fits = [p for p in family if named <= set(PLEXES[p]) and len(labels) <= len(PLEXES[p])]
+            return kind, (fits or [p for p in family if len(labels) <= len(PLEXES[p])] or family)[-1 if len(labels) > len(PLEXES[family[-1]]) else 0]
     raise ValueError(f"no label class for {labels}")
 
 

@@ -113,17 +113,34 @@ def load_peptides(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn(S.NORM, not_nan(F.col(S.NORM))).dropna(subset=[S.NORM]).where(F.col(S.NORM) > 0)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Files under the folder, down two levels, through Hadoop's file system."""
+def list_files(spark: SparkSession, folder: str, pattern: str, folders: bool = False) -> list[str]:
+    """Files (and, if asked, folders) under the folder, down two levels, through Hadoop's file system."""
     jvm = spark._jvm
     out: list[str] = []
     for depth in ("", "*/", "*/*/"):
         path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{depth}{pattern}")
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-        out += [s.getPath().toString() for s in found or [] if s.isFile()]
+        out += [s.getPath().toString() for s in found or [] if folders or s.isFile()]
     return sorted(set(out))
 
 
+def dataset_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The SDRF files and the protein tables (ibaq.csv, ibaq.parquet) under the folder, as many of the one as of the other."""
+    found = {"sdrf": list_files(spark, folder, "*.sdrf.tsv"), "ibaq": sorted(list_files(spark, folder, "*ibaq.csv") + list_files(spark, folder, "*ibaq.parquet", folders=True))}
+    for kind, files in found.items():
+        if not files:
+            raise FileNotFoundError(f"no {kind} files in {folder}")
+    if len(found["sdrf"]) != len(found["ibaq"]):
+        raise ValueError(f"{len(found['sdrf'])} SDRF files, {len(found['ibaq'])} protein tables")
+    return found
+
+
+def sdrf_channels(sdrf: DataFrame, plex: str, label: str = "comment[label]") -> DataFrame:
+    """``sdrf`` with the channel's position in the plex as ``channel``; null for labels that are none of it."""
+    pairs = [F.lit(x) for kv in S.channels(plex).items() for x in kv]
+    return sdrf.withColumn(S.CHANNEL, F.create_map(*pairs)[F.col(f"`{label}`")])
+
+
 def combine_tsv(spark: SparkSession, folder: str, pattern: str = "*", comment: str = "#", sep: str = "\t") -> DataFrame:
     """All files that match, which must have the same columns, one after another."""
     files = list_files(spark, folder, pattern)

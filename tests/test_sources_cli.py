@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom import cli
+from quantloom import schema as S
+from quantloom.plans import workflows
 from quantloom.sources import readers, sinks
 
 
@@ -70,3 +72,48 @@ def test_cli_flows(spark, tmp_path, feature_file):
         cli.main(["features2proteins", "-p", feature_file, "-o", str(tmp_path / "prot.parquet"), "--quant-method", "sum"], spark)
     cli.main(["features2peptides", "-p", "x", "-o", "y", "--generate-filter-config", str(tmp_path / "f.yaml")], spark)
     assert (tmp_path / "f.yaml").read_text().startswith("name: example")
+
+
+def test_folder_of_datasets(spark, tmp_path):
+    for k, organism in ((1, "HUMAN"), (2, "MOUSE")):
+        (tmp_path / f"PXD{k}").mkdir()
+        (tmp_path / f"PXD{k}" / "x.sdrf.tsv").write_text(f"source name\tcharacteristics[organism part]\nPXD{k}-S1\tbrain{k}\n")
+        (tmp_path / f"PXD{k}" / "x-ibaq.csv").write_text(f"ProteinName,SampleID,Ibaq\nA_{organism},PXD{k}-S1,1.5\nB_HUMAN,PXD{k}-S1,2.5\n")
+    got = workflows.combine_folder(spark, str(tmp_path))
+    assert sorted((r.ProteinName, r.SampleID, r.tissue, r.batch_code) for r in got.collect()) == [("A_HUMAN", "PXD1-S1", "brain1", 0), ("B_HUMAN", "PXD1-S1", "brain1", 0), ("B_HUMAN", "PXD2-S1", "brain2", 1)]
+    (tmp_path / "PXD3").mkdir()
+    (tmp_path / "PXD3" / "y.sdrf.tsv").write_text("source name\tcharacteristics[organism part]\n")
+    with pytest.raises(ValueError):
+        readers.dataset_files(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        readers.dataset_files(spark, str(tmp_path / "PXD3" / "none"))
+
+
+def test_sdrf_channels(spark):
+    sdrf = spark.createDataFrame([("s1", "TMT126"), ("s2", "TMT131"), ("s3", "other")], "`source name` string, `comment[label]` string")
+    assert sorted((r[0], r.Channel if "Channel" in sdrf.columns else r[2]) for r in readers.sdrf_channels(sdrf, "TMT6plex").collect()) == [("s1", 1), ("s2", 6), ("s3", None)]
+
+
+@pytest.mark.parametrize(
+    ("labels", "found"),
+    [
+        (["label free sample"], (S.LabelClass.LFQ, None)),
+        ([f"TMT{c}" for c in (126, 127, 128, 129, 130, 131)], (S.LabelClass.TMT, "TMT6plex")),
+        (["TMT126", "TMT127N", "TMT131"], (S.LabelClass.TMT, "TMT10plex")),
+        (["TMT126", "TMT131C"], (S.LabelClass.TMT, "TMT11plex")),
+        (["TMT133N"], (S.LabelClass.TMT, "TMT16plex")),
+        (["ITRAQ114", "ITRAQ117"], (S.LabelClass.ITRAQ, "ITRAQ4plex")),
+        (["ITRAQ113", "ITRAQ121"], (S.LabelClass.ITRAQ, "ITRAQ8plex")),
+        ([f"tmt channel {i}" for i in range(9)], (S.LabelClass.TMT, "TMT10plex")),
+    ],
+)
+def test_plexes(labels, found):
+    assert S.classify_labels(labels) == found
+
+
+def test_cli_exports(spark, tmp_path, feature_file):
+    out = str(tmp_path / "top.csv")
+    cli.main(["features2proteins", "-p", feature_file, "-o", out, "--quant-method", "sum", "--keep-contaminants", "--export-peptides", str(tmp_path / "pep.parquet")], spark)
+    assert spark.read.parquet(str(tmp_path / "pep.parquet")).count() == 2
+    cli.main(["features2peptides", "-p", feature_file, "-o", str(tmp_path / "p.csv"), "--save_parquet", "--filter-max-missing-rate", "0.9"], spark)
+    assert spark.read.parquet(str(tmp_path / "p.parquet")).count() == 2
