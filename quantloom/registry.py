@@ -714,10 +714,10 @@ def irs_applied(spark: SparkSession, d: str) -> DataFrame:
     return normalize.apply_irs(f, scales).select("feature_id", F.round(S.NORM, 4).alias(S.NORM))
 
 
-@query("SELECT label FROM (SELECT r_name AS label, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '(?i)a$|n$') GROUP BY ALL ORDER BY n DESC, label LIMIT 1)")
+@query("SELECT label FROM (SELECT r_name AS label, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '(?i)1|2|4|n$') GROUP BY ALL ORDER BY n DESC, label LIMIT 1)")
 def reference_label(spark: SparkSession, d: str) -> DataFrame:
     sdrf = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source name"), F.col("r_name").alias("comment[label]"))
-    return spark.createDataFrame([(normalize.reference_label(sdrf, "a$|n$"),)], "label string")
+    return spark.createDataFrame([(normalize.reference_label(sdrf, "1|2|4|n$"),)], "label string")
 
 
 @query(f"SELECT (SELECT count(*) FILTER (WHERE NOT regexp_matches(n_name, '{S.SAMPLE_ID}')) = 0 FROM nation) AS nations, (SELECT count(*) FILTER (WHERE NOT regexp_matches(p_brand, '{S.SAMPLE_ID}')) = 0 FROM part) AS brands, (SELECT count(*) FILTER (WHERE NOT regexp_matches(c_name, '{S.SAMPLE_ID}')) = 0 FROM customer) AS customers")
@@ -726,14 +726,14 @@ def sample_id_checks(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(ok)], "nations boolean, brands boolean, customers boolean")
 
 
-_COMBINED = f"{PROT}, named AS (SELECT concat({S.PROTEIN}, CASE WHEN right({S.PROTEIN}, 1) < '5' THEN '_HUMAN' ELSE '_MOUSE' END) AS {S.PROTEIN}, {S.SAMPLE}, x FROM prot), both_ AS (SELECT * FROM named UNION ALL SELECT {S.PROTEIN}, concat('Z', {S.SAMPLE}), x / 2 FROM named)"
+_COMBINED = f"{PROT}, named AS (SELECT concat({S.PROTEIN}, CASE WHEN right({S.PROTEIN}, 1) < '5' THEN '_HUMAN' ELSE '_MOUSE' END) AS {S.PROTEIN}, {S.SAMPLE}, x FROM prot), both_ AS (SELECT * FROM named UNION ALL SELECT {S.PROTEIN}, concat('Z', {S.SAMPLE}), x * 2 FROM named)"
 
 
 @query(f"WITH {_COMBINED} SELECT {S.PROTEIN}, {S.SAMPLE}, round(x, 2) AS x, CASE WHEN left({S.SAMPLE}, 1) <> 'Z' THEN concat('tissue', right({S.SAMPLE}, 1)) END AS tissue, dense_rank() OVER (ORDER BY split_part({S.SAMPLE}, '-', 1)) - 1 AS batch_code FROM both_ WHERE {S.PROTEIN} LIKE '%HUMAN'")
 def combined_datasets(spark: SparkSession, d: str) -> DataFrame:
     one = proteins(spark, d).withColumn(S.PROTEIN, F.expr(f"concat({S.PROTEIN}, CASE WHEN right({S.PROTEIN}, 1) < '5' THEN '_HUMAN' ELSE '_MOUSE' END)"))
     meta = one.select(F.col(S.SAMPLE).alias("sample_id"), F.concat(F.lit("tissue"), F.right(S.SAMPLE, F.lit(1))).alias("tissue")).distinct()
-    two = one.withColumn(S.SAMPLE, F.concat(F.lit("Z"), S.SAMPLE)).withColumn("x", F.col("x") / 2)
+    two = one.withColumn(S.SAMPLE, F.concat(F.lit("Z"), S.SAMPLE)).withColumn("x", F.col("x") * 2)
     return batch.combine([one, two], meta).select(S.PROTEIN, S.SAMPLE, F.round("x", 2).alias("x"), "tissue", F.col("batch_code").cast("long").alias("batch_code"))
 
 
