@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, key: Column, length: int, groups: int) -> Da
         yield from ()
 
     def sort(core: np.ndarray, part: np.ndarray, key: np.ndarray, start: np.ndarray, before: np.ndarray, twin: np.ndarray, bytes_of: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        pieces, at = bytes_of.tolist(), before.tolist()
+        pieces, at, twin = bytes_of.tolist(), before.tolist(), twin.copy()
         order = np.lexsort((start, key, part, core))
         bounds_of = np.append(np.flatnonzero(group_starts(core[order], part[order])), len(order)).tolist()
         keys, starts, ends = [], [], []
@@ -274,7 +274,20 @@ def repeated_spans(docs: DataFrame, key: Column, length: int, groups: int) -> Da
         for a, b in zip(bounds_of[:-1], bounds_of[1:], strict=True):
             if b - a < 2:
                 continue
-            members, j = order[a:b].tolist(), int(part[order[a]])
+            # pieces that occur twice are repeats from end to end; one of them stays, for others to match
+            equal: dict[bytes, list[int]] = {}
+            for i in order[a:b].tolist():
+                equal.setdefault(pieces[i], []).append(i)
+            for same in equal.values():
+                if len(same) > 1 and (twin[same].any() or len(set(zip(key[same].tolist(), start[same].tolist(), strict=True))) > 1):
+                    own = np.array([i for i in same if not twin[i]], dtype=np.int64)
+                    keys.append(key[own])
+                    starts.append(start[own].astype(np.int64))
+                    ends.append(start[own].astype(np.int64) + len(pieces[same[0]]))
+                    twin[same[0]] = True
+            members, j = [same[0] for same in equal.values()], int(part[order[a]])
+            if len(members) < 2:
+                continue
             # the distance of a piece's first window is the largest it has
             for own, cuts in sets_to_sort(members, pieces, at, bounds[j], bounds[j + 1], length):
                 more = sum(y - x + 1 for x, y in cuts)
