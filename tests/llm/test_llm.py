@@ -539,6 +539,46 @@ def test_brown_repeated_rows(odd):
     assert len(rows) == 3 and len({(r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows}) == 1
 
 
+def test_pipeline_stages_by_brute_force(spark, sf):
+    """What each stage keeps, of its own input."""
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    rows = {r.doc_id: r for r in docs.collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.score >= 0.3}
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, sf).collect()} == set(rows) - toxic
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids, sets = sorted(rows), {i: shingles(rows[i].text or "") for i in rows}
+    alike = lambda a, b: (not a and not b) or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    least = components(ids, [sets[i] for i in ids], alike)
+    assert sorted(r.doc_id for r in stages["simhash_near_dedup"](spark, docs, sf).collect()) == [i for i, m in zip(ids, least, strict=True) if i == m]
+
+    cut = {i: (n, gone, t) for i, n, gone, t in removed_words([(i, r.text) for i, r in rows.items()])}
+    got = {r.doc_id: r for r in stages["substring_dedup"](spark, docs, sf).collect()}
+    assert set(got) == {i for i, (n, gone, _) in cut.items() if not gone or gone < n}
+    for i, r in got.items():
+        want = cut[i][2] if cut[i][1] else rows[i].text
+        assert r.text == want and r.n_chars == (len(want) if cut[i][1] else rows[i].n_chars)
+
+    found = {r.doc_id for r in decontam.matches(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert found and {r.doc_id for r in stages["benchmark_decontamination"](spark, docs, sf).collect()} == set(rows) - found
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, odd, none):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        assert stage(spark, none, sf).count() == 0
+        out = stage(spark, odd, sf)
+        assert out.count() > 0 and (name == "source_mixing" or out.columns == odd.columns)
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as c
 
