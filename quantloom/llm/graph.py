@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed
+from quantloom.llm.common import checkpointed, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour, and the node itself, is linked with the smallest
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = checkpointed(linked.where("a <> b").distinct())
+        older, edges = edges, checkpointed(linked.where("a <> b").distinct())
+        discard(older)  # the new edges are written, and nothing else is made of the old ones
     out = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = edges.select(F.col("b").alias("node")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti")
     return out.unionAll(roots.select("node", F.col("node").alias("component")))

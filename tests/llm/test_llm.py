@@ -121,6 +121,17 @@ def test_components_of_long_paths(spark):
     assert {r.node: r.component for r in graph.connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_older_rounds_of_components_are_deleted(spark):
+    import pathlib
+
+    where = pathlib.Path(common.checkpoint_dir(spark).removeprefix("file:"))
+    folders = lambda: {p for p in where.glob("**/rdd-*")}
+    before = folders()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.component for r in graph.connected_components(edges).collect()} == {0}
+    assert len(folders() - before) == 1
+
+
 def removed_words(rows, window=13):
     first = {}
     for i, t in rows:
