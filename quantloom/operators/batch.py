@@ -15,6 +15,10 @@ from quantloom.functions.expressions import batch_prefix, ratio
 from quantloom.operators.impute import complete
 
 
+#: Rows that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
 class TooFewSamplesInBatch(ValueError):
     pass
 
@@ -59,8 +63,11 @@ def covariates(samples: DataFrame, sdrf: DataFrame, columns: list[str]) -> DataF
     meta = sdrf.select(F.col("`source name`").alias("__s"), *[F.col(f"`{c}`").alias(n) for n, c in found.items()])
     fields = F.struct(*[F.col(n) for n in found])
     exact = meta.groupBy("__s").agg(F.min(fields).alias("__exact"))
-    # both tables have a row per sample
-    loose = samples.select(S.SAMPLE).join(F.broadcast(meta), F.col(S.SAMPLE).contains(F.col("__s")) | F.col("__s").contains(F.col(S.SAMPLE))).groupBy(S.SAMPLE).agg(F.min_by(fields, "__s").alias("__loose"))
+    # only samples without a row of their own name are compared with all names; both tables have a row per sample
+    rest = samples.select(S.SAMPLE).distinct().join(exact, F.col(S.SAMPLE) == F.col("__s"), "left_anti")
+    names = meta.distinct()
+    names = F.broadcast(names) if names.count() <= MOST_BROADCAST else names
+    loose = rest.join(names, F.col(S.SAMPLE).contains(F.col("__s")) | F.col("__s").contains(F.col(S.SAMPLE))).groupBy(S.SAMPLE).agg(F.min_by(fields, "__s").alias("__loose"))
     out = samples.join(exact, F.col(S.SAMPLE) == F.col("__s"), "left").drop("__s").join(loose, S.SAMPLE, "left")
     value = F.coalesce("__exact", "__loose")
     out = out.select(*samples.columns, *[F.coalesce(value[n], F.lit("unknown")).alias(n) for n in found])

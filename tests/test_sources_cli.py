@@ -117,3 +117,25 @@ def test_cli_exports(spark, tmp_path, feature_file):
     assert spark.read.parquet(str(tmp_path / "pep.parquet")).count() == 2
     cli.main(["features2peptides", "-p", feature_file, "-o", str(tmp_path / "p.csv"), "--save_parquet", "--filter-max-missing-rate", "0.9"], spark)
     assert spark.read.parquet(str(tmp_path / "p.parquet")).count() == 2
+
+
+def test_tables_by_suffix_and_content(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ProteinName,SampleID,NormIntensity\nP1,S1,2.5\nP1,S2,0\nP2,S1,\n")
+    made = readers.csv_to_parquet(spark, str(tmp_path / "a.csv"))
+    assert made == str(tmp_path / "a.parquet") and spark.read.parquet(made).count() == 3
+    assert [tuple(r) for r in readers.load_peptides(spark, str(tmp_path / "a.csv")).collect()] == [("P1", "S1", 2.5)]
+    assert readers.load_table(spark, made).count() == 3
+    (tmp_path / "ids.txt").write_text(" P1 \n\nP9\n")
+    assert [r[0] for r in readers.load_ids(spark, str(tmp_path / "ids.txt")).collect()] == ["P1", "P9"]
+    assert readers.in_samples(spark.createDataFrame([("a", 1), ("b", 2)], "sample_accession string, x int"), ["b"]).first()["x"] == 2
+
+
+def test_writers_refuse_to_overwrite(spark, tmp_path):
+    df = spark.createDataFrame([("P1", 1.5)], "ProteinName string, x double")
+    for name in ("t.parquet", "t.csv", "t.tsv"):
+        path = str(tmp_path / name)
+        sinks.write_table(df, path)
+        assert readers.load_table(spark, path).collect()[0]["x"] == 1.5
+        with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+            sinks.write_table(df, path)
+        sinks.write_table(df, path, overwrite=True)
