@@ -7,10 +7,11 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D in the UTF-8 text; ``bytes
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of text whose intermediate records meet in one bucket or group of documents.
 BUCKET_BYTES = 48 << 20
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_LIBC = ctypes.CDLL(None)
+
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,6 +97,25 @@ def keyed(docs: DataFrame, key: Column | None = None) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64("doc_id", "text") if key is None else key)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidied(run: Run) -> Run:
+    """``run`` (from batches to batches), with its memory given back at the end of each task."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -16,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import CHUNK_BYTES, chunks, free_name, mix, pack, row_key, unpack
+from quantloom.llm.common import CHUNK_BYTES, chunks, free_name, mix, pack, tidied, unpack
 
 #: kind 0: records for the bucket; kind 1: answers for ``grp`` that only pass through.
 ROUTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
 ROUTED_DDL = "bucket int, kind int, grp int, blob binary"
 #: Bytes of records, or of documents, that a task holds before it cuts them up by bucket or group. Blobs then
 #: shrink with the number of groups only as far as this over that number, whatever the size of a chunk.
-HOLD_BYTES = 24 << 20
+HOLD_BYTES = 12 << 20
 ANSWERS = pa.schema([("grp", pa.int32()), ("blob", pa.binary())])
 ANSWERS_DDL = "grp int, blob binary"
 
@@ -65,7 +65,7 @@ def grouped(docs: DataFrame, groups: int, key: Column) -> DataFrame:
         if held:
             yield cut()
 
-    return docs.mapInArrow(run, "grp int, kind int, blob binary")
+    return docs.mapInArrow(tidied(run), "grp int, kind int, blob binary")
 
 
 def same_order(blob: str) -> tuple[Column, ...]:
@@ -179,7 +179,7 @@ def meet_in_buckets(routed: DataFrame, groups: int, solve: Solve, others: dict[i
         work()
         yield from answers(True)
 
-    return routed.repartition("bucket").sortWithinPartitions("bucket", *same_order("blob")).mapInArrow(run, ANSWERS_DDL)
+    return routed.repartition("bucket").sortWithinPartitions("bucket", *same_order("blob")).mapInArrow(tidied(run), ANSWERS_DDL)
 
 
 def meet_documents(docs: DataFrame, key: Column, answers: DataFrame, groups: int, prepare: Callable[[list[tuple]], object], work: Callable[..., Iterable[pa.RecordBatch]], ddl: str = ROUTED_DDL, answered_only: bool = False) -> DataFrame:
@@ -229,4 +229,4 @@ def meet_documents(docs: DataFrame, key: Column, answers: DataFrame, groups: int
         if out.held.weight:
             yield out.batch(last=True)
 
-    return grouped(docs, groups, key).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind", *same_order("blob")).mapInArrow(run, ddl)
+    return grouped(docs, groups, key).unionByName(replies).repartition("grp").sortWithinPartitions("grp", "kind", *same_order("blob")).mapInArrow(tidied(run), ddl)

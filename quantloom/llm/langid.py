@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import chunks
+from quantloom.llm.common import chunks, tidied
 
 BITS = 14
 SIZE = 1 << BITS
@@ -121,7 +121,7 @@ def _document_frequencies(learnable: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(df[at[:-1]], n), pa.int64())], names=["gram", "n"])
 
     df, n = np.zeros(SIZE + 1, np.int64), 0
-    for r in learnable.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in learnable.select("text").mapInArrow(tidied(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r["gram"]] = r["n"]
     n = int(df[SIZE])
     return df[:SIZE], n
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, max_rows: int = 5000, calibration: int = 5) -> Model:
             v = [model.vector(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.array([a.astype(np.uint16).tobytes() for a, _ in v], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in v], pa.binary())], names=["h", "lang", "at", "x"])
 
-    rows = sample.mapInArrow(run, "h long, lang string, at binary, x binary").orderBy("h", "lang", "at").limit(2 * max_rows).collect()
+    rows = sample.mapInArrow(tidied(run), "h long, lang string, at binary, x binary").orderBy("h", "lang", "at").limit(2 * max_rows).collect()
     vectors = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in rows]
     y = np.array([langs.index(r["lang"]) for r in rows], dtype=np.int64)
     rest = np.array([r["h"] % calibration == 0 for r in rows], dtype=bool)
@@ -176,5 +176,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import groups_for, ids_are_keys, mix, row_key, text_bytes
+from quantloom.llm.common import groups_for, ids_are_keys, mix, row_key, text_bytes, tidied
 
 BINS = 128
 _MASK = (1 << 64) - 1
@@ -180,4 +180,4 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             yield batch()
 
     ddl = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("row_key").desc()).mapInArrow(run, ddl)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("row_key").desc()).mapInArrow(tidied(run), ddl)

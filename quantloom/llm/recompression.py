@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from quantloom.llm.common import WordHashes, chunks, groups_for, mix, row_key, text_bytes
+from quantloom.llm.common import chunks, groups_for, mix, row_key, text_bytes, tidied, WordHashes
 from quantloom.llm.exchange import ROUTED_DDL, Router, group_starts, meet_documents, meet_in_buckets
 
 NAMED = 6  #: words under the name of a picked position
@@ -242,7 +242,7 @@ def removed_ranges(docs: DataFrame, key: Column, window: int, groups: int) -> Da
         later = first_of_each(hi, lo, ids)
         return runs(key[later], pos[later], window)
 
-    names = plain.mapInArrow(name_positions, ROUTED_DDL)
+    names = plain.mapInArrow(tidied(name_positions), ROUTED_DDL)
     asked = meet_in_buckets(names, groups, shared_names, {2: shared_symbols})
     windows = meet_documents(plain.drop("row_key"), key, asked, groups, known, verify, answered_only=True)
     return meet_in_buckets(windows, groups, later_windows)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed, chunks, free_name, keyed, mix, pack, unpack
+from quantloom.llm.common import checkpointed, chunks, free_name, keyed, mix, pack, tidied, unpack
 from quantloom.llm.exchange import split_by
 from quantloom.llm.graph import connected_components
 
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, n_keys
                 keys.append(np.unique(mix(h))[:n_keys].view(np.int64) if n_keys else [])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fps, schema.field(2).type), pa.array(keys, schema.field(3).type)], schema=schema)
 
-    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, row_key long, fp array<bigint>, keys array<bigint>")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<bigint>, keys array<bigint>")
 
 
 def pivots(lanes: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def with_tables(nodes: DataFrame, lanes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "table"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    return nodes.mapInArrow(run, f"{ddl}, table array<smallint>")
+    return nodes.mapInArrow(tidied(run), f"{ddl}, table array<smallint>")
 
 
 def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str, keys_of: DataFrame | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def links(nodes: DataFrame, max_bits: int, lanes: int, blocking: str, keys_of: D
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def shingle_set(text: bytes, n_words: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def common_shingles(docs: DataFrame, n_words: int, least: int = 20, most: int =
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     picked = docs.select("text").distinct() if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
-    rows = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    rows = picked.mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
     return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
@@ -225,7 +225,7 @@ def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> Da
             keys = [prefix(u, common, places, similarity).view(np.int64) for u in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(ids), pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, schema.field(4).type), pa.array(keys, schema.field(5).type)], schema=schema)
 
-    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, row_key long, id long, n long, fp array<bigint>, keys array<bigint>")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), "doc_id long, row_key long, id long, n long, fp array<bigint>, keys array<bigint>")
 
 
 def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, similarity: float, apart: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
@@ -298,8 +298,8 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
                 held.append(unpack(blob))
         yield from flush()
 
-    rows = nodes.select("id", "n", "comp", "keys").mapInArrow(route, "bucket int, blob binary")
-    return checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct())
+    rows = nodes.select("id", "n", "comp", "keys").mapInArrow(tidied(route), "bucket int, blob binary")
+    return checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), "a long, b long").distinct())
 
 
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lanes: int, max_bits: int, similarity: float) -> DataFrame:
@@ -329,9 +329,9 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lan
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
-    own = texts.mapInArrow(sets, "id long, own binary").groupBy("id").agg(F.min("own").alias("own"))
+    own = texts.mapInArrow(tidied(sets), "id long, own binary").groupBy("id").agg(F.min("own").alias("own"))
     met = near.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    return checkpointed(met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    return checkpointed(met.select("a", "b", "x", "y").mapInArrow(tidied(verify), "a long, b long"))
 
 
 def alike_documents(docs: DataFrame, shingle_words: int, lanes: int, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -339,7 +339,7 @@ def alike_documents(docs: DataFrame, shingle_words: int, lanes: int, max_bits: i
     fps = checkpointed(shingled(docs, shingle_words, lanes, similarity))
     nodes = checkpointed(with_tables(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), lanes))
     n_keys = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    buckets = max(12, n_keys >> 20)
+    buckets = max(12, n_keys >> 18)
     how = (shingle_words, lanes, max_bits, similarity)
     pairs = candidates(nodes.withColumn("comp", F.col("id")), similarity, buckets, apart=False)
     found = alike(docs, nodes, pairs, *how)

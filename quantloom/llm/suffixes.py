@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import chunks, groups_for, mix, row_key, text_bytes
+from quantloom.llm.common import chunks, groups_for, mix, row_key, text_bytes, tidied
 from quantloom.llm.exchange import ROUTED_DDL, Router, group_starts, meet_documents, meet_in_buckets
 
 #: Bytes sorted as one text; a larger set of pieces is cut by ranges of distance first.
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, key: Column, length: int, groups: int) -> Da
             return None
         return np.concatenate(keys), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
 
-    found = meet_in_buckets(plain.mapInArrow(places, ROUTED_DDL), groups, compare)
+    found = meet_in_buckets(plain.mapInArrow(tidied(places), ROUTED_DDL), groups, compare)
     pieces = meet_documents(plain.drop("row_key"), key, found, groups, by_key, fetch, answered_only=True)
     return meet_in_buckets(pieces, groups, sort)
 

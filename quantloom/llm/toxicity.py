@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import checkpointed, chunks
+from quantloom.llm.common import checkpointed, chunks, tidied
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = {w.encode() for w in "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen ihre usted ustedes ti tus vosotros os su sus".split()}
@@ -222,7 +222,7 @@ def _per_text(docs: DataFrame, weights: dict[bytes, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), rows], names=[*names, "x"])
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(run, f"{ddl}, x array<double>")
+    return docs.mapInArrow(tidied(run), f"{ddl}, x array<double>")
 
 
 def _lexicon(sample: DataFrame, size: int, min_docs: int) -> dict[bytes, float]:
@@ -245,7 +245,7 @@ def _lexicon(sample: DataFrame, size: int, min_docs: int) -> dict[bytes, float]:
     if not n1 or not n0:
         return {}
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    terms = sample.mapInArrow(run, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    terms = sample.mapInArrow(tidied(run), "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     best = terms.where(F.col("a") >= min_docs).withColumn("odds", odds).where("odds > 1").orderBy((F.col("odds") * F.sqrt("a")).desc(), "term").limit(size)
     return {bytes(r["term"]): float(r["odds"]) for r in best.select("term", "odds").collect()}
 
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for part, _ in chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(lexicon.features(part.column("text"))), pa.float64())], names=["doc_id", "score"])
 
-    scored = plain_rows.mapInArrow(run, "doc_id long, score double")
+    scored = plain_rows.mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -307,4 +307,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
         for part, _ in chunks(batches):
             yield part.filter(pa.array(model.score(lexicon.features(part.column("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
