@@ -117,27 +117,49 @@ def cv_metric(df: DataFrame, column: str) -> DataFrame:
     return per.join(n).where(F.col("n") == F.col("__all")).agg(F.avg("cv").alias("mean_cv"), F.count("cv").alias("n_proteins"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
-    """``df`` with the rank of ``value`` among all rows as ``name``; equal values share the mean of their ranks.
-
-    Distinct values are counted, cut into ``parts`` ranges and summed up range by range, so that no task
-    orders the whole column.
+def _ranges(df: DataFrame, values: list[str], parts: int) -> list[Column]:
+    """The range of each value's column among ``parts`` cuts: even between cuts, odd for all that equal a cut; null: the last, odd."""
+    found = df.agg(*[F.percentile_approx(v, [k / parts for k in range(1, parts)], 10_000).alias(v) for v in values]).first()
+    out = []
+    for v in values:
+        cuts = sorted({float(c) for c in found[v] or []})
+        known = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+        value = F.col(v)
+        below = 2 * F.size(F.filter(known, lambda c: c < value))  # noqa: B023
+        out.append(F.when(value.isNull(), 2 * len(cuts) + 1).otherwise(below + F.array_contains(known, value).cast("int")))
+    return out
+
+
+def compare_methods(a: DataFrame, b: DataFrame, a_column: str, b_column: str, parts: int = 64) -> DataFrame:
+    """Pearson's and Spearman's correlation and mean distance of two quantities on log2(x + 1).
+
+    Equal values share the mean of their ranks, nulls come last. Ranks are taken within ranges of values, and a row
+    for each pair of ranges holds what places them among all: no task orders a whole column, and nothing is joined on
+    sums of doubles, which come out anew in their last digits whenever they are computed again.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = counts.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    placed = counts.withColumn("__part", part)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each range
-    offsets = placed.groupBy("__part").agg(F.sum("__n").alias("__m")).select("__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
-    own = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(F.broadcast(offsets), "__part").select(F.col(value).alias("__v"), (F.col("__off") + F.coalesce(F.sum("__n").over(own), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranked, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
-
-
-def compare_methods(a: DataFrame, b: DataFrame, a_column: str, b_column: str) -> DataFrame:
-    """Pearson's and Spearman's correlation and mean distance of two quantities on log2(x + 1)."""
     both = a.select(S.PROTEIN, S.SAMPLE, F.log2(F.col(a_column) + 1).alias("x")).join(b.select(S.PROTEIN, S.SAMPLE, F.log2(F.col(b_column) + 1).alias("y")), [S.PROTEIN, S.SAMPLE])
-    ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
-    r = lambda p, q: ratio(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q))
-    return ranked.agg(r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.count(F.lit(1)).alias("n"))
+    rows = both.withColumns(dict(zip(("px", "py"), _ranges(both, ["x", "y"], parts), strict=True)))
+    for v, p in (("x", "px"), ("y", "py")):
+        # a range of equal values needs no order and may be large
+        apart = F.when(F.col(p) % 2 == 1, F.pmod(F.xxhash64(S.PROTEIN, S.SAMPLE), F.lit(parts))).otherwise(0)
+        own = Window.partitionBy(p, apart)
+        rank = F.rank().over(own.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(p, apart, v)) - 1) / 2
+        rows = rows.withColumn(f"r{v}", F.when(F.col(p) % 2 == 1, 0.0).otherwise(rank))
+    full = F.col("x").isNotNull() & F.col("y").isNotNull()
+    moments = [f(F.when(full, F.col(v)) if u == "m" else F.col(f"r{v}")).alias(f"{u}{k}{v}") for u in "mr" for v in "xy" for k, f in (("a", F.avg), ("v", F.var_pop))]
+    cells = rows.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(full, 1)).alias("nf"), F.sum(F.abs(F.col("x") - F.col("y"))).alias("d"), F.covar_pop("x", "y").alias("mc"), F.covar_pop("rx", "ry").alias("rc"), *moments)
+    # a row per pair of ranges: a short table
+    for v in "xy":
+        before = Window.orderBy(f"p{v}").rangeBetween(Window.unboundedPreceding, -1)
+        middle = F.when(F.col(f"p{v}") % 2 == 1, (F.sum("n").over(Window.partitionBy(f"p{v}")) + 1) / 2).otherwise(F.col(f"ra{v}"))
+        cells = cells.withColumn(f"ra{v}", F.coalesce(F.sum("n").over(before), F.lit(0)) + middle)
+    weight = {"m": F.col("nf"), "r": F.col("n")}
+    for u, v in (("m", "x"), ("m", "y"), ("r", "x"), ("r", "y")):
+        every = Window.partitionBy()
+        cells = cells.withColumn(f"{u}d{v}", F.col(f"{u}a{v}") - ratio(F.sum(weight[u] * F.col(f"{u}a{v}")).over(every), F.sum(weight[u]).over(every)))
+
+    def r(u: str) -> Column:
+        cov, sx, sy = (F.sum(weight[u] * (F.col(c) + F.col(f"{u}d{i}") * F.col(f"{u}d{j}"))) for c, i, j in ((f"{u}c", "x", "y"), (f"{u}vx", "x", "x"), (f"{u}vy", "y", "y")))
+        return ratio(cov, F.sqrt(sx) * F.sqrt(sy))
+
+    return cells.agg(r("m").alias("pearson"), r("r").alias("spearman"), ratio(F.sum("d"), F.sum("nf")).alias("mean_abs_diff"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
