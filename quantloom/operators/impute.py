@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 from quantloom import schema as S
 from quantloom.operators.pairs import vectors
 
+#: Rows with a gap, and rows that may fill it, whose distances are held at once.
+ASKING, DONORS = 128, 2048
+
 
 def complete(df: DataFrame, value: str, row: str = S.PROTEIN, column: str = S.SAMPLE) -> DataFrame:
     """Every pair of row and column, missing values as null. Columns are samples: a short list, taken to the driver."""
@@ -19,41 +24,82 @@ def complete(df: DataFrame, value: str, row: str = S.PROTEIN, column: str = S.SA
     return grid.join(df.select(row, column, value), [row, column], "left")
 
 
+def nearest(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): the ``most`` nearest rows of y of every row of x; equal distances by row of y.
+
+    Matrix products of centred values tell which pairs may be among the nearest, within their rounding error;
+    only of these the distance is computed, from the differences.
+    """
+    size = x.shape[1]
+    hx, hy = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
+    middle = np.nansum(y, axis=0) / np.maximum(hy.sum(axis=0), 1)
+    zx, zy = np.where(hx > 0, x - middle, 0), np.where(hy > 0, y - middle, 0)
+    left, right = np.concatenate([zx * zx, hx, -2 * zx], axis=1), np.concatenate([hy, zy * zy, zy], axis=1)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(x), ASKING):
+        here = slice(a, a + ASKING)
+        slack = 1e-12 * ((zx[here] ** 2).sum(axis=1) + ((zy**2).sum(axis=1).max() if len(y) else 0))[:, None]
+        limit = np.full((len(x[here]), 1), np.inf)
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in range(0, len(y), DONORS):
+            shared = hx[here] @ hy[b : b + DONORS].T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = left[here] @ right[b : b + DONORS].T / shared
+            if b == 0 and near.shape[1] > most:
+                # rows that share no column are none of the nearest
+                limit = np.partition(np.where(shared > 0, near, np.inf), most - 1, axis=1)[:, most - 1 : most] + 2 * slack
+            ni, nj = np.nonzero((near <= limit) & (shared > 0))
+            if not len(ni):
+                continue
+            diff = y[nj + b] - x[a + ni]
+            nd = np.sqrt(size / shared[ni, nj] * np.nansum(diff * diff, axis=1))
+            i, j, d = np.concatenate([i, ni]), np.concatenate([j, nj + b]), np.concatenate([d, nd])
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            last = place == most - 1
+            limit[i[last], 0] = np.minimum(limit[i[last], 0], d[last] ** 2 / size * (1 + 1e-12) + slack[i[last], 0])
+            i, j, d = i[place < most], j[place < most], d[place < most]
+        out.append((i + a, j, d))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def neighbours(df: DataFrame, value: str, row: str, column: str, most: int, block: int = 1024) -> DataFrame:
     """(row, column, d, v): for each gap the values of the ``most`` nearest rows that have one, equal distances by row.
 
-    Rows are packed into vectors over the columns and meet block by block: each block of rows with gaps
-    sees each block of all rows once, and hands on its ``most`` best per gap.
+    Rows are packed into vectors over the columns and those into blocks of one record each: each block of rows
+    with gaps sees each block of all rows once, and hands on its ``most`` best per gap.
     """
     names, packed = vectors(df, row, column, value)
-    n = packed.count()
-    blocks = max(1, -(-n // block))
-    packed = packed.select(F.col(row).alias("id"), "v", F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = packed.where(F.exists("v", lambda x: x.isNull())).select("id", "v", F.col("own").alias("q"), every.alias("p"))
-    donors = packed.select("id", "v", F.col("own").alias("p"), every.alias("q"))
+    gap = F.exists("v", lambda x: x.isNull())
+    n, n_gaps = packed.agg(F.count(F.lit(1)), F.count(F.when(gap, 1))).first()
+    p, q = max(1, -(-n // (64 * block))), max(1, -(-n_gaps // (4 * block)))
     kind = df.schema[row].dataType.simpleString()
     size = len(names)
 
-    def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        return rows["id"].to_numpy(), np.array([[np.nan if x is None else x for x in v] for v in rows["v"]], dtype=float).reshape(len(rows), size)
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        (ids, x), (others, y) = matrix(a), matrix(b)
-        out: list[tuple] = []
-        for i, own in zip(ids, x, strict=True):
-            diff = y - own
-            shared = np.isfinite(diff).sum(axis=1)
-            d = np.sqrt(size / np.maximum(shared, 1) * np.nansum(diff * diff, axis=1))
-            ok = (shared > 0) & (others != i)
-            for c in np.flatnonzero(np.isnan(own)):
-                can = np.flatnonzero(ok & np.isfinite(y[:, c]))
-                can = can[np.argsort(d[can], kind="stable")[:most]]
-                out += [(i, int(c), float(d[k]), others[k], float(y[k, c])) for k in can]
-        return pd.DataFrame(out, columns=["id", "c", "d", "b", "v"])
-
-    met = asking.groupBy("q", "p").cogroup(donors.groupBy("q", "p")).applyInPandas(nearest, f"id {kind}, c int, d double, b {kind}, v double")
+        x = np.array([[np.nan if z is None else z for z in v] for v in rows["v"]], dtype=float).reshape(len(rows), size)
+        return pd.DataFrame({"own": rows["own"].iloc[:1], "blob": [pickle.dumps((rows["id"].to_numpy(), x), protocol=5)]})
+
+    def blocks(rows: DataFrame, n: int, own: str, other: str, others: int) -> DataFrame:
+        cut = rows.select(F.col(row).alias("id"), "v", F.pmod(F.xxhash64(row), F.lit(n)).cast("int").alias("own"))
+        one = cut.groupBy("own").applyInPandas(pack, "own int, blob binary")
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return one.select(F.col("own").alias(own), every, "blob").repartition(min(p * q, 4096), "q", "p")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            (ids, x), (others, y) = (pickle.loads(z["blob"].iloc[0]) for z in (a, b))
+            for c in range(size):
+                asks, has = np.flatnonzero(np.isnan(x[:, c])), np.flatnonzero(np.isfinite(y[:, c]))
+                i, j, d = nearest(x[asks], y[has], most)
+                out.append(pd.DataFrame({"id": ids[asks[i]], "c": np.full(len(i), c), "d": d, "b": others[has[j]], "v": y[has[j], c]}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["id", "c", "d", "b", "v"])
+
+    asking, donors = blocks(packed.where(gap), q, "q", "p", p), blocks(packed, p, "p", "q", q)
+    met = asking.groupBy("q", "p").cogroup(donors.groupBy("q", "p")).applyInPandas(meet, f"id {kind}, c int, d double, b {kind}, v double")
     best = met.withColumn("__rn", F.row_number().over(Window.partitionBy("id", "c").orderBy("d", "b"))).where(F.col("__rn") <= most)
     return best.select(F.col("id").alias(row), F.get(F.array(*[F.lit(x) for x in names]), F.col("c")).alias(column), "d", "v")
 

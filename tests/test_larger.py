@@ -5,12 +5,14 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom import registry
 from quantloom import schema as S
-from quantloom.operators import ibaq, quantify
+from quantloom.functions import predicates
+from quantloom.operators import ibaq, impute, quantify
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +69,37 @@ def test_methods_compare_ties_and_nulls(spark):
     c.executemany("insert into t values (?, ?, ?)", data)
     sql = "with c as (select log2(v + 1) as x, log2(w + 1) as y from t), r as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from c) select corr(x, y), corr(rx::double, ry::double), avg(abs(x - y)), count(*) from r"
     assert tuple(got) == pytest.approx(c.sql(sql).fetchall()[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_nearest_rows_are_those_of_all_pairs(monkeypatch, scale):
+    monkeypatch.setattr(impute, "ASKING", 7)
+    monkeypatch.setattr(impute, "DONORS", 64)
+    r = np.random.default_rng(1)
+    y = r.integers(0, 4, (600, 6)) * scale + (0 if scale == 1 else r.random((600, 6)))
+    y[r.random(y.shape) < 0.3] = np.nan
+    x, y = np.concatenate([y[:100], np.full((1, 6), np.nan)]), y[np.isfinite(y[:, 0])]
+    i, j, d = impute.nearest(x, y, 5)
+    for k in range(len(x)):
+        diff = y - x[k]
+        shared = np.isfinite(diff).sum(axis=1)
+        full = np.where(shared > 0, np.sqrt(6 / np.maximum(shared, 1) * np.nansum(diff * diff, axis=1)), np.inf)
+        best = [z for z in np.argsort(full, kind="stable")[:5] if np.isfinite(full[z])]
+        assert j[i == k].tolist() == best and d[i == k] == pytest.approx(full[best])
+
+
+def test_neighbours_meet_once_in_many_blocks(spark):
+    r = np.random.default_rng(2)
+    data = [(f"r{a:03}", f"c{b}", float(r.random())) for a in range(300) for b in range(4) if r.random() < 0.8]
+    df = spark.createDataFrame(data, "r string, c string, x double")
+    few, many = (sorted(map(tuple, impute.neighbours(df, "x", "r", "c", 3, block).collect())) for block in (1024, 1))
+    assert few == many and len(few) > 100
+
+
+def test_many_ids_are_looked_up_not_compared_with_every_row(spark):
+    names = [("P1;ANT_P12",), ("ANT_P1",), ("ant_p1",), ("xANT_P77y",), ("",), ("é😀ANT_P5",), (None,), ("P",)]
+    ids = spark.createDataFrame([("ANT_P12",), (" ANT_P77 ",), ("😀ANT",), ("",), (None,), ("a much longer id than any name here",)], "id string")
+    df = spark.createDataFrame(names, f"{S.PROTEIN} string")
+    got = predicates.without_ids(df, ids, most_inline=1)
+    assert {r[0] for r in got.collect()} == {"ANT_P1", "ant_p1", "", None, "P"}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
