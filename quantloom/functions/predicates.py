@@ -50,11 +50,16 @@ def not_contaminant(name: Column) -> Column:
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str = S.PROTEIN, most_inline: int = 2000) -> DataFrame:
-    """Rows whose name contains none of the ids (one string column). Few ids become one pattern; more are a left anti join on containment."""
+    """Rows whose name contains none of the ids (one string column). Few ids become one pattern; of more, the parts of every distinct name that are as long as an id meet the ids in a join on equality."""
     ids = ids.select(F.trim(F.col(ids.columns[0])).alias("__id")).where("__id <> ''").distinct()
     few = [r[0] for r in ids.limit(most_inline + 1).collect()]
     if len(few) > most_inline:
-        return df.join(ids, F.col(column).contains(F.col("__id")), "left_anti")
+        lengths = F.array(*[F.lit(r[0]) for r in ids.select(F.length("__id")).distinct().collect()])
+        names = df.select(F.col(column).alias("__name")).where("__name is not null").distinct()
+        fitting = F.filter(lengths, lambda n: n <= F.length("__name"))
+        parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("__name") - n + 1), lambda i: F.substring(F.col("__name"), i, n))))
+        named = names.select("__name", F.explode(parts).alias("__id")).join(ids, "__id", "left_semi").select("__name").distinct()
+        return df.join(named, F.col(column) == F.col("__name"), "left_anti")
     return df.where(~F.col(column).rlike("|".join(map(re.escape, few)))) if few else df
 
 
