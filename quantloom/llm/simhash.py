@@ -12,9 +12,9 @@ row of its own, and hands on only the links that join what was apart: no task ge
 no block becomes all its pairs.
 
 ``prefix`` links by the Jaccard likeness of the distinct shingles instead, without loss. Shingles have one
-order (those common in a sample last, then by hash); of n shingles the first n - ceil(similarity * n) + 1
+order (those common by counters over all texts last, then by hash); of n shingles the first n - ceil(similarity * n) + 1
 are keys, so that two texts that are alike enough share one. Pairs that their sizes and the places of
-their keys allow are screened by fingerprints of the distinct shingles, at a limit (``max_bits``) far
+their keys allow (and that did not share one of the two keys before, where they have met already) are screened by fingerprints of the distinct shingles, at a limit (``max_bits``) far
 above the distance at that likeness, and survivors are verified on the shingles themselves. Blocks of
 more than WINDOW + 1 texts first compare neighbours in size and in some hashed orders, then all that is
 still apart.
@@ -44,8 +44,10 @@ WINDOW = 4
 #: Further orders, by hashes, in which a text of a larger block is compared with its neighbour. Texts of one
 #: group are then mostly in one component before all that is still apart is compared.
 ORDERS = 8
-#: Texts whose shingles tell which ones are common. Only the order of keys depends on them, no link does.
-SAMPLE = 20_000
+#: Counters of shingles, by their leading bits, over all texts. Only the order of keys depends on them, no link does.
+COUNTERS, COUNTER_SHIFT, SLICES = 1 << 20, np.uint64(44), 16
+#: Keys of a text before one of its keys that go with it, as 32 bits each.
+BEFORE = 2
 #: Rows that are broadcast at most.
 MOST_BROADCAST = 200_000
 
@@ -183,38 +185,48 @@ def shingle_set(text: bytes, n_words: int) -> np.ndarray:
     return np.unique(mix(shingle_hashes(text, n_words)))
 
 
-def common_shingles(docs: DataFrame, n_words: int, least: int = 20, most: int = 200_000) -> np.ndarray:
-    """Shingles of at least ``least`` texts of a sample, rarest first."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
+def shingle_counts(docs: DataFrame, n_words: int) -> np.ndarray:
+    """How many of all texts have a shingle whose leading bits are the index; a text counts once for each of its distinct shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
         for _, texts in chunks(batches):
-            sets = [shingle_set(t, n_words) for t in texts]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            for t in texts:
+                np.add.at(total, shingle_set(t, n_words) >> COUNTER_SHIFT, np.uint32(1))
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in np.split(total, SLICES)], pa.binary())], names=["slice", "blob"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + unpack(blob)[0].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], names=["slice", "blob"])
+
+    parts = docs.select("text").mapInArrow(tidied(count), "slice int, blob binary")
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in parts.repartition("slice").mapInArrow(tidied(add), "slice int, blob binary").collect():
+        out[r["slice"]] = unpack(r["blob"])[0]
+    return out.ravel()
+
 
-    picked = docs.select("text").distinct() if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
-    rows = picked.mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+def hot_counts(counts: np.ndarray) -> np.ndarray:
+    """The counts that stand out, which put a shingle behind all others; else 0."""
+    return np.where(counts >= 20 + 4 * counts.mean(), counts, 0)
 
 
-def prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
-    """The keys of a sorted shingle set, in the order of all sets; ``common`` is sorted and ``places`` its rank."""
+def prefix(own: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a sorted shingle set, in the order of all sets: by ``hot_counts``, then by hash."""
     n = len(own)
     if not n:
         return own
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        hot = common[at] == own
-        own = np.concatenate([own[~hot], own[hot][np.argsort(places[at[hot]])]])
+    own = own[np.argsort(hot[own >> COUNTER_SHIFT], kind="stable")]
     return own[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
 def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> DataFrame:
     """doc_id, row_key, id (hash of the distinct shingles), n (their number), fp (their fingerprint), keys (their prefix)."""
-    hot = common_shingles(docs, n_words)
-    places = np.argsort(hot)
-    common = hot[places]
+    hot = hot_counts(shingle_counts(docs, n_words))
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +234,16 @@ def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> Da
             sets = [shingle_set(t, n_words) for t in texts]
             ids = np.array([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets], dtype=np.uint64).view(np.int64)
             fps = [simhash(u, lanes).view(np.int64) for u in sets]
-            keys = [prefix(u, common, places, similarity).view(np.int64) for u in sets]
+            keys = [prefix(u, hot, similarity).view(np.int64) for u in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(ids), pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, schema.field(4).type), pa.array(keys, schema.field(5).type)], schema=schema)
 
     return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), "doc_id long, row_key long, id long, n long, fp array<bigint>, keys array<bigint>")
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, similarity: float, apart: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, before: np.ndarray, similarity: float, apart: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
     """Candidates among rows that share a key: neighbours in size or, ``apart``, all of large blocks that have other components; and if there are large blocks."""
     order = np.lexsort((ids, n, key))
-    key, ids, n, at, comp = key[order], ids[order], n[order], at[order], comp[order]
+    key, ids, n, at, comp, before = key[order], ids[order], n[order], at[order], comp[order], before[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     a: list[np.ndarray] = []
@@ -240,9 +252,13 @@ def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp:
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         # no more shingles than those from the first shared key on can be shared
         ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (comp[i] != comp[j])
-        if ok.any():
-            a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
+        if (i := i[ok]).size:
+            j = j[ok]
+            # texts that share a key before this one meet there
+            new = ~((before[i][:, :, None] == before[j][:, None, :]) & (before[i] != 0)[:, :, None]).any(axis=(1, 2))
+            i, j = i[new], j[new]
+            a.append(np.minimum(ids[i], ids[j]))
+            b.append(np.maximum(ids[i], ids[j]))
 
     if apart:
         for s, m in zip(starts[sizes > WINDOW + 1].tolist(), sizes[sizes > WINDOW + 1].tolist(), strict=True):
@@ -274,7 +290,10 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
             row = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             ids, n, comp = (np.asarray(batch.column(c)) for c in ("id", "n", "comp"))
-            cuts = list(split_by((flat % np.uint64(buckets)).astype(np.int32), flat, ids[row], n[row].astype(np.int32), at.astype(np.int32), comp[row]))
+            # 0 stands for none; a component that is the text itself takes no room
+            low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+            before = [np.where(at >= k, np.roll(low, k), 0).astype(np.uint32) for k in range(1, BEFORE + 1)]
+            cuts = list(split_by((flat % np.uint64(buckets)).astype(np.int32), flat, ids[row], n[row].astype(np.int32), at.astype(np.int32), (comp ^ ids)[row], *before))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in cuts], pa.int32()), pa.array([pack(*cut) for _, cut in cuts], pa.binary())], names=["bucket", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +301,8 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b, large = _meet(*(np.concatenate(x) for x in zip(*held, strict=True)), similarity, apart)
+                key, ids, n, at, comp, *before = (np.concatenate(x) for x in zip(*held, strict=True))
+                a, b, large = _meet(key, ids, n, at, comp ^ ids, np.stack(before, axis=1), similarity, apart)
                 held.clear()
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
                 if large:
@@ -311,7 +331,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lan
         both = both.where(~apart)
     distance = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(lanes)), F.lit(0))
     near = checkpointed(both.where(distance <= max_bits).select("a", "b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = near.select(F.col("a").alias("id")).distinct().union(near.select(F.col("b").alias("id")).distinct()).distinct()
     reps = checkpointed(nodes.join(wanted, "id").select(F.col("rep").alias("row_key"), "id"))
     texts = keyed(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(reps) if reps.count() <= MOST_BROADCAST else reps, "row_key").select("id", "text")
 

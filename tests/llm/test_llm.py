@@ -660,3 +660,24 @@ def test_decontamination_finds_short_items_inside_texts(spark):
     rows = [(1, "Well then. how many moons orbit jupiter is asked by many people in this long text"), (2, "how many moons orbit jupiter"), (3, "how many moons orbit saturn, as is asked by many people here"), (4, "so is the ocean green or blue"), (5, "then we sold 40 apples today and they were all rather good ones"), (6, "how many moons"), (7, None)]
     got = {(r.doc_id, r.item_id, r.n_windows, r.n_changed) for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1, 1, 0), (2, 1, 1, 0), (4, 2, 1, 0), (5, 3, 1, 1)}
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    # one half of the texts share a line; all of it, however many texts there are, is in the counters
+    texts = [f"{i} own words of text {i} only" + (" the line that very many texts share" if i % 2 else "") for i in range(400)] + [None, ""]
+    got = simhash.shingle_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 5)
+    least = np.zeros_like(got)
+    for t in texts:
+        np.add.at(least, simhash.shingle_set((t or "").encode(), 5) >> simhash.COUNTER_SHIFT, 1)
+    assert (got == least).all() and got.max() >= 200
+    line = simhash.shingle_set(b"the line that very many texts share", 5)
+    assert (simhash.hot_counts(got)[line >> simhash.COUNTER_SHIFT] >= 200).all()
+
+
+def test_pairs_that_share_the_key_before_do_not_meet_again():
+    keys, ids = np.arange(1, 31, dtype=np.uint64), np.array([7, 9], np.int64)
+    key, at = np.repeat(keys, 2), np.repeat(np.arange(30), 2).astype(np.int32)
+    id_, n = np.tile(ids, 30), np.full(60, 145, np.int32)
+    before = np.stack([np.where(at >= k, key.astype(np.int64) - k + 100, 0).astype(np.uint32) for k in (1, 2)], axis=1)
+    a, b, _ = simhash._meet(key, id_, n, at, id_, before, 0.8, False)
+    assert [x.tolist() for x in a if len(x)] == [[7]] and [x.tolist() for x in b if len(x)] == [[9]]
