@@ -113,11 +113,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_windows:
     if n:
         keys = F.broadcast(slotted) if n <= MOST_BROADCAST else slotted
         texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", "text").alias("__key"), "text")
-        texts = texts.join(keys, (texts["__key"] == keys["row_key"]) & texts["__id"].eqNullSafe(keys["doc_id"])).withColumn("doc_tokens", tokens(F.col("text")))
-        value = lambda col, p: F.lower(F.get(F.col(col), p)["raw"])
-        pairs = F.transform("slots", lambda p: F.struct(value("item_tokens", p).alias("a"), value("doc_tokens", p + F.col("shift")).alias("b")))
+        texts = texts.join(keys, (texts["__key"] == keys["row_key"]) & texts["__id"].eqNullSafe(keys["doc_id"]))
+        value = lambda col, p: F.lower(F.get(col, p)["raw"])
+        # bound to a lambda variable, a text's tokens are taken once and not for each slot
+        pairs = F.transform(F.array(tokens(F.col("text"))), lambda own: F.transform("slots", lambda p: F.struct(value(F.col("item_tokens"), p).alias("a"), value(own, p + F.col("shift")).alias("b"))))
         kinds = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-        checked = texts.withColumn("pairs", pairs).where(F.size(F.array_distinct("pairs")) == kinds("a")).where(kinds("a") == kinds("b"))
+        # as rows, pairs are made once and not for each condition on them
+        checked = texts.select(*keys.columns, F.explode(pairs).alias("pairs")).where(F.size(F.array_distinct("pairs")) == kinds("a")).where(kinds("a") == kinds("b"))
         slotted_ok = checked.select("row_key", "doc_id", "item_id", "n_windows", F.size("slots").alias("n_slots"), F.size(F.filter("pairs", lambda x: ~x["a"].eqNullSafe(x["b"]))).alias("n_changed"))
         plain = plain.unionByName(slotted_ok)
     best = F.max(F.struct("n_windows", -F.col("n_changed"), "n_slots")).alias("best")

@@ -681,3 +681,12 @@ def test_pairs_that_share_the_key_before_do_not_meet_again():
     before = np.stack([np.where(at >= k, key.astype(np.int64) - k + 100, 0).astype(np.uint32) for k in (1, 2)], axis=1)
     a, b, _ = simhash._meet(key, id_, n, at, id_, before, 0.8, False)
     assert [x.tolist() for x in a if len(x)] == [[7]] and [x.tolist() for x in b if len(x)] == [[9]]
+
+
+def test_tokens_of_a_match_are_not_taken_for_each_slot(spark):
+    text = "a train of 12 cars leaves Boston at 7 and needs 45 minutes for the way to the next large town"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    found = decontam.matches(spark.createDataFrame([(5, f"we know that {text.replace('12', '14')} by now")], "doc_id long, text string"), bench)
+    assert [(r.doc_id, r.n_changed) for r in found.collect()] == [(5, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
