@@ -46,7 +46,7 @@ WINDOW = 4
 ORDERS = 8
 #: Counters of shingles, by their leading bits, over all texts. Only the order of keys depends on them, no link does.
 COUNTERS, COUNTER_SHIFT, SLICES = 1 << 20, np.uint64(44), 16
-#: Keys of a text before one of its keys that go with it, as 32 bits each.
+#: Keys of a text before one of its keys that go with it, as 31 bits each.
 BEFORE = 2
 #: Rows that are broadcast at most.
 MOST_BROADCAST = 200_000
