@@ -17,7 +17,9 @@ are keys, so that two texts that are alike enough share one. Pairs that their si
 their keys allow (and that did not share one of the two keys before, where they have met already) are screened by fingerprints of the distinct shingles, at a limit (``max_bits``) far
 above the distance at that likeness, and survivors are verified on the shingles themselves. Blocks of
 more than WINDOW + 1 texts first compare neighbours in size and in some hashed orders, then all that is
-still apart.
+still apart. For that the rows of large blocks alone travel again, with a sketch of the shingles: a bit for each
+remainder, 1 if an odd number of shingles has it. Two sketches differ in no more bits than their sets in shingles,
+so a pair whose sketches differ in more than the likeness allows is none, and no row is made of it.
 """
 
 from __future__ import annotations
@@ -48,6 +50,12 @@ ORDERS = 8
 COUNTERS, COUNTER_SHIFT, SLICES = 1 << 20, np.uint64(44), 16
 #: Keys of a text before one of its keys that go with it, as 31 bits each.
 BEFORE = 2
+#: Words of a text's sketch, and of its fold, which is compared first.
+SKETCH_WORDS, FOLD_WORDS = 32, 8
+#: Bits, by leading bits of keys, that tell the keys of large blocks. Keys that share a bit with one of these travel in vain.
+KEY_BITS, KEY_SHIFT = 1 << 24, np.uint64(40)
+#: Rows with a sketch that a task packs at once.
+SKETCHED_ROWS = 1 << 16
 #: Rows that are broadcast at most.
 MOST_BROADCAST = 200_000
 
@@ -185,6 +193,39 @@ def shingle_set(text: bytes, n_words: int) -> np.ndarray:
     return np.unique(mix(shingle_hashes(text, n_words)))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the distinct shingles, 1 if an odd number of them has it."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """The sketches (rows) that fewer remainders give."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, FOLD_WORDS), axis=1)
+
+
+def sliced(whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in np.split(whole, SLICES)], pa.binary())], names=["slice", "blob"])
+
+
+def gathered(parts: DataFrame, join: np.ufunc, dtype: type, size: int) -> np.ndarray:
+    """One array of the tasks' own ones (slice, blob), joined slice by slice."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                own = unpack(blob)[0].astype(dtype)
+                sums[k] = join(sums[k], own) if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], names=["slice", "blob"])
+
+    out = np.zeros((SLICES, size // SLICES), dtype)
+    for r in parts.repartition("slice").mapInArrow(tidied(add), "slice int, blob binary").collect():
+        out[r["slice"]] = unpack(r["blob"])[0]
+    return out.ravel()
+
+
 def shingle_counts(docs: DataFrame, n_words: int) -> np.ndarray:
     """How many of all texts have a shingle whose leading bits are the index; a text counts once for each of its distinct shingles."""
 
@@ -194,20 +235,27 @@ def shingle_counts(docs: DataFrame, n_words: int) -> np.ndarray:
             for t in texts:
                 np.add.at(total, shingle_set(t, n_words) >> COUNTER_SHIFT, np.uint32(1))
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in np.split(total, SLICES)], pa.binary())], names=["slice", "blob"])
+            yield sliced(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    return gathered(docs.select("text").mapInArrow(tidied(count), "slice int, blob binary"), np.add, np.int64, COUNTERS)
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """Bytes with the bits of ``keys`` (a long)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(KEY_BITS, bool)
         for batch in batches:
-            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + unpack(blob)[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], names=["slice", "blob"])
+            bits[np.asarray(batch.column("a")).view(np.uint64) >> KEY_SHIFT] = True
+        if bits.any():
+            yield sliced(np.packbits(bits, bitorder="little"))
 
-    parts = docs.select("text").mapInArrow(tidied(count), "slice int, blob binary")
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for r in parts.repartition("slice").mapInArrow(tidied(add), "slice int, blob binary").collect():
-        out[r["slice"]] = unpack(r["blob"])[0]
-    return out.ravel()
+    return gathered(keys.select("a").mapInArrow(tidied(mark), "slice int, blob binary"), np.bitwise_or, np.uint8, KEY_BITS // 8)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> KEY_SHIFT).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def hot_counts(counts: np.ndarray) -> np.ndarray:
@@ -225,9 +273,9 @@ def prefix(own: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> DataFrame:
-    """doc_id, row_key, id (hash of the distinct shingles), n (their number), fp (their fingerprint), keys (their prefix)."""
+    """doc_id, row_key, id (hash of the distinct shingles), n (their number), fp (their fingerprint), sketch, keys (their prefix)."""
     hot = hot_counts(shingle_counts(docs, n_words))
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.list_(pa.int64())), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -235,15 +283,18 @@ def shingled(docs: DataFrame, n_words: int, lanes: int, similarity: float) -> Da
             ids = np.array([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets], dtype=np.uint64).view(np.int64)
             fps = [simhash(u, lanes).view(np.int64) for u in sets]
             keys = [prefix(u, hot, similarity).view(np.int64) for u in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(ids), pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, schema.field(4).type), pa.array(keys, schema.field(5).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(ids), pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, schema.field(4).type), pa.array([sketch(u).tobytes() for u in sets], pa.binary()), pa.array(keys, schema.field(6).type)], schema=schema)
 
-    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), "doc_id long, row_key long, id long, n long, fp array<bigint>, keys array<bigint>")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), "doc_id long, row_key long, id long, n long, fp array<bigint>, sketch binary, keys array<bigint>")
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, before: np.ndarray, similarity: float, apart: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """Candidates among rows that share a key: neighbours in size or, ``apart``, all of large blocks that have other components; and if there are large blocks."""
+def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, before: np.ndarray, similarity: float, apart: bool, sketches: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Candidates among rows that share a key: neighbours in size or, ``apart``, all of large blocks that have other components and like ``sketches``; and the keys of large blocks."""
     order = np.lexsort((ids, n, key))
     key, ids, n, at, comp, before = key[order], ids[order], n[order], at[order], comp[order], before[order]
+    if sketches is not None:
+        sketches = sketches[order]
+        folds = folded(sketches)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     a: list[np.ndarray] = []
@@ -257,6 +308,10 @@ def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp:
             # texts that share a key before this one meet there
             new = ~((before[i][:, :, None] == before[j][:, None, :]) & (before[i] != 0)[:, :, None]).any(axis=(1, 2))
             i, j = i[new], j[new]
+            for s in (folds, sketches) if sketches is not None else ():
+                # the sets of a pair that is alike differ in no more shingles
+                near = np.bitwise_count(s[i] ^ s[j]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+                i, j = i[near], j[near]
             a.append(np.minimum(ids[i], ids[j]))
             b.append(np.maximum(ids[i], ids[j]))
 
@@ -276,11 +331,14 @@ def _meet(key: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, comp:
             together = np.flatnonzero(key[mixed[1:]] == key[mixed[:-1]])
             i, j = mixed[together], mixed[together + 1]
             keep(np.minimum(i, j), np.maximum(i, j))
-    return a, b, bool((sizes > WINDOW + 1).any())
+    return a, b, key[starts[sizes > WINDOW + 1]]
 
 
-def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (id, n, keys, comp) that may be alike. A row of a = b tells that there are large blocks."""
+def candidates(nodes: DataFrame, similarity: float, buckets: int, large: np.ndarray | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (id, n, keys, comp) that may be alike, and a row of a = b for each key of a large block.
+
+    With ``large`` (bits of the keys of large blocks) those of large blocks that are still apart, by their ``sketch``.
+    """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,20 +351,28 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
             # 0 stands for none; a component that is the text itself takes no room
             low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
             before = [np.where(at >= k, np.roll(low, k), 0).astype(np.uint32) for k in range(1, BEFORE + 1)]
-            cuts = list(split_by((flat % np.uint64(buckets)).astype(np.int32), flat, ids[row], n[row].astype(np.int32), at.astype(np.int32), (comp ^ ids)[row], *before))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in cuts], pa.int32()), pa.array([pack(*cut) for _, cut in cuts], pa.binary())], names=["bucket", "blob"])
+            go = [np.arange(len(flat))]
+            if large is not None:
+                own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+                wanted = np.flatnonzero(has_bit(large, flat))
+                go = np.split(wanted, range(SKETCHED_ROWS, len(wanted), SKETCHED_ROWS))
+            for g in go:
+                more = () if large is None else (own[row[g]],)
+                cuts = list(split_by((flat[g] % np.uint64(buckets)).astype(np.int32), flat[g], ids[row[g]], n[row[g]].astype(np.int32), at[g].astype(np.int32), (comp ^ ids)[row[g]], *(x[g] for x in before), *more))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in cuts], pa.int32()), pa.array([pack(*cut) for _, cut in cuts], pa.binary())], names=["bucket", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                key, ids, n, at, comp, *before = (np.concatenate(x) for x in zip(*held, strict=True))
-                a, b, large = _meet(key, ids, n, at, comp ^ ids, np.stack(before, axis=1), similarity, apart)
+                key, ids, n, at, comp, *more = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
+                apart = large is not None
+                a, b, many = _meet(key, ids, n, at, comp ^ ids, np.stack(more[:BEFORE], axis=1), similarity, apart, more[BEFORE] if apart else None)
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
-                if large:
-                    pairs = np.concatenate([pairs, np.zeros((1, 2), np.int64)])
+                if not apart:
+                    pairs = np.concatenate([pairs, np.stack([many, many], axis=1).view(np.int64)])
                 for i in range(0, len(pairs), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, c]) for c in (0, 1)], names=["a", "b"])
 
@@ -318,7 +384,7 @@ def candidates(nodes: DataFrame, similarity: float, buckets: int, apart: bool) -
                 held.append(unpack(blob))
         yield from flush()
 
-    rows = nodes.select("id", "n", "comp", "keys").mapInArrow(tidied(route), "bucket int, blob binary")
+    rows = nodes.select("id", "n", "comp", "keys", *(["sketch"] if large is not None else [])).mapInArrow(tidied(route), "bucket int, blob binary")
     return checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), "a long, b long").distinct())
 
 
@@ -357,16 +423,17 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, lan
 def alike_documents(docs: DataFrame, shingle_words: int, lanes: int, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of documents (doc_id, row_key, fp, id), nodes (id, first_doc) and components of nodes, by likeness of the distinct shingles."""
     fps = checkpointed(shingled(docs, shingle_words, lanes, similarity))
-    nodes = checkpointed(with_tables(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), lanes))
+    nodes = checkpointed(with_tables(fps.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), lanes))
     n_keys = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     buckets = max(12, n_keys >> 18)
     how = (shingle_words, lanes, max_bits, similarity)
-    pairs = candidates(nodes.withColumn("comp", F.col("id")), similarity, buckets, apart=False)
+    pairs = candidates(nodes.withColumn("comp", F.col("id")), similarity, buckets)
     found = alike(docs, nodes, pairs, *how)
     comps = connected_components(found)
-    if not pairs.where("a = b").isEmpty():
+    large = key_bits(pairs.where("a = b"))
+    if large.any():
         named = nodes.join(comps, nodes.id == comps.node, "left").withColumn("comp", F.coalesce("component", "id"))
-        comps = connected_components(found.unionAll(alike(docs, nodes, candidates(named, similarity, buckets, apart=True), *how)))
+        comps = connected_components(found.unionAll(alike(docs, nodes, candidates(named, similarity, buckets, large), *how)))
     return fps, nodes, comps
 
 

@@ -690,3 +690,42 @@ def test_tokens_of_a_match_are_not_taken_for_each_slot(spark):
     assert [(r.doc_id, r.n_changed) for r in found.collect()] == [(5, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_pairs_alike_in_part_only_become_no_rows(spark, monkeypatch):
+    # three words edited in each of 300 copies: most pairs have a likeness of 0.71, those with edits close together link
+    rng, texts = np.random.default_rng(7), []
+    for c in range(300):
+        w = [f"w{i}" for i in range(180)]
+        for i in rng.choice(180, 3, replace=False):
+            w[i] = f"edit{c}i{i}"
+        texts.append(" ".join(w))
+    made, alike = [], simhash.alike
+
+    def counted(docs, nodes, pairs, *how):
+        made.append(pairs.where("a <> b").count())
+        return alike(docs, nodes, pairs, *how)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    got, want = _near(spark, texts), _alike(texts)
+    assert [got[i] for i in range(300)] == want and 20 < len(set(want)) < 300
+    assert len(made) == 2 and made[1] < 10 * 300
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 500, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone in (0, 1, n // 10, n):
+            other = np.concatenate([own[gone:], np.unique(rng.integers(0, 1 << 63, gone // 2).astype(np.uint64))])
+            both = np.stack([simhash.sketch(own), simhash.sketch(other)])
+            for x, y in (both, simhash.folded(both)):
+                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(own, other))
+
+
+def test_bits_of_keys_tell_all_keys(spark):
+    rng = np.random.default_rng(9)
+    keys = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    bits = simhash.key_bits(spark.createDataFrame([(int(k),) for k in keys[:1000].view(np.int64)], "a long").repartition(5))
+    assert simhash.has_bit(bits, keys[:1000]).all() and simhash.has_bit(bits, keys[1000:]).sum() < 5
+    assert not simhash.key_bits(spark.createDataFrame([], "a long")).any()
