@@ -96,6 +96,32 @@ def test_neighbours_meet_once_in_many_blocks(spark):
     assert few == many and len(few) > 100
 
 
+@pytest.mark.parametrize("values", [4, 1000])
+def test_trees_find_the_nearest_of_all_pairs(monkeypatch, values):
+    monkeypatch.setattr(impute, "LEAF", 8)
+    monkeypatch.setattr(impute, "ASKING", 16)
+    r = np.random.default_rng(3)
+    y = r.integers(0, values, (600, 5)).astype(float)
+    y[r.random(y.shape) < 0.25] = np.nan
+    x = y[:100]
+    i, c, j, d = impute.Donors(y).nearest(x, np.where(np.isfinite(x), -1.0, np.inf), 5)
+    for a, k in zip(*np.nonzero(np.isnan(x)), strict=True):
+        diff = y - x[a]
+        shared = np.isfinite(diff).sum(axis=1)
+        full = np.where((shared > 0) & np.isfinite(y[:, k]), np.sqrt(5 / np.maximum(shared, 1) * np.nansum(diff * diff, axis=1)), np.inf)
+        best = [z for z in np.argsort(full, kind="stable")[:5] if np.isfinite(full[z])]
+        here = (i == a) & (c == k)
+        assert j[here].tolist() == best and d[here] == pytest.approx(full[best])
+
+
+def test_rows_meet_only_cells_within_reach():
+    r = np.random.default_rng(4)
+    y = r.random((4000, 3))
+    cells = impute.Cells(y, {7: (np.ones(3, bool), len(y))}, 0, 16)
+    sizes = np.bincount(cells.of(y, np.zeros(len(y), np.int64)))
+    assert sizes[0] == 0 and len(sizes) > 60 and sizes[1:].min() > 0 and sizes.max() <= 64
+
+
 def test_many_ids_are_looked_up_not_compared_with_every_row(spark):
     names = [("P1;ANT_P12",), ("ANT_P1",), ("ant_p1",), ("xANT_P77y",), ("",), ("é😀ANT_P5",), (None,), ("P",)]
     ids = spark.createDataFrame([("ANT_P12",), (" ANT_P77 ",), ("😀ANT",), ("",), (None,), ("a much longer id than any name here",)], "id string")
