@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom import schema as S
@@ -141,8 +141,8 @@ def combine_folder(spark: SparkSession, folder: str, organism: str = "HUMAN") ->
     return batch.combine(tables, metadata.distinct(), organism)
 
 
-def peptides_to_proteins(peptides: DataFrame, fasta: DataFrame, enzyme: str = "trypsin", min_aa: int = 7, max_aa: int = 30, organism: str = "HUMAN", ploidy: int = 2, cpc: float = 200.0, tpa: bool = True, ruler: bool = True, norm: bool = True) -> DataFrame:
-    """The iBAQ flow over a peptide table."""
+def peptides_to_proteins(peptides: DataFrame, fasta: DataFrame, enzyme: str = "trypsin", min_aa: int = 7, max_aa: int = 30, organism: str = "HUMAN", ploidy: int = 2, cpc: float = 200.0, tpa: bool = True, ruler: bool = True, norm: bool = True, histone: Column | None = None) -> DataFrame:
+    """The iBAQ flow over a peptide table. ``histone``: which proteins are histones, if not by the organism's lists."""
     if ruler and not tpa:
         raise ValueError("the ruler needs molecular weights: turn tpa on")
     theory = ibaq.theoretical(fasta, enzyme, min_aa, max_aa)
@@ -152,4 +152,4 @@ def peptides_to_proteins(peptides: DataFrame, fasta: DataFrame, enzyme: str = "t
         out = ibaq.normalized(out)
     if tpa:
         out = ibaq.total_protein_approach(out)
-    return ibaq.proteomic_ruler(out, organism, ploidy, cpc) if ruler else out
+    return ibaq.proteomic_ruler(out, organism, ploidy, cpc, histone) if ruler else out
